@@ -24,16 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spm import BYTE, NORMAL, SPACE, PieceModel, merged
+from .spm import BYTE, NORMAL, SPACE, PieceModel, _Remembered, merged
 from .token_counts import read_model
 
 
 class PieceTransducer:
-    def __init__(self, model: PieceModel, cache: int = 300_000):
-        self.model, self.limit = model, cache
-        self.known: dict[str, bytes] = {}
+    def __init__(self, model: PieceModel, cache: int = 600_000, arcs: int = 2_000_000):
+        self.model, self.bound = model, arcs
+        self.known = _Remembered(self._ids, cache)
         self.arcs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.readable = {p for p in model.ids if len(merged(p, model.ranks)) == 1}
         self.written = [p.encode() for p in model.pieces]
         for i, kind in enumerate(model.kinds):
             if kind == BYTE:
@@ -42,61 +42,55 @@ class PieceTransducer:
                 self.written[i] = b""
         self.mark = SPACE.encode()
 
-    def _reads(self, unit: str, at: int) -> list[str]:
-        """Arcs that read from here: pieces that merging their own text gives back, or one
-        character that has no piece."""
-        ids, whole, out = self.model.ids, self.whole, []
-        for end in range(at + 1, min(len(unit), at + self.model.longest) + 1):
-            piece = unit[at:end]
-            if piece in ids:
-                alone = whole.get(piece)
-                if alone is None:
-                    alone = whole[piece] = len(merged(piece, self.model.ranks)) == 1
-                if alone:
-                    out.append(piece)
-        return out or [unit[at]]
-
-    def _joins(self, a: str, b: str) -> bool:
-        """Whether the arc from state ``a`` that reads ``b`` has finite weight."""
-        known = self.arcs.get((a, b))
-        if known is None:
-            known = merged(a + b, self.model.ranks) == [a, b]
-            if len(self.arcs) >= 4 * self.limit:
-                self.arcs.clear()
-            self.arcs[a, b] = known
-        return known
+    def _joins(self, arc: tuple[str, str]) -> bool:
+        """Whether the arc from state a that reads b has finite weight."""
+        a, b = arc
+        finite = merged(a + b, self.model.ranks) == [a, b]
+        if len(self.arcs) >= self.bound:
+            self.arcs.clear()
+        self.arcs[arc] = finite
+        return finite
 
     def path(self, unit: str) -> list[str]:
         """Pieces on the tropical shortest path through the composition with one unit.
 
-        States are (position, last piece), taken by position; those a position later than the
-        longest piece are kept only as back pointers, so memory follows the unit.
+        States are (position, last piece). Positions are relaxed from left to right, and a
+        position keeps its cheapest state: no other has a finite cost, as a prefix has one
+        encoding. A character without a piece is read by an arc of its own.
         """
-        n = len(unit)
-        states: list[dict[str, tuple[int, str | None]]] = [{} for _ in range(n + 1)]
-        states[0][""] = (0, None)
+        n, longest, readable, arcs = len(unit), self.model.longest, self.readable, self.arcs
+        last: list[str | None] = [None] * (n + 1)
+        last[0] = ""
         for at in range(n):
-            here = states[at]
-            if not here:
+            state = last[at]
+            if state is None:
                 continue
-            for piece in self._reads(unit, at):
-                there = states[at + len(piece)]
-                for last, (cost, _) in here.items():
-                    if (not last or self._joins(last, piece)) and (piece not in there or there[piece][0] > cost + 1):
-                        there[piece] = (cost + 1, last)
-        if not states[n]:
-            raise ValueError("no path: the model is not a merge-order model")
-        piece: str | None = min(states[n], key=lambda p: states[n][p][0])
+            for end in range(at + 1, min(n, at + longest) + 1):
+                piece = unit[at:end]
+                if piece in readable:
+                    if last[end] is None:
+                        if state:
+                            finite = arcs.get((state, piece))
+                            if finite is None:
+                                finite = self._joins((state, piece))
+                        else:
+                            finite = True
+                        if finite:
+                            last[end] = piece
+                elif end == at + 1 and piece not in self.model.ids and last[end] is None:
+                    last[end] = piece
         out, at = [], n
-        while piece:
+        while at:
+            piece = last[at]
+            if piece is None:
+                raise ValueError("no path: the model's merges have no such order")
             out.append(piece)
-            before = states[at][piece][1]
             at -= len(piece)
-            piece = before
         return out[::-1]
 
     def _ids(self, unit: str) -> bytes:
-        ids, out = self.model.ids, []
+        ids = self.model.ids
+        out: list[int] = []
         for piece in self.path(unit):
             if piece in ids:
                 out.append(ids[piece])
@@ -106,18 +100,7 @@ class PieceTransducer:
 
     def encode(self, text: str) -> bytes:
         """Identifiers of a whole text as little-endian 32-bit integers."""
-        known, parts = self.known, []
-        get = known.get
-        for unit in self.model.units(text):
-            ids = get(unit)
-            if ids is None:
-                ids = self._ids(unit)
-                if len(unit) <= 64:
-                    if len(known) >= self.limit:
-                        known.clear()
-                    known[unit] = ids
-            parts.append(ids)
-        return b"".join(parts)
+        return b"".join(map(self.known.__getitem__, self.model.units(text)))
 
     def decode(self, ids: np.ndarray) -> str:
         """The inverse machine: pieces and bytes joined, marks to spaces, the first mark
@@ -128,7 +111,7 @@ class PieceTransducer:
         return raw.decode(errors="replace").replace(SPACE, " ")
 
 
-def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", cache: int = 300_000, keep_ids: bool = True) -> DataFrame:
+def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", cache: int = 600_000, keep_ids: bool = True) -> DataFrame:
     """Return id, n_tokens, ids (array<int>; left out without ``keep_ids``), ids_sha256 (of the
     little-endian 32-bit ids), decoded_sha256 (of the decoded text's UTF-8) and round_trip.
 

@@ -4,21 +4,50 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import mixing, url_filters
+from .chat_format import as_events, chat_digests
 from .frames import table
 from .pieces import encode_pieces
+from .quality_rules import fit_quality, quality_rules
 from .token_counts import token_counts
 
 PIECE_MODEL = "piece_bpe_32k.model"
+BAD = "CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NULL AND toxic IS NULL THEN NULL ELSE 0 END"
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled outcome of a page is that of the labels row with its id: bad if its quality
+    is 0 or it is toxic."""
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.expr(BAD).alias("bad"))
+    return url_filters.url_filters(table(spark, sf_dir, "pages"), outcomes)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mixture(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy("position", "doc_id")
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = r"\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    return chat_digests(as_events(rows))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL), keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op7_token_counts, op10_sentencepiece)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_url_filters, op7_token_counts, op8_mixing, op9_chat_format, op10_sentencepiece)}
+ORACLE_SQL: dict[str, str] = {"op4_url_filters": url_filters.oracle()}

@@ -137,6 +137,22 @@ def merged(unit: str, ranks: dict[str, float]) -> list[str]:
     return [s for s in symbol if s]
 
 
+class _Remembered(dict):
+    """Values of short units, found by ``find`` when first asked for, up to a bound."""
+
+    def __init__(self, find, bound: int):
+        super().__init__()
+        self.find, self.bound = find, bound
+
+    def __missing__(self, unit: str):
+        value = self.find(unit)
+        if len(unit) <= 64:
+            if len(self) >= self.bound:
+                self.clear()
+            self[unit] = value
+        return value
+
+
 class MergeCounter:
     """Token counts: initial symbols (bytes where a character has no piece) minus merges."""
 

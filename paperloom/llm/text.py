@@ -16,8 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
-_MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
+_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)  # odd, one for each lane
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -27,9 +26,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _byte_codes() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULTIPLIER)) | np.uint64(1)
+@lru_cache(maxsize=2)
+def _byte_codes(lane: int) -> np.ndarray:
+    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULTIPLIERS[lane])) | np.uint64(1)
 
 
 _powers: dict[int, np.ndarray] = {}
@@ -46,13 +45,16 @@ def _power_row(base: int, n: int) -> np.ndarray:
 
 
 class Fingerprints:
-    """Substring hashes of one buffer in constant time each (prefix sums modulo 2**64)."""
+    """Substring hashes of one buffer in constant time each (prefix sums modulo 2**64).
 
-    def __init__(self, data: np.ndarray):
-        n = len(data)
+    The two lanes have other byte codes and multipliers, so they err independently.
+    """
+
+    def __init__(self, data: np.ndarray, lane: int = 0):
+        n, base = len(data), _MULTIPLIERS[lane]
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_byte_codes()[data] * _power_row(_MULTIPLIER, n), out=self.sums[1:])
-        self.back = _power_row(_INVERSE, n + 1)
+        np.cumsum(_byte_codes(lane)[data] * _power_row(base, n), out=self.sums[1:])
+        self.back = _power_row(pow(base, -1, 1 << 64), n + 1)
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of data[start:end] for arrays of bounds; the length takes part."""
