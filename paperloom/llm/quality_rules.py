@@ -156,25 +156,30 @@ def calibrated(features: np.ndarray, good: np.ndarray, keep_good: float = 0.998,
     they stay anomalies), calibrate on the others.
 
     A rule's threshold is the midpoint after the least score that rejects at most 1 - keep_good of
-    the held-out good rows and parts best; the rule comes into force if it rejects at least
-    ``gain`` of the held-out poor rows. Without good or without poor rows no rule does.
+    the held-out good rows and parts best. Rules come into force from the best on, each if it
+    rejects at least ``gain`` of the held-out poor rows beside what those before it do. Without good or without poor rows no rule does.
     """
     fine, poor = np.flatnonzero(good), np.flatnonzero(~good)
     fit = np.concatenate([fine[::2], poor[::2][: max(1, len(fine) // 40)]])
     fine, poor = fine[1::2], poor[1::2]
-    rules = []
+    tried_rules = []
     if len(fine) and len(poor):
         for feature in range(features.shape[1]):
             forest = IsolationForest(features[fit, feature], trees, subsample)
-            kept, caught = np.sort(forest.scores(features[fine, feature])), np.sort(forest.scores(features[poor, feature]))
+            kept, hit = np.sort(forest.scores(features[fine, feature])), forest.scores(features[poor, feature])
+            caught = np.sort(hit)
             floor = kept[min(len(kept) - 1, int(np.ceil(keep_good * len(kept))) - 1)]
             tried = np.unique(np.concatenate([[floor], kept[kept >= floor], caught[caught >= floor]]))
             lost = 1 - np.searchsorted(kept, tried, "right") / len(kept)
             won = 1 - np.searchsorted(caught, tried, "right") / len(caught)
             best = int(np.argmax(won - lost))
-            if won[best] >= gain:
-                above = tried[best + 1] if best + 1 < len(tried) else tried[best]
-                rules.append((feature, forest, float(tried[best] + above) / 2))
+            above = tried[best + 1] if best + 1 < len(tried) else tried[best]
+            tried_rules.append((float(won[best] - lost[best]), feature, forest, float(tried[best] + above) / 2, hit))
+    rules, open_ = [], np.ones(len(poor), bool)
+    for _, feature, forest, threshold, hit in sorted(tried_rules, key=lambda r: (-r[0], r[1])):
+        if (open_ & (hit > threshold)).sum() >= gain * len(poor):
+            rules.append((feature, forest, threshold))
+            open_ &= hit <= threshold
     return QualityModel(rules)
 
 
