@@ -11,6 +11,7 @@ from .chat_format import as_events, chat_digests
 from .frames import table
 from .pieces import encode_pieces
 from .quality_rules import fit_quality, quality_rules
+from .repeats import cut_repeats
 from .token_counts import token_counts
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -29,6 +30,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filters(table(spark, sf_dir, "pages"), outcomes)
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
 
@@ -49,5 +54,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL), keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_url_filters, op7_token_counts, op8_mixing, op9_chat_format, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_url_filters, op5_suffix_array, op7_token_counts, op8_mixing, op9_chat_format, op10_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {"op4_url_filters": url_filters.oracle()}
