@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from . import mixing, url_filters
 from .chat_format import as_events, chat_digests
 from .frames import table
+from .near_copies import near_copies
 from .pieces import encode_pieces
 from .quality_rules import fit_quality, quality_rules
 from .repeats import cut_repeats
@@ -18,6 +19,10 @@ PIECE_MODEL = "piece_bpe_32k.model"
 BAD = "CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NULL AND toxic IS NULL THEN NULL ELSE 0 END"
 
 
+def op1_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -54,5 +59,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL), keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_url_filters, op5_suffix_array, op7_token_counts, op8_mixing, op9_chat_format, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_near_copies, op3_quality_rules, op4_url_filters, op5_suffix_array, op7_token_counts, op8_mixing, op9_chat_format, op10_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {"op4_url_filters": url_filters.oracle()}
