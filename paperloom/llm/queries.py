@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from . import mixing, url_filters
 from .chat_format import as_events, chat_digests
 from .frames import table
+from .licenses import license_scan
 from .near_copies import near_copies
+from .neighbours import nearest
 from .pieces import encode_pieces
 from .quality_rules import fit_quality, quality_rules
 from .repeats import cut_repeats
@@ -23,6 +25,11 @@ def op1_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.filter("vec_id % 50 = 0"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -39,6 +46,10 @@ def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents")).drop("findings")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
 
@@ -59,5 +70,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL), keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_copies, op3_quality_rules, op4_url_filters, op5_suffix_array, op7_token_counts, op8_mixing, op9_chat_format, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_near_copies, op2_neighbours, op3_quality_rules, op4_url_filters, op5_suffix_array, op6_license_scan, op7_token_counts, op8_mixing, op9_chat_format, op10_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {"op4_url_filters": url_filters.oracle()}
