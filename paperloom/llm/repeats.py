@@ -28,7 +28,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -209,11 +208,12 @@ def _settled(block: Block, batch: pa.RecordBatch) -> np.ndarray:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return (doc, key, text, spans, places): every row with the starts of its repeated strings,
-    as ranges from round 1 and as packed places (32-bit) from round 3. See ``cut_repeats``."""
+    """Return (doc, text, row, key, spans, places): every row with the starts of its repeated strings,
+    as ranges from round 1 and as packed places (32-bit) from round 3, and its columns but the
+    text as the struct ``row``. See ``cut_repeats``."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).isNull().alias("no_id"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("row"))
     texts = _bucketed(rows.withColumn("key", F.xxhash64("text")), parts)
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,33 +318,50 @@ def _removed(block: Block, batch: pa.RecordBatch) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """Return id, n_bytes, n_removed, n_spans and kept_sha256 of every row; with ``keep_text`` also
-    text, the kept bytes as a string (bytes of a character that a cut broke are left out).
-
-    Removed is each byte covered by a 50-byte string of the row's UTF-8 text that also starts in a
-    row of smaller id. Strings are judged on the input, overlaps count, and none crosses rows.
-
-    Ids are whole numbers. A null id counts as larger than any; null text is empty; a text under
-    50 bytes keeps all. Rows that repeat an id do not remove from each other; repeated rows get
-    the same result. An empty table gives an empty result; other columns are left out.
-    """
-    found = repeated_spans(docs, id_col, text_col)
+def _cut(found: DataFrame, row: bool) -> DataFrame:
+    """(row or id, n_bytes, n_removed, n_spans, kept_sha256, text) with the repeated bytes out."""
     at = {name: i for i, name in enumerate(found.columns)}
+    carried = at["row" if row else "doc"]
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = pc.if_else(batch.column(at["no_id"]), None, batch.column(at["doc"]))
             for block in blocks(batch.column(at["text"])):
                 gone = _removed(block, batch)
                 rows = []
-                for i, (a, b) in enumerate(zip(block.offsets[:-1], block.offsets[1:], strict=True)):
+                for a, b in zip(block.offsets[:-1], block.offsets[1:], strict=True):
                     own = gone[a:b]
                     kept = block.data[a:b][~own].tobytes()
                     runs = int(own[0]) + int((own[1:] & ~own[:-1]).sum()) if b > a else 0
-                    rows.append((ids[block.lo + i].as_py(), int(b - a), int(own.sum()), runs, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if keep_text else None))
-                yield _rows(rows, schema)
+                    rows.append((int(b - a), int(own.sum()), runs, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if row else None))
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(carried).slice(block.lo, block.hi - block.lo), *columns], ["carried", *schema.names])
+
+    schema = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
+    kind = found.schema["row" if row else "doc"].dataType.simpleString()
+    return found.mapInArrow(finished, f"carried {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
-    schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
-    out = found.mapInArrow(finished, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
-    return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text"] * keep_text)
+
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Return id, n_bytes, n_removed, n_spans and kept_sha256 of every row.
+
+    Removed is each byte covered by a 50-byte string of the row's UTF-8 text that also starts in a
+    row of smaller id. Strings are judged on the input, overlaps count, and none crosses rows.
+
+    Ids are whole numbers. A null id counts as larger than any; null text is empty; a text under
+    50 bytes keeps all. Rows that repeat an id do not remove from each other; repeated rows get
+    the same result. An empty table gives an empty result; other columns are left out.
+    """
+    out = _cut(repeated_spans(docs.select(id_col, text_col), id_col, text_col), row=False)
+    id_ = F.when(F.col("carried") == LAST_ID, None).otherwise(F.col("carried"))
+    return out.select(id_.cast(docs.schema[id_col].dataType).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, with the repeated bytes cut from the text, and n_chars (if
+    there) that of the text left. A character that a cut breaks is left out. Rows of which nothing
+    is left stay, with an empty text."""
+    out = _cut(repeated_spans(docs, id_col, text_col), row=True)
+    columns = {c: F.col("carried")[c] for c in docs.columns if c != text_col} | {text_col: F.col("text")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[columns[c].alias(c) for c in docs.columns])
