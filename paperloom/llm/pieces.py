@@ -18,6 +18,7 @@ costs 1, one for each piece; only one path is finite. Arc weights are computed w
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,13 @@ from .token_counts import read_model
 
 
 class PieceTransducer:
-    def __init__(self, model: PieceModel, cache: int = 600_000, arcs: int = 2_000_000):
+    def __init__(self, model: PieceModel, cache: int = 1_000_000, arcs: int = 2_000_000):
         self.model, self.bound = model, arcs
         self.known = _Remembered(self._ids, cache)
-        self.arcs: dict[tuple[str, str], bool] = {}
+        self.arcs: dict[str, dict[str, bool]] = {}
+        self.met = 0
         self.readable = {p for p in model.ids if len(merged(p, model.ranks)) == 1}
+        self.prefixes = {p[:n] for p in self.readable for n in range(1, len(p) + 1)}
         self.written = [p.encode() for p in model.pieces]
         for i, kind in enumerate(model.kinds):
             if kind == BYTE:
@@ -42,51 +45,63 @@ class PieceTransducer:
                 self.written[i] = b""
         self.mark = SPACE.encode()
 
-    def _joins(self, arc: tuple[str, str]) -> bool:
+    def _joins(self, a: str, b: str) -> bool:
         """Whether the arc from state a that reads b has finite weight."""
-        a, b = arc
         finite = merged(a + b, self.model.ranks) == [a, b]
-        if len(self.arcs) >= self.bound:
+        if self.met >= self.bound:
             self.arcs.clear()
-        self.arcs[arc] = finite
+            self.met = 0
+        self.met += 1
+        self.arcs.setdefault(a, {})[b] = finite
         return finite
 
     def path(self, unit: str) -> list[str]:
         """Pieces on the tropical shortest path through the composition with one unit.
 
-        States are (position, last piece). Positions are relaxed from left to right, and a
-        position keeps its cheapest state: no other has a finite cost, as a prefix has one
-        encoding. A character without a piece is read by an arc of its own.
+        The search goes along finite arcs, the longest first, and steps back from a position
+        without one. A prefix has one finite path, so a position left this way is dead for good,
+        and the first path to the end is the shortest. A character without a piece is read by an
+        arc of its own.
         """
-        n, longest, readable, arcs = len(unit), self.model.longest, self.readable, self.arcs
-        last: list[str | None] = [None] * (n + 1)
-        last[0] = ""
-        for at in range(n):
-            state = last[at]
-            if state is None:
-                continue
-            for end in range(at + 1, min(n, at + longest) + 1):
-                piece = unit[at:end]
-                if piece in readable:
-                    if last[end] is None:
-                        if state:
-                            finite = arcs.get((state, piece))
-                            if finite is None:
-                                finite = self._joins((state, piece))
-                        else:
-                            finite = True
-                        if finite:
-                            last[end] = piece
-                elif end == at + 1 and piece not in self.model.ids and last[end] is None:
-                    last[end] = piece
-        out, at = [], n
-        while at:
-            piece = last[at]
-            if piece is None:
-                raise ValueError("no path: the model's merges have no such order")
-            out.append(piece)
-            at -= len(piece)
-        return out[::-1]
+        n, readable, prefixes = len(unit), self.readable, self.prefixes
+        dead = bytearray(n + 1)
+        out: list[str] = []
+        open_: list[list[str]] = []
+        at, state = 0, ""
+        while at < n:
+            if len(open_) == len(out):
+                arcs = []
+                for end in range(at + 1, n + 1):
+                    piece = unit[at:end]
+                    if piece in readable:
+                        arcs.append(piece)
+                    elif piece not in prefixes:
+                        if end == at + 1:
+                            arcs.append(piece)
+                        break
+                open_.append(arcs)
+            arcs, known = open_[-1], self.arcs.get(state)
+            while arcs:
+                piece = arcs.pop()
+                if dead[at + len(piece)]:
+                    continue
+                finite = (known.get(piece) if known else None) if state else True
+                if finite is None:
+                    finite = self._joins(state, piece)
+                    known = self.arcs.get(state)
+                if finite:
+                    out.append(piece)
+                    at += len(piece)
+                    state = piece
+                    break
+            else:
+                if not out:
+                    raise ValueError("no path: the model's merges have no such order")
+                dead[at] = 1
+                open_.pop()
+                at -= len(out.pop())
+                state = out[-1] if out else ""
+        return out
 
     def _ids(self, unit: str) -> bytes:
         ids = self.model.ids
@@ -96,7 +111,7 @@ class PieceTransducer:
                 out.append(ids[piece])
             else:
                 out.extend(self.model.bytes[b] for b in piece.encode())
-        return np.array(out, "<i4").tobytes()
+        return struct.pack(f"<{len(out)}i", *out)
 
     def encode(self, text: str) -> bytes:
         """Identifiers of a whole text as little-endian 32-bit integers."""
@@ -111,7 +126,7 @@ class PieceTransducer:
         return raw.decode(errors="replace").replace(SPACE, " ")
 
 
-def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", cache: int = 600_000, keep_ids: bool = True) -> DataFrame:
+def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", cache: int = 1_000_000, keep_ids: bool = True) -> DataFrame:
     """Return id, n_tokens, ids (array<int>; left out without ``keep_ids``), ids_sha256 (of the
     little-endian 32-bit ids), decoded_sha256 (of the decoded text's UTF-8) and round_trip.
 
