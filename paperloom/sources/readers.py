@@ -17,7 +17,7 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, path, text): one row a file, undecodable bytes dropped."""
     rows = spark.read.text(path, wholetext=True)
     where = F.input_file_name()
-    return rows.select(base_name(where).alias("doc_id"), where.alias("path"), F.replace("value", F.lit("�"), F.lit("")).alias("text"))
+    return rows.select(base_name(where).alias("doc_id"), where.alias("path"), F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit("")).alias("text"))
 
 
 def paragraphs(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -35,8 +35,10 @@ def document_texts(rows: DataFrame, column: str = "content", keys: tuple[str, ..
 
 
 def write_text(rows: DataFrame, path: str, column: str = "content", keys: tuple[str, ...] = ("doc_id",)) -> None:
-    """One text file a key, in a folder of its name; keys without rows make none."""
-    document_texts(rows, column, keys).repartition(*keys).write.mode("overwrite").partitionBy(*keys).option("lineSep", "").text(path)
+    """One text file a key, in a folder of its name; keys without rows make none. The writer ends
+    a value with a line break, so the text goes without its last one."""
+    texts = document_texts(rows, column, keys).withColumn("text", F.regexp_replace("text", r"\n\z", ""))
+    texts.repartition(*keys).write.mode("overwrite").partitionBy(*keys).text(path)
 
 
 def write_sections(rows: DataFrame, path: str) -> None:
@@ -45,8 +47,8 @@ def write_sections(rows: DataFrame, path: str) -> None:
 
 
 def write_json(rows: DataFrame, path: str, column: str = "overall") -> None:
-    """Each document's raw JSON, without a line break added."""
-    rows.select("doc_id", F.col(column).alias("value")).write.mode("overwrite").partitionBy("doc_id").option("lineSep", "").text(path)
+    """Each document's raw JSON; Spark's text writer ends it with a line break."""
+    rows.select("doc_id", F.col(column).alias("value")).write.mode("overwrite").partitionBy("doc_id").text(path)
 
 
 def write_table(rows: DataFrame, path: str) -> None:

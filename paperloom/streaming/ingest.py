@@ -19,7 +19,7 @@ from ..plans.pipeline import Pipeline
 def read_text_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
     """(doc_id, text) of each new file under path."""
     rows = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files_per_trigger).load(path)
-    return rows.select(base_name(F.input_file_name()).alias("doc_id"), F.replace("value", F.lit("�"), F.lit("")).alias("text"))
+    return rows.select(base_name(F.input_file_name()).alias("doc_id"), F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit("")).alias("text"))
 
 
 def run_stream(docs: DataFrame, pipeline: Pipeline, output: str, checkpoint: str, mode: str = "comprehensive", stage: str | None = None, write: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
