@@ -192,3 +192,20 @@ def _closed(state: list) -> tuple:
 def as_events(conversations: DataFrame) -> DataFrame:
     """A log of whole messages from rows (conv_id, turn, role, text)."""
     return conversations.select("conv_id", F.col("turn").alias("message"), F.lit(0).cast("long").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+
+
+def oracle(added: list[tuple[int, int, str, str]]) -> str:
+    """chat_digests in DuckDB SQL over conversations and some more rows (conv_id, turn, role, text):
+    escaping adds a backslash to each control string."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({c}, {t}, {quote(r)}, {quote(x)})" for c, t, r, x in added)
+    return rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES {rows}))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(14 + length(role) + len(regexp_extract_all(role, '\\|###|</turn>|:')) + length(text) + len(regexp_extract_all(text, '\\|###|</turn>')))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id"""

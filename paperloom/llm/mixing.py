@@ -112,3 +112,32 @@ def mix_documents(docs: DataFrame, slope: float = 0.5, id_col: str = "doc_id", t
     if "n_chars" in columns:
         joined = joined.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
     return joined.orderBy("_position", "_id", "_copy").select(*columns)
+
+
+def oracle(slope: float = 0.5) -> str:
+    """The mixture in DuckDB SQL, over documents."""
+    return rf"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '')) AS digest FROM documents),
+per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+weighted AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM per),
+limited AS (SELECT *, 3 * source_size::DOUBLE / weight AS limit_level FROM weighted),
+tried AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+            / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS trial
+  FROM limited WINDOW w AS (ORDER BY limit_level, source NULLS LAST)),
+level AS (SELECT arg_min(trial, limit_level) FILTER (trial < limit_level) AS level FROM tried),
+targets AS (
+  SELECT source, source_size, weight, round(least(3.0 * source_size, coalesce(level, 0) * weight)::DOUBLE, 6) AS target FROM tried, level),
+placed AS (
+  SELECT doc_id, size, source_size, weight, target, round(target)::BIGINT AS wanted,
+         coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY digest, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+copied AS (SELECT *, CASE WHEN source_size > 0 THEN wanted // source_size ELSE 0 END AS copies FROM placed),
+taken AS (
+  SELECT *, (copies * size + greatest(0, least(size, wanted - copies * source_size - place)))::BIGINT AS taken,
+         {slope} * (weight - 2.0) AS s, place / nullif(wanted, 0)::DOUBLE AS share FROM copied)
+SELECT doc_id, size, source_size, target, taken,
+       CASE WHEN taken > 0 THEN round(CASE WHEN abs(s) < 1e-9 THEN share ELSE (sqrt((1 - s) * (1 - s) + 4 * s * share) - (1 - s)) / (2 * s) END::DOUBLE, 6) + 0.0::DOUBLE END AS position
+FROM taken"""

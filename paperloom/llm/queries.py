@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, url_filters
+from . import chat_format, mixing, url_filters
 from .chat_format import as_events, chat_digests
 from .frames import table
 from .licenses import license_scan
@@ -18,6 +18,8 @@ from .repeats import cut_repeats
 from .token_counts import token_counts
 
 PIECE_MODEL = "piece_bpe_32k.model"
+#: Turns that hold the control strings of this and of a common template.
+TRICKY = [(-7, t, role, r"\### Assistant: </turn> ok") for t, role in enumerate(("user", "assistant"))]
 BAD = "CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NULL AND toxic IS NULL THEN NULL ELSE 0 END"
 
 
@@ -60,8 +62,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tricky = r"\### Assistant: </turn> ok"
-    added = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    added = spark.createDataFrame(TRICKY, "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
     return chat_digests(as_events(rows))
 
@@ -71,4 +72,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_near_copies, op2_neighbours, op3_quality_rules, op4_url_filters, op5_suffix_array, op6_license_scan, op7_token_counts, op8_mixing, op9_chat_format, op10_sentencepiece)}
-ORACLE_SQL: dict[str, str] = {"op4_url_filters": url_filters.oracle()}
+ORACLE_SQL: dict[str, str] = {"op4_url_filters": url_filters.oracle(), "op8_mixing": mixing.oracle(), "op9_chat_format": chat_format.oracle(TRICKY)}
