@@ -28,3 +28,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/paperloom-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def wide_rows(spark: SparkSession) -> SparkSession:
+    """Hand rows that hold whole texts to Python a thousand at a time: ten thousand, Spark's
+    default, are tens of megabytes on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    return spark

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import shared_dir, stored
+from .frames import shared_dir, stored, wide_rows
 from .text import Block, Fingerprints, blocks, mix
 
 LENGTH = 50
@@ -78,16 +78,19 @@ def _chunks(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc[some], start[some], end[some]
 
 
-def _pack(names: np.ndarray, docs: np.ndarray, keys: np.ndarray, places: np.ndarray) -> bytes:
-    """Entries in document order; differences of documents and keys are mostly zero."""
-    return b"".join([names.tobytes(), np.diff(docs, prepend=0).tobytes(), np.diff(keys, prepend=0).tobytes(), places.astype(np.uint32).tobytes()])
+def _pack(names: np.ndarray, docs: np.ndarray, keys: np.ndarray | None, places: np.ndarray | None) -> bytes:
+    """Entries in document order; differences of documents and keys are mostly zero. Anchors need
+    no keys and places."""
+    rest = [] if keys is None else [np.diff(keys, prepend=0).tobytes(), places.astype(np.uint32).tobytes()]
+    return b"".join([names.tobytes(), np.diff(docs, prepend=0).tobytes(), *rest])
 
 
-def _unpack(payload: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(payload: bytes, n: int) -> tuple[np.ndarray, ...]:
     names = np.frombuffer(payload, np.uint64, n)
     docs = np.cumsum(np.frombuffer(payload, np.int64, n, 8 * n))
-    keys = np.cumsum(np.frombuffer(payload, np.int64, n, 16 * n))
-    return names, docs, keys, np.frombuffer(payload, np.uint32, n, 24 * n)
+    if len(payload) == 16 * n:
+        return names, docs
+    return names, docs, np.cumsum(np.frombuffer(payload, np.int64, n, 16 * n)), np.frombuffer(payload, np.uint32, n, 24 * n)
 
 
 def _firsts(names: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +118,7 @@ def _emit(names, spread, docs, keys, places, settled: np.ndarray, leads: np.ndar
         cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             part = chosen[a:b]
-            yield int(to[a]), direct, len(part), _pack(names[part], docs[part], keys[part], places[part])
+            yield int(to[a]), direct, len(part), _pack(names[part], docs[part], None if keys is None else keys[part], None if keys is None else places[part])
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -127,10 +130,11 @@ _FOUND_ARROW = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("payload",
 
 
 def _met(packed: DataFrame, keep_names: bool, ranges: int) -> DataFrame:
-    """Bring each range's entries together, and return by document (doc, key, payload): names of
+    """Bring each range's entries together in one task, and return by document (doc, key, payload): names of
     anchors that a second document has, or places of strings that a smaller document has."""
 
-    def by_document(names, docs, keys, places) -> Iterator[tuple]:
+    def by_document(names, docs, keys=None, places=None) -> Iterator[tuple]:
+        keys = np.zeros(len(docs), np.int64) if keys is None else keys
         order = np.lexsort((keys, docs))
         docs, keys = docs[order], keys[order]
         values = names[order] if keep_names else places[order]
@@ -139,36 +143,41 @@ def _met(packed: DataFrame, keep_names: bool, ranges: int) -> DataFrame:
             yield int(docs[a]), int(keys[a]), values[a:b].tobytes()
 
     def closed(held: list) -> Iterator[tuple]:
-        names, docs, keys, places = (np.concatenate(c) for c in zip(*held, strict=True))
-        least, most = _firsts(names, docs)
-        found = most > least if keep_names else docs > least
-        if found.any():
-            yield from by_document(names[found], docs[found], keys[found], places[found])
+        """Settle a range in pieces of the name space, so that what is sorted at once stays small."""
+        pieces = max(1, sum(len(h[0]) for h in held) >> 17)
+        for piece in range(pieces):
+            mine = [(h, np.flatnonzero(((h[0] >> np.uint64(32)) * np.uint64(pieces)) >> np.uint64(32) == piece)) for h in held]
+            columns = [np.concatenate([h[c][rows] for h, rows in mine]) for c in range(len(held[0]))]
+            names, docs = columns[:2]
+            if len(names):
+                least, most = _firsts(names, docs)
+                found = most > least if keep_names else docs > least
+                if found.any():
+                    yield from by_document(*(c[found] for c in columns))
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, held, at = [], [], None
+        out, held = [], []
         for batch in batches:
             for i in range(batch.num_rows):
-                rank, direct, n, payload = (batch.column(c)[i].as_py() for c in range(4))
-                entries = _unpack(payload, n)
+                direct, n, payload = (batch.column(c)[i].as_py() for c in (1, 2, 3))
                 if direct:
-                    out.extend(by_document(*entries))
+                    out.extend(by_document(*_unpack(payload, n)))
                 else:
-                    if rank != at and held:
-                        out.extend(closed(held))
-                        held = []
-                    at = rank
-                    held.append(entries)
+                    held.append(_unpack(payload, n))
                 if len(out) > 2000:
                     yield _rows(out, _FOUND_ARROW)
                     out = []
-        if held:
-            out.extend(closed(held))
+        for row in closed(held) if held else ():
+            out.append(row)
+            if len(out) > 2000:
+                yield _rows(out, _FOUND_ARROW)
+                out = []
         if out:
             yield _rows(out, _FOUND_ARROW)
+        pa.default_memory_pool().release_unused()
 
-    dealt = packed.repartition(ranges, "range").sortWithinPartitions("range")
-    return dealt.mapInArrow(reduced, "doc long, key long, payload binary")
+    # a partition is a range, so nothing has to be sorted on the way
+    return packed.repartitionById(ranges, "range").mapInArrow(reduced, "doc long, key long, payload binary")
 
 
 def _bucketed(docs: DataFrame, parts: int, files: int = 50_000) -> DataFrame:
@@ -211,7 +220,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Return (doc, text, row, key, spans, places): every row with the starts of its repeated strings,
     as ranges from round 1 and as packed places (32-bit) from round 3, and its columns but the
     text as the struct ``row``. See ``cut_repeats``."""
-    spark = docs.sparkSession
+    spark = wide_rows(docs.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("row"))
     texts = _bucketed(rows.withColumn("key", F.xxhash64("text")), parts)
@@ -233,7 +242,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = stored(chunks.join(shared, ["a", "b"]).filter("doc > least").select("doc", "key", "first", "last"), "spans")
 
     size = chunks.agg(F.sum(F.col("last") - F.col("first"))).first()[0] or 0
-    ranges = min(65_536, max(parts, size >> 25))
+    ranges = min(65_536, max(parts, size >> 23))
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = LENGTH - ANCHOR + 1
@@ -258,8 +267,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 one = _first_of(docs_, names)
                 names, docs_ = names[one], docs_[one]
                 least_doc, most_doc = _firsts(names, docs_)
-                zero = np.zeros(len(names), np.int64)
-                yield _rows(list(_emit(names, names, docs_, zero, zero, most_doc > least_doc, docs_ == least_doc, ranges)), _PACKED_ARROW)
+                yield _rows(list(_emit(names, names, docs_, None, None, most_doc > least_doc, docs_ == least_doc, ranges)), _PACKED_ARROW)
 
     with_spans = _with_lists(texts.select("doc", "key", "text"), {"spans": spans}, "left")
     anchors = stored(_met(with_spans.mapInArrow(anchored, PACKED), True, ranges).select("doc", "payload"), "anchors")

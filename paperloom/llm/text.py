@@ -1,8 +1,8 @@
 """Shared byte and word primitives for the training-data operators.
 
 Texts are handled as the UTF-8 bytes that Arrow already holds, so one numpy expression
-covers all documents of a block. A block is a run of whole documents: about one megabyte,
-or a single longer document; no text is ever cut.
+covers all documents of a block. A block is a run of whole documents: about a quarter of a
+megabyte, or a single longer document; no text is ever cut.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)  # odd, one for each lane
 
 
