@@ -11,7 +11,7 @@ Rounds, each from the survivors of the one before:
 1. Content-defined chunks of about 256 bytes plus the 49 that follow. A chunk that also stands in
    a document of smaller id settles all its positions at once, so of copies one is left.
 2. Anchors of 32 bytes: the least-ranked position of every 19 next to each other, so that any
-   50-byte string holds one. An anchor in one document alone settles all strings around it.
+   50-byte string has one. An anchor in one document alone settles all strings that have it.
 3. The remaining 50-byte strings, as pairs of 32-byte ranks at offset 18. The smallest document
    of each is found, and the positions of all others are marked.
 
@@ -282,13 +282,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     continue
                 rank = Fingerprints(block.data).windows(ANCHOR)
                 lane = Fingerprints(block.data, 1).windows(ANCHOR)
-                hit = np.zeros(len(rank), bool)
+                # the anchor that a string shares with its copies is the least-ranked in it
+                least = rank.copy()
+                least[~_starts_ok(block, ANCHOR)[: len(rank)]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+                least = _slide(least, width, np.minimum)
+                near = np.zeros(len(least), bool)
                 for i in range(block.lo, block.hi):
-                    a, b = block.offsets[i - block.lo], block.offsets[i - block.lo + 1] - ANCHOR + 1
+                    a, b = block.offsets[i - block.lo], block.offsets[i - block.lo + 1] - LENGTH + 1
                     if b > a:
-                        hit[a:b] = np.isin(rank[a:b], np.frombuffer(b"".join(x["payload"] for x in found[i].as_py()), np.uint64))
-                near = _slide(hit, width, np.maximum)
-                at = np.flatnonzero(near & (_starts_ok(block, LENGTH) & ~_settled(block, batch))[: len(near)])
+                        near[a:b] = np.isin(least[a:b], np.frombuffer(b"".join(x["payload"] for x in found[i].as_py()), np.uint64))
+                at = np.flatnonzero(near & ~_settled(block, batch)[: len(near)])
                 if not len(at):
                     continue
                 pair = lambda r: mix(r[at] * np.uint64(0x9FB21C651E98DF25) + mix(r[at + LENGTH - ANCHOR]))
