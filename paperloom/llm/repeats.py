@@ -242,7 +242,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = stored(chunks.join(shared, ["a", "b"]).filter("doc > least").select("doc", "key", "first", "last"), "spans")
 
     size = chunks.agg(F.sum(F.col("last") - F.col("first"))).first()[0] or 0
-    ranges = min(65_536, max(parts, size >> 23))
+    ranges = min(65_536, max(64, size >> 24))
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = LENGTH - ANCHOR + 1
