@@ -12,7 +12,7 @@ from paperloom.llm.queries import QUERIES
 
 def test_stages_equal_brute_force(spark, sf):
     labels_path = sf
-    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("n_chars < 4000")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("n_chars < 1500")
     columns = docs.columns
     kept = corpus_pipeline.quality(spark, docs, labels_path)
     assert kept.columns == columns
