@@ -8,8 +8,10 @@ are candidates, and alignment decides: similarity is 1 - distance / longer lengt
 
 Steps: equal word sequences are one node; nodes that share a sketch are paired with the sketch's
 first node and with the next by length; each node's best-supported pairs are aligned first, their
-components are joined, and every remaining pair across components is aligned after that. A pair
-within a component needs no alignment, as it cannot change a class.
+components are joined, and every remaining pair across components is aligned after that. A sketch
+value whose nodes are still in several components is then compared whole: all of its pairs across
+components that lengths and word counts allow are aligned. A pair within a component needs no
+alignment, as it cannot change a class.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ SKETCHES = 40
 SIMILARITY = 0.8
 #: Node ids are broadcast up to this many (16 bytes each); beyond, the join shuffles.
 BROADCAST_NODES = 1_000_000
+#: Buckets of a text's word counts, and nodes of a crowded sketch value that are compared at a time.
+BAG = 128
+CROWD = 4096
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -168,6 +173,17 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return banded_distance(a.tolist(), b.tolist(), limit) <= limit
 
 
+def bags(words: Tokens) -> np.ndarray:
+    """Word counts of each document by bucket of the word's hash, up to 255.
+
+    An edit moves one count up, one down, or both, so the distance of two texts is at least what
+    either has more than the other, summed over the buckets.
+    """
+    n = len(words.first) - 1
+    at = np.repeat(np.arange(n), np.diff(words.first)) * BAG + (words.hashes % np.uint64(BAG)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=n * BAG), 255).astype(np.uint8).reshape(n, BAG)
+
+
 def _signatures(rows: DataFrame, sketches: int) -> DataFrame:
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,11 +195,11 @@ def _signatures(rows: DataFrame, sketches: int) -> DataFrame:
                     found.append(sketch(words.hashes[a:b], sketches).tobytes())
                 first, second = zip(*names, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(block.lo, block.hi - block.lo), pa.array(np.diff(words.first).astype(np.int64)), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(found, pa.binary())],
-                    ["doc", "n", "a", "b", "sketch"],
+                    [batch.column(0).slice(block.lo, block.hi - block.lo), pa.array(np.diff(words.first).astype(np.int64)), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(found, pa.binary()), pa.array([x.tobytes() for x in bags(words)], pa.binary())],
+                    ["doc", "n", "a", "b", "sketch", "bag"],
                 )
 
-    return rows.mapInArrow(signed, "doc long, n long, a long, b long, sketch binary")
+    return rows.mapInArrow(signed, "doc long, n long, a long, b long, sketch binary, bag binary")
 
 
 def _pairs(nodes: DataFrame, parts: int) -> DataFrame:
@@ -245,6 +261,84 @@ def _pairs(nodes: DataFrame, parts: int) -> DataFrame:
     return dealt.mapInArrow(met, "low long, high long").groupBy("low", "high").agg(F.count("*").alias("support"))
 
 
+def crossing(n: np.ndarray, label: np.ndarray, side: np.ndarray, bag: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs with different labels whose lengths and word counts allow the similarity.
+
+    side tells which of two blocks a node is of; pairs are between the blocks, or all of them
+    where the nodes are of one block.
+    """
+    order = np.argsort(n, kind="stable")
+    n, label, side, bag = n[order], label[order], side[order], bag[order]
+    total = bag.sum(axis=1, dtype=np.int64)
+    two = side.min() != side.max()
+    limits = (n * (1 - least) + 1e-9).astype(np.int64)  # of a pair: that of its longer text
+    begin = np.searchsorted(n, n - limits)
+    low, high = [], []
+    for i in range(1, len(n)):
+        near = slice(begin[i], i)
+        other = label[near] != label[i]
+        if two:
+            other &= side[near] != side[i]
+        at = np.flatnonzero(other) + begin[i]
+        if len(at):
+            union = np.maximum(bag[at], bag[i]).sum(axis=1, dtype=np.int64)
+            at = at[union - np.minimum(total[at], total[i]) <= limits[i]]
+            low.append(at)
+            high.append(np.full(len(at), i))
+    if not low:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return order[np.concatenate(low)], order[np.concatenate(high)]
+
+
+def _crowded(nodes: DataFrame, parts: int, least: float) -> DataFrame:
+    """Every pair (low, high) of the nodes (node, n, label, sketch, bag) that agree in a sketch, are
+    in different components and may be similar.
+
+    Only sketch values with several components are dealt out. Those of more than CROWD nodes are
+    split into blocks, and each two blocks meet in a group of their own.
+    """
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), batch.column(0).take(at), batch.column(1).take(at)], ["key", "node", "label"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+
+        def pairs(table: pa.Table, ends: np.ndarray) -> pa.RecordBatch:
+            node, n, label, side = (table.column(c).to_numpy() for c in ("node", "n", "label", "side"))
+            bag = np.frombuffer(b"".join(table.column("bag").to_pylist()), np.uint8).reshape(-1, BAG)
+            found = [np.zeros((0, 2), np.int64)]
+            for lo, hi in zip(np.append(0, ends[:-1]), ends, strict=True):
+                if hi - lo > 1:
+                    a, b = crossing(n[lo:hi], label[lo:hi], side[lo:hi], bag[lo:hi], least)
+                    found.append(np.stack([node[lo:hi][a], node[lo:hi][b]], axis=1))
+            both = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["low", "high"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            key, one, two = (table.column(c).to_numpy() for c in ("key", "one", "two"))
+            ends = np.flatnonzero((key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])) + 1
+            if len(ends):
+                yield pairs(table.slice(0, ends[-1]), ends)
+            rest = table.slice(ends[-1] if len(ends) else 0)
+        if rest is not None and rest.num_rows:
+            yield pairs(rest, np.array([rest.num_rows]))
+
+    members = nodes.select("node", "label", "sketch").mapInArrow(keyed, "key long, node long, label long")
+    mixed = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("key", F.ceil(F.col("size") / CROWD).alias("blocks"))
+    held = members.join(stored(mixed, "mixed"), "key").join(nodes.select("node", "n", "bag"), "node").withColumn("side", F.pmod(F.xxhash64("node"), "blocks"))
+    dealt = held.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("side", "with").alias("one"), F.greatest("side", "with").alias("two"), "node", "n", "label", "side", "bag")
+    sorted_ = dealt.repartition(parts, "key", "one", "two").sortWithinPartitions("key", "one", "two")
+    return sorted_.mapInArrow(met, "low long, high long").distinct()
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     """The pairs whose texts align. Only texts that a pair names are read past the scan."""
     ids = stored(pairs.select(F.explode(F.array("low", "high")).alias("doc")).distinct(), "named")
@@ -305,7 +399,7 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKET
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     known = rows.filter("doc IS NOT NULL")
     signed = stored(_signatures(known, sketches), "sketches")
-    groups = stored(signed.filter("n > 0").groupBy("a", "b").agg(F.min("doc").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    groups = stored(signed.filter("n > 0").groupBy("a", "b").agg(F.min("doc").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bag").alias("bag")), "nodes")
     pairs = stored(_pairs(groups.select("node", "n", "sketch"), parts), "pairs")
     both = pairs.select(F.col("low").alias("own"), "low", "high", "support").union(pairs.select(F.col("high").alias("own"), "low", "high", "support"))
     best = Window.partitionBy("own").orderBy(F.desc("support"), "low", "high")
@@ -313,10 +407,15 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKET
     links = stored(_verified(first, known, least), "links")
     labels = components(links)
     side = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"{name}_label"))
+    first = stored(first, "tried")
     across = pairs.join(side("low"), "low", "left").join(side("high"), "high", "left").filter(F.coalesce("low_label", "low") != F.coalesce("high_label", "high"))
-    across = stored(across.select("low", "high").join(stored(first, "tried"), ["low", "high"], "left_anti"), "across")
+    across = stored(across.select("low", "high").join(first, ["low", "high"], "left_anti"), "across")
     more = stored(_verified(across, known, least), "links")
-    labels = components(links.union(more))
+    links = stored(links.union(more), "links")
+    labels = components(links)
+    named = stored(groups.join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), "sketch", "bag"), "named")
+    left = stored(_crowded(named, parts, least).join(first.union(across), ["low", "high"], "left_anti"), "crowded")
+    labels = components(links.union(stored(_verified(left, known, least), "links")))
     classes = groups.join(labels, "node", "left").select("a", "b", F.coalesce("label", "node").alias("class_id"))
     # rows that share an id with different texts are tied together through the id
     found = signed.select("doc", "n", "a", "b").join(classes, ["a", "b"], "left").select("doc", "n", F.coalesce("class_id", "doc").alias("class_id"))

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from paperloom.llm.near_copies import banded_distance, drop_near_copies, near_copies, similar, sketch, tokens
+from paperloom.llm.near_copies import Tokens, bags, banded_distance, crossing, drop_near_copies, near_copies, similar, sketch, tokens
 from paperloom.llm.text import blocks
 
 
@@ -112,3 +112,33 @@ def test_edges(spark, documents, edge_texts):
     assert got == sorted([(1, 1), (2, 2), (3, 3), (4, 4), (4, 4), (5, 5), (6, 6), (7, 7), (None, None), (None, None)], key=repr)
     assert drop_near_copies(docs).count() == len(edge_texts)
     assert near_copies(documents([])).count() == 0 == drop_near_copies(documents([])).count()
+
+
+def test_crowded_sketch_values_lose_no_link(spark, documents):
+    """Pairs that share a passage, and so their sketches, with many unrelated texts of about their
+    length: neither is the shortest, nor the other's neighbour by length."""
+    random.seed(4)
+    word = lambda: f"w{random.randrange(10**6)}"
+    passage = [word() for _ in range(30)]
+    rows = [(1000, " ".join(passage))]
+    for i in range(240):
+        rows.append((i, " ".join(passage + [word() for _ in range(20 + i % 5)])))
+    for i in range(0, 60, 3):
+        words = rows[1 + i][1].split()
+        words[32:41:2] = [word() for _ in range(5)]
+        rows.append((500 + i, " ".join(words[:44] + [word()] + words[44:] + [word()])))
+    got = {r.doc_id: r.class_id for r in near_copies(documents(rows).repartition(4)).collect()}
+    assert got == brute(rows)
+
+
+def test_crossing_equals_all_pairs():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 40, rng.integers(10, 60)).astype(np.uint64) for _ in range(60)]
+    texts += [np.concatenate([t[: len(t) - 2], t[:1]]) for t in texts[:30]]
+    words = Tokens(np.concatenate(texts), np.append(0, np.cumsum([len(t) for t in texts])))
+    n, label = np.array([len(t) for t in texts]), rng.integers(0, 50, len(texts))
+    for side in (np.zeros(len(texts), np.int64), np.arange(len(texts)) // 60):
+        got = {(min(a, b), max(a, b)) for a, b in zip(*(x.tolist() for x in crossing(n, label, side, bags(words), 0.8)), strict=True)}
+        true = {(i, j) for j in range(len(texts)) for i in range(j) if label[i] != label[j] and (side[i] != side[j] or not side.any()) and similar(texts[i], texts[j])}
+        assert true and true <= got and len(got) < len(texts) * 20
+        assert all(label[i] != label[j] and (side[i] != side[j] or not side.any()) for i, j in got)
