@@ -249,20 +249,20 @@ def explode_conditions(spark, sf_dir):
 @query()
 def abstract_paragraphs(spark, sf_dir):
     """The rule backend's leading sentences, capped by characters; checked in tests."""
-    rows = top_by_group(_paragraphs(spark, sf_dir).withColumn("similarity", F.lit(0.0)), 2)
+    rows = _paragraphs(spark, sf_dir)
     return models.abstracts(rows, backends.resolve("abstract", "rules"), CONFIG).select("doc_id", "pos", "abstract", "error")
 
 
 @query()
 def summarize_paragraphs(spark, sf_dir):
-    rows = top_by_group(_paragraphs(spark, sf_dir).withColumn("similarity", F.lit(0.0)), 2)
+    rows = _paragraphs(spark, sf_dir)
     return models.summaries(rows, backends.resolve("summary", "rules"), CONFIG, "content").select("doc_id", "pos", "summarized", "error")
 
 
 @query()
 def summarize_document(spark, sf_dir):
     """The whole pipeline: one JSON a document."""
-    stages = Pipeline(replace(CONFIG, back_matter=MARKERS, embedding_reference=REFERENCE, top_n=3)).process(_docs(spark, sf_dir))
+    stages = Pipeline(replace(CONFIG, back_matter=MARKERS, embedding_reference=REFERENCE)).process(_docs(spark, sf_dir))
     return stages["overall"].select("doc_id", "overall", "error")
 
 
