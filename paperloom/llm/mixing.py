@@ -48,7 +48,7 @@ def _invert(share: Column, slope: Column) -> Column:
     return F.when(straight, share).otherwise((root - (1 - slope)) / F.when(straight, F.lit(1.0)).otherwise(2 * slope))
 
 
-def mixture(docs: DataFrame, slope: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mixture(docs: DataFrame, slope: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """Return id, size, source_size, target, taken, position and weight of every row.
 
     taken: words that the mix takes from the row, whole copies and at most one cut one a source;
@@ -63,14 +63,15 @@ def mixture(docs: DataFrame, slope: float = 0.5, id_col: str = "doc_id", text_co
     and share their places; an empty table gives an empty result; other columns are left out.
     """
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words.alias("size"))
+    row = F.col(row_col) if row_col else F.lit(None).cast("long")
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words.alias("size"), row.alias("row"))
     sized = stored(sized, "sizes").withColumn("digest", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))).withColumn("bucket", F.substring("digest", 1, 3))
     buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("offset", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)))
     sources = _sources(sized)
     plan = buckets.alias("b").join(sources.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source"))).select(F.col("b.source").alias("plan_source"), F.col("b.bucket").alias("plan_bucket"), "offset", "source_size", "weight", "target")
-    inner = Window.partitionBy("source", "bucket").orderBy("digest", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("source", "bucket").orderBy("digest", "id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         sized.withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0)))
         .join(plan, F.col("source").eqNullSafe(F.col("plan_source")) & (F.col("bucket") == F.col("plan_bucket")))
@@ -81,10 +82,10 @@ def mixture(docs: DataFrame, slope: float = 0.5, id_col: str = "doc_id", text_co
         .withColumn("taken", F.col("copies") * F.col("size") + F.greatest(F.lit(0), F.least("size", F.col("left_over") - F.col("place"))))
     )
     at = _invert(F.col("place") / F.col("wanted"), slope * (F.col("weight") - 2.0))
-    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, F.round(at, 6)).alias("position"), "weight", "place", "wanted")
+    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, F.round(at, 6)).alias("position"), "weight", "place", "wanted", *([F.col("row").alias(row_col)] if row_col else []))
 
 
-def training_order(mixed: DataFrame, slope: float = 0.5, id_col: str = "doc_id") -> DataFrame:
+def training_order(mixed: DataFrame, slope: float = 0.5, id_col: str = "doc_id", row_col: str | None = None) -> DataFrame:
     """One row a copy: id, copy (from 0), copy_words (its size, less in a cut one) and position,
     range-sorted by position (ties by id and copy)."""
     each = mixed.filter("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.expr("cast((taken - 1) div size as int)"))))
@@ -92,6 +93,7 @@ def training_order(mixed: DataFrame, slope: float = 0.5, id_col: str = "doc_id")
     out = each.select(
         F.col(id_col), "copy", F.least("size", F.col("taken") - F.col("copy") * F.col("size")).alias("copy_words"), "size",
         _invert(share, slope * (F.col("weight") - 2.0)).alias("position"),
+        *([row_col] if row_col else []),
     )
     return out.orderBy("position", id_col, "copy")
 
@@ -99,19 +101,21 @@ def training_order(mixed: DataFrame, slope: float = 0.5, id_col: str = "doc_id")
 def mix_documents(docs: DataFrame, slope: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed corpus: the columns of docs, a row for each copy taken, in training order.
 
-    A cut copy keeps its first words up to the cut, with the space between them. Ids must be
-    unique here, as they name the texts to copy; the join is on the id, so no key is hot.
+    A cut copy keeps its first words up to the cut, with the space between them. Rows are stored
+    under a number of their own that names the text to copy, so rows with a null id or one that
+    repeats are each copied as often as the mixture says.
     """
     columns = docs.columns
-    order = stored(training_order(mixture(docs, slope, id_col, text_col, source_col), slope, id_col), "order")
-    order = order.select(F.col(id_col).alias("_id"), F.col("copy").alias("_copy"), F.col("copy_words").alias("_words"), F.col("size").alias("_size"), F.col("position").alias("_position"))
+    docs = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    order = stored(training_order(mixture(docs, slope, id_col, text_col, source_col, "_row"), slope, id_col, "_row"), "order")
+    order = order.select("_row", F.col(id_col).alias("_id"), F.col("copy").alias("_copy"), F.col("copy_words").alias("_words"), F.col("size").alias("_size"), F.col("position").alias("_position"))
     whole = F.col("_words") >= F.col("_size")
     # what stands before the word after the cut, by one pass of a bounded repetition
     cut = F.expr(f"array_join(slice(regexp_extract_all({text_col}, '[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+', 0), 1, cast(_words as int)), '')")
-    joined = docs.join(order, F.col(id_col) == F.col("_id")).withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(cut))
+    joined = docs.join(order, "_row").withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(cut))
     if "n_chars" in columns:
         joined = joined.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
-    return joined.orderBy("_position", "_id", "_copy").select(*columns)
+    return joined.orderBy("_position", "_id", "_copy", "_row").select(*columns)
 
 
 def oracle(slope: float = 0.5) -> str:

@@ -101,3 +101,9 @@ def test_edges(documents, edge_texts):
     assert len(got) == len(edge_texts) and sum(r.taken for r in got) == sum(size_of(t) for _, t in edge_texts)
     assert mixture(documents([])).count() == 0 and mixture(documents([(1, None), (2, "")])).filter("taken > 0").count() == 0
     assert mix_documents(documents([])).count() == 0
+
+
+def test_null_and_repeated_ids_are_copied_each(documents):
+    docs = documents([(None, "a b c d"), (None, "e f"), (1, "g h i"), (1, "j k l m n"), (1, "g h i"), (2, "o")])
+    words = " ".join(r.text for r in mix_documents(docs).collect()).split()
+    assert sorted(words) == sorted("a b c d e f g h i j k l m n g h i o".split())
