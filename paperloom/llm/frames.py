@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,12 +28,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     so a lost executor costs no recomputation of what lies before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/paperloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def wide_rows(spark: SparkSession) -> SparkSession:
-    """Hand rows that hold whole texts to Python a thousand at a time: ten thousand, Spark's
-    default, are tens of megabytes on both sides."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
-    return spark
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """While a job runs, rows go to Python a thousand at a time: ten thousand whole texts, Spark's
+    default, are tens of megabytes on both sides. The session's own setting comes back after it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

@@ -1,23 +1,28 @@
-"""Suffix-array dedup by distributed prefix doubling.
-
-A position's rank at length h names its h-byte substring; the rank at a greater length is the
-pair of the rank there and the rank at an offset. Ranks are compared across documents by sorting
-them within ranges of the rank space, and a position whose rank is held by one document alone
-drops out before the next length. Ranks are named by 64-bit fingerprints (a second, independent
-fingerprint picks the range), so a name needs no second shuffle back to its positions.
-
-Rounds, each from the survivors of the one before:
-
-1. Content-defined chunks of about 256 bytes plus the 49 that follow. A chunk that also stands in
-   a document of smaller id settles all its positions at once, so of copies one is left.
-2. Anchors of 32 bytes: the least-ranked position of every 19 next to each other, so that any
-   50-byte string has one. An anchor in one document alone settles all strings that have it.
-3. The remaining 50-byte strings, as pairs of 32-byte ranks at offset 18. The smallest document
-   of each is found, and the positions of all others are marked.
-
-Positions travel packed, many to a row: names, documents and places as arrays. A block of
-documents settles what it can by itself, and sends on one entry a name, so a string that stands
-in a third of all documents meets in one task only once a block.
+"""Suffix-array dedup by distributed prefix doubling over sparse positions.
+
+A position's rank at length h orders its h-byte substring among all others; the rank at a greater
+length is that of the pair (rank at the position, rank at an offset). The rank at 8 bytes is the
+bytes themselves, packed into a whole number.
+
+A row for every position of the corpus would shuffle over twenty times the input, so the positions
+that Spark sorts are anchors: of the 16-byte windows of every 50-byte string the least by a hash,
+the first of equals. A string has one anchor at one place, whatever text it stands in, so equal
+strings meet under equal anchors.
+
+1. Texts that equal one of a smaller document (SHA-256) are settled whole and take no further part.
+2. Anchors that one row alone has drop out: a string with such an anchor stands nowhere else. They
+   are told by 32-bit names within ranges of the anchors' hash space; a chance agreement only keeps
+   an anchor for the next step. Names travel packed, thousands to a row.
+3. Spark sorts the remaining anchors by the pair of 8-byte ranks at offset 8, which is their exact
+   rank at 16. With an anchor go the bytes that its strings reach over (up to 34 on either side), so
+   doubling stays inside the sorted group: ranks at 8, 16, 32 and, overlapped by offset 18, 50 are
+   sorted from pairs. After each, positions whose rank one document alone holds drop out. At 50 the
+   least document of a rank keeps its string, and all others lose it.
+
+No decision rests on a fingerprint: step 2 only passes over what cannot repeat, and step 3 compares
+bytes. A task sends on one entry for what repeats within its own rows. An anchor with more than
+CROWD entries is not held: its strings go on one by one, dealt out by all their bytes, and Spark's
+sort brings equal ones next to each other.
 """
 
 from __future__ import annotations
@@ -31,313 +36,517 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import shared_dir, stored, wide_rows
-from .text import Block, Fingerprints, blocks, mix
+from .frames import shared_dir, stored
+from .text import Block, blocks, mix
 
 LENGTH = 50
-ANCHOR = 32
-CHUNK_MASK, CHUNK_WINDOW = 255, 24
+ANCHOR = 16
+REACH = LENGTH - ANCHOR  # bytes of an anchor's strings on either side of it, at most
 LAST_ID = (1 << 63) - 1
-PACKED = "range int, direct boolean, n int, payload binary"
-
-
-def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
-    """pick (minimum or maximum) over values[i : i + width], for each full window."""
-    have, out = 1, values
-    while have * 2 <= width:
-        out = pick(out[:-have], out[have:]) if len(out) > have else out[:0]
-        have *= 2
-    rest = width - have
-    if rest:
-        out = pick(out[:-rest], out[rest:]) if len(out) > rest else out[:0]
-    return out
-
-
-def _ends(block: Block) -> np.ndarray:
-    """For each byte, the end of its document."""
-    return np.repeat(block.offsets[1:], np.diff(block.offsets))
-
-
-def _starts_ok(block: Block, width: int) -> np.ndarray:
-    """Whether data[p : p + width] lies in one document, for every byte p."""
-    return np.arange(len(block.data)) + width <= _ends(block)
-
-
-def _chunks(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start, end) of the content-defined chunks; each holds string starts start..end."""
-    n = len(block.data)
-    cut = np.zeros(n + 1, bool)
-    prints = Fingerprints(block.data).windows(CHUNK_WINDOW)
-    cut[: len(prints)] = ((prints & np.uint64(CHUNK_MASK)) == 0) & _starts_ok(block, CHUNK_WINDOW)[: len(prints)]
-    cut[block.offsets] = True
-    start = np.flatnonzero(cut[:n])
-    end = np.append(start[1:], n)
-    doc = np.searchsorted(block.offsets, start, "right") - 1
-    end = np.minimum(end, block.offsets[doc + 1] - LENGTH + 1)
-    some = end > start
-    return doc[some], start[some], end[some]
-
-
-def _pack(names: np.ndarray, docs: np.ndarray, keys: np.ndarray | None, places: np.ndarray | None) -> bytes:
-    """Entries in document order; differences of documents and keys are mostly zero. Anchors need
-    no keys and places."""
-    rest = [] if keys is None else [np.diff(keys, prepend=0).tobytes(), places.astype(np.uint32).tobytes()]
-    return b"".join([names.tobytes(), np.diff(docs, prepend=0).tobytes(), *rest])
-
-
-def _unpack(payload: bytes, n: int) -> tuple[np.ndarray, ...]:
-    names = np.frombuffer(payload, np.uint64, n)
-    docs = np.cumsum(np.frombuffer(payload, np.int64, n, 8 * n))
-    if len(payload) == 16 * n:
-        return names, docs
-    return names, docs, np.cumsum(np.frombuffer(payload, np.int64, n, 16 * n)), np.frombuffer(payload, np.uint32, n, 24 * n)
-
-
-def _firsts(names: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each entry the smallest and the largest document with its name."""
-    order = np.lexsort((docs, names))
-    sorted_names, sorted_docs = names[order], docs[order]
-    head = np.flatnonzero(np.concatenate([[True], sorted_names[1:] != sorted_names[:-1]]))
-    size = np.diff(np.append(head, len(names)))
-    least, most = np.empty(len(names), np.int64), np.empty(len(names), np.int64)
-    least[order] = np.repeat(sorted_docs[head], size)
-    most[order] = np.repeat(sorted_docs[head + size - 1], size)
-    return least, most
-
-
-def _emit(names, spread, docs, keys, places, settled: np.ndarray, leads: np.ndarray, ranges: int) -> Iterator[tuple]:
-    """Packed rows of one block: settled entries go straight on, by document; leads go to the
-    range of their name. An entry may be both."""
-    for direct, chosen in ((True, np.flatnonzero(settled)), (False, np.flatnonzero(leads))):
-        if not len(chosen):
-            continue
-        value = mix(docs[chosen].astype(np.uint64)) if direct else spread[chosen]
-        to = ((value >> np.uint64(44)) * np.uint64(ranges) >> np.uint64(20)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        chosen, to = chosen[order], to[order]
-        cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            part = chosen[a:b]
-            yield int(to[a]), direct, len(part), _pack(names[part], docs[part], None if keys is None else keys[part], None if keys is None else places[part])
+#: Anchors of a task that are matched before they are sent, and entries of one anchor that are held.
+FLUSH = 300_000
+CROWD = 16_384
+#: Entries that are ranked at once, or those of one anchor.
+SOLVED = 4_096
+#: Bytes of text whose anchors form a range of the hash space (about as many bytes are held for it).
+RANGE_BYTES = 1 << 20
+#: Files that the table of texts may be written to without dealing rows out first.
+FILES = 5_000
+_ENTRY = np.dtype([("place", "<u4"), ("a", "u1"), ("b", "u1")])  # an anchor; its strings start b to a bytes before it
+_SPAN = np.dtype([("first", "<u4"), ("last", "<u4")])  # removed string starts
+_LEAD = 0xFFFFFFFF
+_SENT = "range long, direct boolean, n int, payload binary"
+_RANKED = "r1 long, r2 long, ab int, doc long, key long, place long, piece binary"
+_SENT_ARROW = pa.schema([("range", pa.int64()), ("direct", pa.bool_()), ("n", pa.int32()), ("payload", pa.binary())])
+_FOUND_ARROW = pa.schema([("key", pa.int64()), ("payload", pa.binary())])
+_RANKED_ARROW = pa.schema([("r1", pa.int64()), ("r2", pa.int64()), ("ab", pa.int32()), ("doc", pa.int64()), ("key", pa.int64()), ("place", pa.int64()), ("piece", pa.binary())])
+
+
+def packed(data: np.ndarray) -> np.ndarray:
+    """Rank at 8 bytes of every position: the bytes as one number, whose order is theirs."""
+    if len(data) < 8:
+        return np.zeros(0, np.uint64)
+    return np.ndarray(len(data) - 7, ">u8", np.ascontiguousarray(data), strides=(1,)).astype(np.uint64)
+
+
+def anchors(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, position, first, last) of a block's anchors: their strings start at first..last."""
+    none = np.zeros(0, np.int64)
+    size = np.diff(block.offsets)
+    if not len(size) or size.max() < LENGTH:
+        return none.astype(np.uint64), none, none, none
+    eight = packed(block.data)
+    least = mix(eight[:-8] * np.uint64(0x9E3779B97F4A7C15) + mix(eight[8:]))
+    names, at = least, np.arange(len(least), dtype=np.int32)
+    have, width = 1, REACH + 1
+    while have < width:
+        step = min(have, width - have)
+        right = least[step:] < least[:-step]
+        least, at = np.where(right, least[step:], least[:-step]), np.where(right, at[step:], at[:-step])
+        have += step
+    whole = np.zeros(len(block.data) + 1, np.int8)
+    long = size >= LENGTH
+    np.add.at(whole, block.offsets[:-1][long], 1)
+    np.add.at(whole, block.offsets[1:][long] - LENGTH + 1, -1)
+    starts = np.flatnonzero(np.cumsum(whole[: len(least)], dtype=np.int8))
+    at = at[starts]
+    head = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    position = at[head].astype(np.int64)
+    return names[position], position, starts[head], starts[np.append(head[1:], len(starts)) - 1]
+
+
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by keys (last first), the heads of runs of equal keys but the first, and run sizes."""
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    for key in keys[1:]:
+        ranked = key[order]
+        new[1:] |= ranked[1:] != ranked[:-1]
+    if len(new):
+        new[0] = True
+    head = np.flatnonzero(new)
+    return order, head, np.diff(np.append(head, len(order)))
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
 
-_PACKED_ARROW = pa.schema([("range", pa.int32()), ("direct", pa.bool_()), ("n", pa.int32()), ("payload", pa.binary())])
-_FOUND_ARROW = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("payload", pa.binary())])
-
-
-def _met(packed: DataFrame, keep_names: bool, ranges: int) -> DataFrame:
-    """Bring each range's entries together in one task, and return by document (doc, key, payload): names of
-    anchors that a second document has, or places of strings that a smaller document has."""
-
-    def by_document(names, docs, keys=None, places=None) -> Iterator[tuple]:
-        keys = np.zeros(len(docs), np.int64) if keys is None else keys
-        order = np.lexsort((keys, docs))
-        docs, keys = docs[order], keys[order]
-        values = names[order] if keep_names else places[order]
-        head = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1])]))
-        for a, b in zip(head, np.append(head[1:], len(docs)), strict=True):
-            yield int(docs[a]), int(keys[a]), values[a:b].tobytes()
-
-    def closed(held: list) -> Iterator[tuple]:
-        """Settle a range in pieces of the name space, so that what is sorted at once stays small."""
-        pieces = max(1, sum(len(h[0]) for h in held) >> 17)
-        for piece in range(pieces):
-            mine = [(h, np.flatnonzero(((h[0] >> np.uint64(32)) * np.uint64(pieces)) >> np.uint64(32) == piece)) for h in held]
-            columns = [np.concatenate([h[c][rows] for h, rows in mine]) for c in range(len(held[0]))]
-            names, docs = columns[:2]
-            if len(names):
-                least, most = _firsts(names, docs)
-                found = most > least if keep_names else docs > least
-                if found.any():
-                    yield from by_document(*(c[found] for c in columns))
-
-    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, held = [], []
-        for batch in batches:
-            for i in range(batch.num_rows):
-                direct, n, payload = (batch.column(c)[i].as_py() for c in (1, 2, 3))
-                if direct:
-                    out.extend(by_document(*_unpack(payload, n)))
-                else:
-                    held.append(_unpack(payload, n))
-                if len(out) > 2000:
-                    yield _rows(out, _FOUND_ARROW)
-                    out = []
-        for row in closed(held) if held else ():
-            out.append(row)
-            if len(out) > 2000:
-                yield _rows(out, _FOUND_ARROW)
-                out = []
-        if out:
-            yield _rows(out, _FOUND_ARROW)
-        pa.default_memory_pool().release_unused()
-
-    # a partition is a range, so nothing has to be sorted on the way
-    return packed.repartitionById(ranges, "range").mapInArrow(reduced, "doc long, key long, payload binary")
-
-
-def _bucketed(docs: DataFrame, parts: int, files: int = 50_000) -> DataFrame:
-    """Texts in a table bucketed by document, so that each round joins its small lists without
-    moving the texts again. Where writing straight would leave too many files, they are dealt
-    out by document first."""
-    spark = docs.sparkSession
-    rows = docs
-    if docs.rdd.getNumPartitions() * parts > files:
-        rows = docs.repartition(parts, "doc")
-    name = f"paperloom_texts_{uuid.uuid4().hex}"
-    rows.write.bucketBy(parts, "doc").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").format("parquet").saveAsTable(name)
-    return spark.table(name)
-
-
-def _with_lists(texts: DataFrame, lists: dict[str, DataFrame], how: str) -> DataFrame:
-    for name, rows in lists.items():
-        columns = [c for c in rows.columns if c != "doc"]
-        grouped = rows.groupBy("doc").agg(F.collect_list(F.struct(*columns)).alias(name))
-        texts = texts.join(grouped.hint("shuffle_hash"), "doc", how)
-    return texts
-
-
-def _own(column, key: int) -> list[dict]:
-    return [x for x in column or [] if x["key"] == key]
-
-
-def _settled(block: Block, batch: pa.RecordBatch) -> np.ndarray:
-    """Bytes of the block that are starts of settled strings (round 1), as a mask."""
-    mask = np.zeros(len(block.data), bool)
-    at, lists, keys = block.offsets, batch.column(batch.schema.get_field_index("spans")), batch.column(batch.schema.get_field_index("key"))
-    for i in range(block.lo, block.hi):
-        if lists[i].is_valid:
-            for span in _own(lists[i].as_py(), keys[i].as_py()):
-                mask[at[i - block.lo] + span["first"] : at[i - block.lo] + span["last"]] = True
-    return mask
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return (doc, text, row, key, spans, places): every row with the starts of its repeated strings,
-    as ranges from round 1 and as packed places (32-bit) from round 3, and its columns but the
-    text as the struct ``row``. See ``cut_repeats``."""
-    spark = wide_rows(docs.sparkSession)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("row"))
-    texts = _bucketed(rows.withColumn("key", F.xxhash64("text")), parts)
-
-    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in blocks(batch.column(2)):
-                doc, start, end = _chunks(block)
-                stop = end + LENGTH - 1
-                row = pa.array(block.lo + doc)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(row), batch.column(1).take(row), pa.array((start - block.offsets[doc]).astype(np.int32)), pa.array((end - block.offsets[doc]).astype(np.int32)),
-                     *(pa.array(Fingerprints(block.data, lane).spans(start, stop).view(np.int64)) for lane in (0, 1))],
-                    ["doc", "key", "first", "last", "a", "b"],
-                )
-
-    chunks = stored(texts.select("doc", "key", "text").mapInArrow(chunked, "doc long, key long, first int, last int, a long, b long"), "chunks")
-    shared = chunks.groupBy("a", "b").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("most > least").select("a", "b", "least")
-    spans = stored(chunks.join(shared, ["a", "b"]).filter("doc > least").select("doc", "key", "first", "last"), "spans")
-
-    size = chunks.agg(F.sum(F.col("last") - F.col("first"))).first()[0] or 0
-    ranges = min(65_536, max(64, size >> 24))
-
-    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = LENGTH - ANCHOR + 1
-        top = np.uint64(0xFFFFFFFFFFFFFFFF)
-        for batch in batches:
-            for block in blocks(batch.column(2)):
-                n = len(block.data)
-                if n < LENGTH:
-                    continue
-                rank = Fingerprints(block.data).windows(ANCHOR)
-                rank[~_starts_ok(block, ANCHOR)[: len(rank)]] = top
-                least = _slide(rank, width, np.minimum)
-                open_ = (_starts_ok(block, LENGTH) & ~_settled(block, batch))[: len(least)]
-                least = np.where(open_, least, np.uint64(0))
-                padded = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
-                at = np.flatnonzero((_slide(padded, width, np.maximum) == rank) & (rank != top) & (rank != 0))
-                if not len(at):
-                    continue
-                doc_row = np.searchsorted(block.offsets, at, "right") - 1
-                docs_ = np.asarray(batch.column(0).slice(block.lo, block.hi - block.lo))[doc_row]
-                names = rank[at]
-                one = _first_of(docs_, names)
-                names, docs_ = names[one], docs_[one]
-                least_doc, most_doc = _firsts(names, docs_)
-                yield _rows(list(_emit(names, names, docs_, None, None, most_doc > least_doc, docs_ == least_doc, ranges)), _PACKED_ARROW)
-
-    with_spans = _with_lists(texts.select("doc", "key", "text"), {"spans": spans}, "left")
-    anchors = stored(_met(with_spans.mapInArrow(anchored, PACKED), True, ranges).select("doc", "payload"), "anchors")
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = LENGTH - ANCHOR + 1
+def _by_key(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    """(key, payload) with the values of each key."""
+    order = np.argsort(keys, kind="stable")
+    keys, values = keys[order], np.ascontiguousarray(values[order])
+    head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    ends = np.append(head, len(keys)).astype(np.int32) * values.dtype.itemsize
+    payload = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(keys[head]), payload], schema=_FOUND_ARROW)
+
+
+def _lists(column: pa.Array, lo: int, hi: int, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The row (from 0) and value of all entries of rows lo..hi of an array<binary> column."""
+    part = column.slice(lo, hi - lo)
+    values = part.flatten()
+    per = np.diff(np.frombuffer(part.buffers()[1], np.int32)[part.offset : part.offset + len(part) + 1])
+    if part.null_count:
+        per = np.where(np.asarray(part.is_valid()), per, 0)
+    if not len(values):
+        return np.zeros(0, np.int64), np.zeros(0, kind)
+    ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+    found = np.frombuffer(values.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind)
+    return np.repeat(np.repeat(np.arange(hi - lo), per), np.diff(ends) // kind.itemsize), found
+
+
+def _sent(ranges: int):
+    """Rows (key, text) to packed anchors: those that two rows of the task have go straight on, by
+    row, with one entry for the range; those of one row go to the range."""
+
+    def flush(held: list[tuple]) -> pa.RecordBatch:
+        names, keys, entries = (np.concatenate(c) for c in zip(*held, strict=True))
+        names = mix(names)
+        to = ((names >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+        order, head, size = _groups(keys, names)
+        first, last = keys[order[head]], keys[order[head + size - 1]]
+        twice = np.repeat(first != last, size)
+        lead = np.zeros(len(order), bool)
+        lead[head] = True
+        out = []
+        known, onward = order[twice], order[lead | ~twice]
+        marked = entries.copy()
+        marked["place"][order[lead & twice]] = _LEAD
+        for direct, chosen, values in ((True, known, entries), (False, onward, marked)):
+            if not len(chosen):
+                continue
+            dealt = (mix(keys[chosen].astype(np.uint64)) % np.uint64(ranges)).astype(np.int64) if direct else to[chosen]
+            chosen = chosen[np.lexsort((keys[chosen], dealt))]
+            dealt = np.sort(dealt)
+            cuts = np.flatnonzero(np.concatenate([[True], dealt[1:] != dealt[:-1], [True]]))
+            short = names.astype(np.uint32)
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                part = chosen[a:b]
+                out.append((int(dealt[a]), direct, len(part), short[part].tobytes() + np.diff(keys[part], prepend=0).tobytes() + values[part].tobytes()))
+        return _rows(out, _SENT_ARROW)
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            found = batch.column(batch.schema.get_field_index("anchors"))
-            for block in blocks(batch.column(2)):
-                n = len(block.data)
-                if n < LENGTH:
-                    continue
-                rank = Fingerprints(block.data).windows(ANCHOR)
-                lane = Fingerprints(block.data, 1).windows(ANCHOR)
-                # the anchor that a string shares with its copies is the least-ranked in it
-                least = rank.copy()
-                least[~_starts_ok(block, ANCHOR)[: len(rank)]] = np.uint64(0xFFFFFFFFFFFFFFFF)
-                least = _slide(least, width, np.minimum)
-                near = np.zeros(len(least), bool)
-                for i in range(block.lo, block.hi):
-                    a, b = block.offsets[i - block.lo], block.offsets[i - block.lo + 1] - LENGTH + 1
-                    if b > a:
-                        near[a:b] = np.isin(least[a:b], np.frombuffer(b"".join(x["payload"] for x in found[i].as_py()), np.uint64))
-                at = np.flatnonzero(near & ~_settled(block, batch)[: len(near)])
+            ids = np.asarray(batch.column(0))
+            for block in blocks(batch.column(1)):
+                names, at, first, last = anchors(block)
                 if not len(at):
                     continue
-                pair = lambda r: mix(r[at] * np.uint64(0x9FB21C651E98DF25) + mix(r[at + LENGTH - ANCHOR]))
-                names, spread = pair(rank), pair(lane)
                 row = np.searchsorted(block.offsets, at, "right") - 1
-                docs_ = np.asarray(batch.column(0).slice(block.lo, block.hi - block.lo))[row]
-                keys = np.asarray(batch.column(1).slice(block.lo, block.hi - block.lo))[row]
-                least_doc, _ = _firsts(names, docs_)
-                yield _rows(list(_emit(names, spread, docs_, keys, at - block.offsets[row], docs_ > least_doc, docs_ == least_doc, ranges)), _PACKED_ARROW)
-
-    candidates = _with_lists(_with_lists(texts.select("doc", "key", "text"), {"spans": spans}, "left"), {"anchors": anchors}, "inner")
-    places = stored(_met(candidates.mapInArrow(compared, PACKED), False, ranges), "places")
-    return _with_lists(texts, {"spans": spans, "places": places}, "left")
+                entries = np.empty(len(at), _ENTRY)
+                entries["place"], entries["a"], entries["b"] = at - block.offsets[row], at - last, at - first
+                held.append((names, ids[block.lo + row], entries))
+                n += len(at)
+                if n >= FLUSH:
+                    yield flush(held)
+                    held, n = [], 0
+        if n:
+            yield flush(held)
+
+    return sent
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_sent``, sorted by range, to (key, payload): the anchors that two rows have. One
+    range is held at a time."""
+
+    def unpacked(n: int, payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.frombuffer(payload, np.uint32, n), np.cumsum(np.frombuffer(payload, np.int64, n, 4 * n)), np.frombuffer(payload, _ENTRY, n, 12 * n)
+
+    def settled(held: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        names, keys, entries = (np.concatenate(c) for c in zip(*held, strict=True))
+        order, head, size = _groups(keys, names)
+        twice = np.repeat(keys[order[head]] != keys[order[head + size - 1]], size)
+        found = order[twice]
+        found = found[entries["place"][found] != _LEAD]
+        if len(found):
+            yield keys[found], entries[found]
+
+    at, held, out, n = None, [], [], 0
+    for batch in batches:
+        ranges, direct = np.asarray(batch.column(0)), batch.column(1).to_pylist()
+        for i, (count, payload) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3), strict=True)):
+            if held and ranges[i] != at:
+                out += settled(held)
+                held = []
+            at = ranges[i]
+            entry = unpacked(count, payload.as_py())
+            if direct[i]:
+                out.append(entry[1:])
+                n += count
+            else:
+                held.append(entry)
+            if n > FLUSH or len(out) > 256:
+                yield _by_key(*(np.concatenate(c) for c in zip(*out, strict=True)))
+                out, n = [], 0
+    if held:
+        out += settled(held)
+    if out:
+        yield _by_key(*(np.concatenate(c) for c in zip(*out, strict=True)))
+
+
+def _same(pieces: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry the one that leads its equals, and whether it is another's equal. others: the
+    order of leading first, then more that must be equal. Bytes are compared; a hash only finds them."""
+    words = np.ascontiguousarray(np.pad(pieces, ((0, 0), (0, -pieces.shape[1] % 8)))).view(np.uint64)
+    name = np.zeros(len(pieces), np.uint64)
+    for column in (*words.T, *(x.astype(np.uint64) for x in others[1:])):
+        name = mix(name * np.uint64(0x9E3779B97F4A7C15) + column)
+    order, head, size = _groups(others[0], name)
+    lead = np.empty(len(order), np.int64)
+    lead[order] = np.repeat(order[head], size)
+    equal = (pieces == pieces[lead]).all(1)
+    for x in others[1:]:
+        equal &= x == x[lead]
+    return lead, equal
+
+
+def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, doc, text, anchors) to ranked anchors with their surroundings. What equals an entry
+    of the task with a smaller document goes on as spans, packed by row (ab is -1)."""
+
+    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        r1, r2, entries, docs, keys, pieces = (np.concatenate(c) for c in zip(*held, strict=True))
+        ab = entries["a"].astype(np.int32) | entries["b"].astype(np.int32) << 8
+        lead, equal = _same(pieces, docs, r1, r2, ab)
+        gone = equal & (docs > docs[lead])
+        left = np.flatnonzero(~gone)
+        flat = np.ascontiguousarray(pieces[left])
+        ends = np.arange(len(left) + 1, dtype=np.int32) * (2 * REACH)
+        piece = pa.Array.from_buffers(pa.binary(), len(left), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.tobytes())])
+        # signed numbers in the order of the bytes
+        signed = lambda r: pa.array((r[left] ^ np.uint64(1 << 63)).view(np.int64))
+        yield pa.RecordBatch.from_arrays([signed(r1), signed(r2), pa.array(ab[left]), pa.array(docs[left]), pa.array(keys[left]), pa.array(entries["place"][left].astype(np.int64)), piece], schema=_RANKED_ARROW)
+        if gone.any():
+            spans = np.empty(int(gone.sum()), _SPAN)
+            place = entries["place"][gone]
+            spans["first"], spans["last"] = place - entries["b"][gone], place - entries["a"][gone]
+            found = _by_key(keys[gone], spans)
+            n = found.num_rows
+            spread = pa.array(mix(np.asarray(found.column(0)).astype(np.uint64)).view(np.int64))
+            none = pa.array(np.zeros(n, np.int64))
+            yield pa.RecordBatch.from_arrays([spread, none, pa.array(np.full(n, -1, np.int32)), none, found.column(0), none, found.column(1)], schema=_RANKED_ARROW)
+
+    held, n = [], 0
+    columns = np.arange(-REACH, ANCHOR + REACH)
+    for batch in batches:
+        ids, docs = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        for block in blocks(batch.column(2)):
+            row, entries = _lists(batch.column(3), block.lo, block.hi, _ENTRY)
+            for lo in range(0, len(row), FLUSH // 10):
+                part, mine = entries[lo : lo + FLUSH // 10], row[lo : lo + FLUSH // 10]
+                place = block.offsets[mine] + part["place"]
+                inside = (columns >= -part["b"].astype(np.int64)[:, None]) & (columns < LENGTH - part["a"].astype(np.int64)[:, None])
+                around = np.where(inside, block.data[np.clip(place[:, None] + columns, 0, len(block.data) - 1)], np.uint8(0))
+                own = np.ascontiguousarray(around[:, REACH : REACH + ANCHOR]).view(">u8").astype(np.uint64)
+                held.append((own[:, 0], own[:, 1], part, docs[block.lo + mine], ids[block.lo + mine], np.delete(around, np.s_[REACH : REACH + ANCHOR], axis=1)))
+                n += len(part)
+                if n >= FLUSH // 10:
+                    yield from flush(held)
+                    held, n = [], 0
+    if n:
+        yield from flush(held)
+
+
+def _rank(high: np.ndarray, low: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranks of the pairs, column by column (all are columns x entries), and the least and the
+    largest document of each rank."""
+    order = np.argsort(low, axis=1, kind="stable")
+    order = np.take_along_axis(order, np.argsort(np.take_along_axis(high, order, 1), axis=1, kind="stable"), 1)
+    a, b = np.take_along_axis(high, order, 1), np.take_along_axis(low, order, 1)
+    new = np.ones(a.shape, bool)
+    new[:, 1:] = (a[:, 1:] != a[:, :-1]) | (b[:, 1:] != b[:, :-1])
+    head = np.flatnonzero(new)
+    size = np.diff(np.append(head, new.size))
+    own = np.take_along_axis(docs, order, 1).ravel()
+    found = []
+    for values in (np.cumsum(new, axis=1, dtype=np.uint32), np.minimum.reduceat(own, head), np.maximum.reduceat(own, head)):
+        values = values if values.shape == a.shape else np.repeat(values, size).reshape(a.shape)
+        out = np.empty_like(values)
+        np.put_along_axis(out, order, values, 1)
+        found.append(out)
+    return tuple(found)
+
+
+def repeated(group: np.ndarray, docs: np.ndarray, a: np.ndarray, b: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, bytes before its anchor) of the strings that also start in a smaller document.
+
+    group: number of the entry's anchor; around: REACH bytes, the anchor, REACH bytes; its strings
+    start a..b bytes before the anchor. Equal strings have the anchor at the same place, so ranks
+    are compared column by column within the groups.
+    """
+    entry = np.arange(len(group))
+    eight = np.ndarray((around.shape[1] - 7, len(group)), ">u8", around, strides=(1, around.shape[1])).astype(np.uint64)
+    ranks = _rank(np.broadcast_to(group, eight.shape), eight, np.broadcast_to(docs, eight.shape))[0]  # at 8
+    before = np.arange(REACH, -1, -1)[:, None]
+    for offset, at in ((8, (0, 16, REACH)), (16, (0, LENGTH - 32))):  # ranks at 16, at 32
+        ranks, least, most = _rank(ranks[:-offset], ranks[offset:], np.broadcast_to(docs, (len(ranks) - offset, len(docs))))
+        several = least != most
+        open_ = (before <= b) & (before >= a)
+        for i in at:
+            open_ &= several[i : i + REACH + 1]
+        left = np.flatnonzero(open_.any(0))
+        entry, docs, a, b, ranks = entry[left], docs[left], a[left], b[left], ranks[:, left]
+        if not len(left):
+            return entry, entry
+    there = (before <= b) & (before >= a)
+    offset = LENGTH - 32  # at 50, by overlap
+    _, least, _ = _rank(ranks[:-offset], ranks[offset:], np.where(there, docs, LAST_ID))
+    row, column = np.nonzero((there & (least < docs)).T)
+    return entry[row], REACH - column
+
+
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of ``_cut_out`` to (key, payload) of removed spans, and to the single strings of
+    crowded anchors (key is the row, r1 not null)."""
+    schema = pa.schema([*_RANKED_ARROW, ("payload", pa.binary())])
+
+    def spans(keys: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+        values = np.empty(len(keys), _SPAN)
+        values["first"], values["last"] = first, last
+        return done(_by_key(keys, values))
+
+    def done(found: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([found.column(0) if f.name == "key" else found.column(1) if f.name == "payload" else pa.nulls(found.num_rows, f.type) for f in schema], schema=schema)
+
+    def columns(table: pa.RecordBatch) -> tuple:
+        r1, r2, ab, docs, keys, place = (np.asarray(table.column(i)) for i in range(6))
+        raw = table.column(6)
+        ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
+        pieces = np.frombuffer(raw.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(raw), -1)
+        own = np.stack([r1, r2], 1).view(np.uint64) ^ np.uint64(1 << 63)
+        around = np.concatenate([pieces[:, :REACH], own.astype(">u8").view(np.uint8).reshape(len(raw), ANCHOR), pieces[:, REACH:]], 1)
+        return r1, r2, (ab & 255).astype(np.int64), (ab >> 8).astype(np.int64), docs, keys, place, around
+
+    def solved(table: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        r1, r2, a, b, docs, keys, place, around = columns(table)
+        lead, equal = _same(around, docs, a, b)
+        gone = equal & (docs > docs[lead])
+        if gone.any():
+            yield spans(keys[gone], place[gone] - b[gone], place[gone] - a[gone])
+        new = np.concatenate([[True], (r1[1:] != r1[:-1]) | (r2[1:] != r2[:-1])])
+        group = np.cumsum(new) - 1
+        left = np.flatnonzero(~gone)
+        size = np.bincount(group[left], minlength=group[-1] + 1)
+        least, most = np.full(len(size), LAST_ID), np.full(len(size), -LAST_ID - 1)
+        np.minimum.at(least, group[left], docs[left])
+        np.maximum.at(most, group[left], docs[left])
+        left = left[(least != most)[group[left]]]
+        while len(left):
+            cut = len(left)
+            if cut > SOLVED:  # whole anchors, a larger one by itself
+                cut = int(np.searchsorted(group[left], group[left[SOLVED]])) or int(np.searchsorted(group[left], group[left[0]], "right"))
+            part, left = left[:cut], left[cut:]
+            row, before = repeated(group[part], docs[part], a[part], b[part], np.ascontiguousarray(around[part]))
+            if len(row):
+                start, own = place[part][row] - before, keys[part][row]
+                # runs of next starts of one entry become one span
+                head = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)]))
+                tail = np.append(head[1:], len(row)) - 1
+                yield spans(own[head], start[head], start[tail])
+
+    def single(table: pa.RecordBatch) -> pa.RecordBatch:
+        """Each string of the entries for itself: its first 16 bytes as ranks, then the others."""
+        _, _, a, b, docs, keys, place, around = columns(table)
+        n = b - a + 1
+        entry = np.repeat(np.arange(len(n)), n)
+        before = b[entry] - (np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n))
+        text = around[entry[:, None], (REACH - before)[:, None] + np.arange(LENGTH)]
+        own = np.ascontiguousarray(text[:, :ANCHOR]).view(">u8").astype(np.uint64) ^ np.uint64(1 << 63)
+        rest = np.ascontiguousarray(text[:, ANCHOR:])
+        ends = np.arange(len(entry) + 1, dtype=np.int32) * rest.shape[1]
+        piece = pa.Array.from_buffers(pa.binary(), len(entry), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(rest.tobytes())])
+        r1, r2 = (pa.array(np.ascontiguousarray(own[:, i]).view(np.int64)) for i in range(2))
+        return pa.RecordBatch.from_arrays([r1, r2, pa.nulls(len(entry), pa.int32()), pa.array(docs[entry]), pa.array(keys[entry]), pa.array(place[entry] - before), piece, pa.nulls(len(entry), pa.binary())], schema=schema)
+
+    def parts(table: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, table.num_rows, 2048):
+            yield single(table.slice(lo, 2048))
+
+    held, n, crowded = [], 0, None  # the entries of the last anchor met, or the anchor if it is crowded
+    for batch in batches:
+        ab = np.asarray(batch.column(2))
+        direct = pa.array(ab < 0)
+        found = batch.filter(direct)
+        if found.num_rows:
+            yield done(found.select(["key", "piece"]))
+        batch = batch.filter(pa.array(ab >= 0))
+        if not batch.num_rows:
+            continue
+        r1, r2 = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        cuts = np.flatnonzero((r1[1:] != r1[:-1]) | (r2[1:] != r2[:-1])) + 1
+        if crowded is not None or held:
+            last = crowded if crowded is not None else (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py())
+            go_on = (r1[0], r2[0]) == last
+            end = (cuts[0] if len(cuts) else batch.num_rows) if go_on else 0
+            if crowded is not None:
+                yield from parts(batch.slice(0, end))
+            elif end:
+                held.append(batch.slice(0, end))
+                n += end
+            if end < batch.num_rows:
+                if held:
+                    yield from solved(_joined(held))
+                held, n, crowded = [], 0, None
+            batch, cuts = batch.slice(end), cuts[cuts > end] - end
+        if batch.num_rows:
+            whole = int(cuts[-1]) if len(cuts) else 0
+            if whole:
+                yield from solved(batch.slice(0, whole))
+            held, n = [batch.slice(whole)], batch.num_rows - whole
+        if n > CROWD:
+            crowded = (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py())
+            for table in held:
+                yield from parts(table)
+            held, n = [], 0
+    if held:
+        yield from solved(_joined(held))
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Single strings (r1, r2, piece, doc, key, place), sorted, to spans: the first of equal strings
+    has the least document; nothing but it is held."""
+    last, least = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        r1, r2, docs, keys, place = (np.asarray(batch.column(i)) for i in (0, 1, 3, 4, 5))
+        piece = batch.column(6)
+        new = np.concatenate([[True], (r1[1:] != r1[:-1]) | (r2[1:] != r2[:-1])])
+        texts = np.array(piece.to_pylist(), dtype=object)
+        new[1:] |= texts[1:] != texts[:-1]
+        head = np.flatnonzero(new)
+        first = docs[head].copy()
+        if (r1[0], r2[0], texts[0]) == last:
+            first[0] = least
+        least_of = np.repeat(first, np.diff(np.append(head, len(docs))))
+        last, least = (r1[-1], r2[-1], texts[-1]), int(first[-1])
+        gone = docs > least_of
+        if gone.any():
+            values = np.empty(int(gone.sum()), _SPAN)
+            values["first"] = values["last"] = place[gone]
+            yield _by_key(keys[gone], values)
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
+    """(key, doc, text, digest, size, row): a table bucketed by key, a number of the row's own, so that
+    each step joins its small lists without moving the texts again. Where writing straight would
+    leave too many files, rows are dealt out first."""
+    spark = docs.sparkSession
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("key"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), text.alias("text"),
+        F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), F.octet_length(text).cast("long").alias("size"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"),
+    )
+    if docs.rdd.getNumPartitions() * parts > FILES:
+        rows = rows.repartition(parts, "key")
+    name = f"paperloom_texts_{uuid.uuid4().hex}"
+    rows.write.bucketBy(parts, "key").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").format("parquet").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the entry only: the files stay, and the frame reads them
+    return table
 
 
-def _first_of(docs: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """Indices, ascending, of the first entry of each (document, name)."""
-    order = np.lexsort((names, docs))
-    new = np.concatenate([[True], (docs[order][1:] != docs[order][:-1]) | (names[order][1:] != names[order][:-1])])
-    return np.sort(order[new])
+def _with_list(texts: DataFrame, found: DataFrame, name: str, how: str) -> DataFrame:
+    grouped = found.groupBy("key").agg(F.collect_list("payload").alias(name))
+    return texts.join(grouped.hint("shuffle_hash"), "key", how)
 
 
-def _removed(block: Block, batch: pa.RecordBatch) -> np.ndarray:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Return (key, doc, text, digest, size, row, copy, spans): every row with whether its whole text
+    stands in a smaller document and, if not, the starts of its repeated strings as packed ranges;
+    its columns but the text are the struct ``row``. See ``cut_repeats``."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = _texts(docs, id_col, text_col, parts)
+    long = texts.filter(F.col("size") >= LENGTH)
+    firsts = long.groupBy("digest").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("most > least").select("digest", "least")
+    copies = stored(long.select("key", "doc", "digest").join(firsts, "digest").filter("doc > least").select("key"), "copies")
+
+    open_ = long.select("key", "doc", "text").join(copies.hint("shuffle_hash"), "key", "left_anti")
+    size = texts.agg(F.sum("size")).first()[0] or 0
+    sent = open_.select("key", "text").mapInArrow(_sent(max(64, size // RANGE_BYTES)), _SENT)
+    shared = sent.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(_shared, "key long, payload binary")
+    shared = stored(shared, "anchors")
+
+    ranked = _with_list(long.select("key", "doc", "text"), shared, "anchors", "inner").mapInArrow(_cut_out, _RANKED)
+    ranked = ranked.repartition(parts, "r1", "r2").sortWithinPartitions("r1", "r2")
+    found = stored(ranked.mapInArrow(_ranked, f"{_RANKED}, payload binary"), "found")
+    single = found.filter("payload IS NULL").drop("payload").repartition(parts, "r1", "r2", "piece").sortWithinPartitions("r1", "r2", "piece", "doc")
+    spans = found.filter("payload IS NOT NULL").select("key", "payload").union(single.mapInArrow(_alone, "key long, payload binary"))
+    out = texts.join(copies.withColumn("copy", F.lit(True)).hint("shuffle_hash"), "key", "left")
+    return _with_list(out.withColumn("copy", F.coalesce("copy", F.lit(False))), spans, "spans", "left")
+
+
+def removed(block: Block, copies: np.ndarray, column: pa.Array) -> np.ndarray:
     """Bytes of the block covered by repeated strings, as a mask."""
-    starts = _settled(block, batch)
-    lists, keys = batch.column(batch.schema.get_field_index("places")), batch.column(batch.schema.get_field_index("key"))
-    for i in range(block.lo, block.hi):
-        if lists[i].is_valid:
-            for x in _own(lists[i].as_py(), keys[i].as_py()):
-                starts[block.offsets[i - block.lo] + np.frombuffer(x["payload"], np.uint32).astype(np.int64)] = True
-    begin = np.flatnonzero(starts)
-    change = np.zeros(len(block.data) + 1, np.int32)
-    change[begin] += 1
-    change[begin + LENGTH] -= 1
+    n = len(block.data)
+    change = np.zeros(n + 1, np.int32)
+    row, spans = _lists(column, block.lo, block.hi, _SPAN)
+    np.add.at(change, block.offsets[row] + spans["first"], 1)
+    np.add.at(change, block.offsets[row] + spans["last"] + LENGTH, -1)
+    whole = np.flatnonzero(copies[block.lo : block.hi])
+    np.add.at(change, block.offsets[whole], 1)
+    np.add.at(change, block.offsets[whole + 1], -1)
     return np.cumsum(change[:-1]) > 0
 
 
 def _cut(found: DataFrame, row: bool) -> DataFrame:
     """(row or id, n_bytes, n_removed, n_spans, kept_sha256, text) with the repeated bytes out."""
-    at = {name: i for i, name in enumerate(found.columns)}
-    carried = at["row" if row else "doc"]
+    carried = "row" if row else "doc"
+    found = found.select(carried, "text", "copy", "spans")
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(at["text"])):
-                gone = _removed(block, batch)
+            copies = np.asarray(batch.column(2).cast(pa.int8())).astype(bool)
+            for block in blocks(batch.column(1)):
+                gone = removed(block, copies, batch.column(3))
                 rows = []
                 for a, b in zip(block.offsets[:-1], block.offsets[1:], strict=True):
                     own = gone[a:b]
@@ -345,10 +554,10 @@ def _cut(found: DataFrame, row: bool) -> DataFrame:
                     runs = int(own[0]) + int((own[1:] & ~own[:-1]).sum()) if b > a else 0
                     rows.append((int(b - a), int(own.sum()), runs, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if row else None))
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(carried).slice(block.lo, block.hi - block.lo), *columns], ["carried", *schema.names])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, block.hi - block.lo), *columns], ["carried", *schema.names])
 
     schema = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
-    kind = found.schema["row" if row else "doc"].dataType.simpleString()
+    kind = found.schema[carried].dataType.simpleString()
     return found.mapInArrow(finished, f"carried {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
@@ -359,7 +568,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     row of smaller id. Strings are judged on the input, overlaps count, and none crosses rows.
 
     Ids are whole numbers. A null id counts as larger than any; null text is empty; a text under
-    50 bytes keeps all. Rows that repeat an id do not remove from each other; repeated rows get
+    50 bytes keeps all; a very long one is handled whole (a task holds it, and about ten times its
+    size for its anchors). Rows that repeat an id do not remove from each other; repeated rows get
     the same result. An empty table gives an empty result; other columns are left out.
     """
     out = _cut(repeated_spans(docs.select(id_col, text_col), id_col, text_col), row=False)

@@ -1,6 +1,10 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from paperloom.llm.repeats import cut_repeats, without_repeats
 
 LAST = 2**63 - 1
@@ -54,3 +58,63 @@ def test_long_text_and_empty_table(spark, documents):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in cut_repeats(docs).collect()}
     assert got == {1: (600_000, 0, 0), 2: (499_002, 499_000, 1), 3: (100, 60, 1)}
     assert cut_repeats(documents([])).count() == 0
+
+
+def test_texts_that_agree_in_polynomial_hashes(spark, documents):
+    """Difference patterns under which every polynomial hash modulo a power of two is the same."""
+    pattern = [bin(i).count("1") & 1 for i in range(2048)]
+    texts = {1: "".join("ab"[x] for x in pattern), 2: "".join("ba"[x] for x in pattern), 3: "x" * 60 + "".join("ab"[x] for x in pattern)}
+    rows = list(texts.items())
+    expected, _ = brute(rows)
+    assert sorted(map(tuple, cut_repeats(documents(texts)).collect())) == expected
+
+
+def test_crowded_anchors_and_small_flushes(spark, documents, monkeypatch):
+    """One passage in many texts, over the number of entries that are held for an anchor."""
+    import paperloom.llm.repeats as repeats
+
+    random.seed(9)
+    letters = lambda n: "".join(random.choice("abcdef ") for _ in range(n))
+    line = letters(70)
+    rows = [(i, letters(random.randint(0, 60)) + line[random.randint(0, 12) :] + letters(random.randint(0, 60))) for i in range(160)]
+    rows += [(i, rows[i - 160][1]) for i in range(160, 190)] + [(7, rows[9][1]), (None, rows[3][1] + line), (None, line + rows[3][1]), (None, "q" * 90)]
+    got = {}
+    for crowd in (4, 40, 16_384):
+        with monkeypatch.context() as m:
+            m.setattr(repeats, "CROWD", crowd)
+            got[crowd] = crowded_spans(repeats, rows, crowd)
+    assert got[4] == got[40] == got[16_384] == brute_starts(rows)
+
+
+def brute_starts(rows):
+    first = {}
+    for i, text in rows:
+        raw, i = text.encode(), LAST if i is None else i
+        for p in range(len(raw) - 49):
+            first[raw[p : p + 50]] = min(first.get(raw[p : p + 50], LAST + 1), i)
+    return {(k, p) for k, (i, text) in enumerate(rows) for p in range(len(text) - 49) if first[text[p : p + 50].encode()] < (LAST if i is None else i)}
+
+
+def crowded_spans(repeats, rows, crowd):
+    """The steps on one task's rows, without Spark."""
+    keys, docs, texts = pa.array(range(len(rows))), pa.array([LAST if i is None else i for i, _ in rows]), pa.array([t for _, t in rows])
+    sent = list(repeats._sent(64)(iter([pa.RecordBatch.from_arrays([keys, texts], ["key", "text"])])))
+    sent = pa.Table.from_batches(sent).sort_by("range").combine_chunks().to_batches()
+    lists = {}
+    for batch in repeats._shared(iter(sent)):
+        for key, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            lists.setdefault(key, []).append(payload)
+    column = pa.array([lists.get(k) for k in range(len(rows))], pa.list_(pa.binary()))
+    ranked = list(repeats._cut_out(iter([pa.RecordBatch.from_arrays([keys, docs, texts, column], ["key", "doc", "text", "anchors"])])))
+    ranked = pa.Table.from_batches(ranked).sort_by([("r1", "ascending"), ("r2", "ascending")]).combine_chunks()
+    found = list(repeats._ranked(iter(ranked.to_batches(max_chunksize=7))))
+    single = [b.filter(pc.is_null(b.column(7))).select(range(7)) for b in found]
+    single = pa.Table.from_batches(single).sort_by([(c, "ascending") for c in ("r1", "r2", "piece", "doc")]).combine_chunks()
+    assert (single.num_rows > 0) == (crowd < 100)
+    spans = [(k, p) for b in found for k, p in zip(b.column(4).to_pylist(), b.column(7).to_pylist(), strict=True) if p is not None]
+    spans += [(k, p) for b in repeats._alone(iter(single.to_batches(max_chunksize=5))) for k, p in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    starts = set()
+    for key, payload in spans:
+        for first, last in np.frombuffer(payload, repeats._SPAN):
+            starts |= {(key, p) for p in range(first, last + 1)}
+    return starts
