@@ -28,19 +28,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     so a lost executor costs no recomputation of what lies before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/paperloom-{name}-{uuid.uuid4().hex}"
-    with small_batches(spark):
+    with own_settings(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """While a job runs, rows go to Python a thousand at a time: ten thousand whole texts, Spark's
-    default, are tens of megabytes on both sides. The session's own setting comes back after it."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, rows)
+def own_settings(spark: SparkSession) -> Iterator[None]:
+    """Settings while a step is written; the session's own come back after it.
+
+    Rows go to Python a thousand at a time: ten thousand whole texts, Spark's default, are tens of
+    megabytes on both sides. The step's shuffle files go when it is written, as nothing reads them
+    again.
+    """
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)

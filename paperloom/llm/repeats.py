@@ -5,7 +5,7 @@ length is that of the pair (rank at the position, rank at an offset). The rank a
 bytes themselves, packed into a whole number.
 
 A row for every position of the corpus would shuffle over twenty times the input, so the positions
-that Spark sorts are anchors: of the 16-byte windows of every 50-byte string the least by a hash,
+that Spark sorts are anchors: of the 24-byte windows of every 50-byte string the least by a hash,
 the first of equals. A string has one anchor at one place, whatever text it stands in, so equal
 strings meet under equal anchors.
 
@@ -14,7 +14,7 @@ strings meet under equal anchors.
    are told by 32-bit names within ranges of the anchors' hash space; a chance agreement only keeps
    an anchor for the next step. Names travel packed, thousands to a row.
 3. Spark sorts the remaining anchors by the pair of 8-byte ranks at offset 8, which is their exact
-   rank at 16. With an anchor go the bytes that its strings reach over (up to 34 on either side), so
+   rank at 16. With an anchor go the bytes that its strings reach over (up to 26 on either side), so
    doubling stays inside the sorted group: ranks at 8, 16, 32 and, overlapped by offset 18, 50 are
    sorted from pairs. After each, positions whose rank one document alone holds drop out. At 50 the
    least document of a rank keeps its string, and all others lose it.
@@ -30,17 +30,19 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import shared_dir, stored
+from .frames import own_settings, shared_dir, stored
 from .text import Block, blocks, mix
 
 LENGTH = 50
-ANCHOR = 16
+ANCHOR, SORTED = 24, 16  # bytes of an anchor, and those that Spark sorts by
 REACH = LENGTH - ANCHOR  # bytes of an anchor's strings on either side of it, at most
 LAST_ID = (1 << 63) - 1
 #: Anchors of a task that are matched before they are sent, and entries of one anchor that are held.
@@ -55,6 +57,7 @@ FILES = 5_000
 _ENTRY = np.dtype([("place", "<u4"), ("a", "u1"), ("b", "u1")])  # an anchor; its strings start b to a bytes before it
 _SPAN = np.dtype([("first", "<u4"), ("last", "<u4")])  # removed string starts
 _LEAD = 0xFFFFFFFF
+_FOUND = "key long, payload binary"
 _SENT = "range long, direct boolean, n int, payload binary"
 _RANKED = "r1 long, r2 long, ab int, doc long, key long, place long, piece binary"
 _SENT_ARROW = pa.schema([("range", pa.int64()), ("direct", pa.bool_()), ("n", pa.int32()), ("payload", pa.binary())])
@@ -76,7 +79,9 @@ def anchors(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     if not len(size) or size.max() < LENGTH:
         return none.astype(np.uint64), none, none, none
     eight = packed(block.data)
-    least = mix(eight[:-8] * np.uint64(0x9E3779B97F4A7C15) + mix(eight[8:]))
+    least = np.zeros(len(block.data) - ANCHOR + 1, np.uint64)
+    for offset in range(0, ANCHOR, 8):
+        least = mix(least * np.uint64(0x9E3779B97F4A7C15) + eight[offset : offset + len(least)])
     names, at = least, np.arange(len(least), dtype=np.int32)
     have, width = 1, REACH + 1
     while have < width:
@@ -112,28 +117,50 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
 
-def _by_key(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    """(key, payload) with the values of each key."""
-    order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], np.ascontiguousarray(values[order])
-    head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    ends = np.append(head, len(keys)).astype(np.int32) * values.dtype.itemsize
-    payload = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(keys[head]), payload], schema=_FOUND_ARROW)
+def _dealt(keys: np.ndarray, values: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """(key, payload) with key a number of a bucket of rows, and its rows' keys and values packed."""
+    to = (mix(keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((keys, to))
+    keys, values, to = keys[order], values[order], to[order]
+    cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
+    rows = [(int(to[a]), np.diff(keys[a:b], prepend=0).tobytes() + values[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return _rows(rows, _FOUND_ARROW)
+
+
+def _by_row(kind: np.dtype):
+    """Buckets of ``_dealt``, each whole in a partition, to (key, payload): a row for each key."""
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            for payload in batch.column(1):
+                payload = payload.as_py()
+                n = len(payload) // (8 + kind.itemsize)
+                held.append((np.cumsum(np.frombuffer(payload, np.int64, n)), np.frombuffer(payload, kind, n, 8 * n)))
+        if not held:
+            return
+        keys, values = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.argsort(keys, kind="stable")
+        keys, values = keys[order], values[order]
+        cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+        for lo in range(0, len(cuts) - 1, 1000):
+            some = cuts[lo : lo + 1001]
+            ends = (some - some[0]).astype(np.int32) * kind.itemsize
+            payload = pa.Array.from_buffers(pa.binary(), len(some) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values[some[0] : some[-1]].tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some[:-1]]), payload], schema=_FOUND_ARROW)
+
+    return grouped
 
 
 def _lists(column: pa.Array, lo: int, hi: int, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    """The row (from 0) and value of all entries of rows lo..hi of an array<binary> column."""
+    """The row (from 0) and value of all entries of rows lo..hi of a binary column, none where null."""
     part = column.slice(lo, hi - lo)
-    values = part.flatten()
-    per = np.diff(np.frombuffer(part.buffers()[1], np.int32)[part.offset : part.offset + len(part) + 1])
-    if part.null_count:
-        per = np.where(np.asarray(part.is_valid()), per, 0)
-    if not len(values):
+    if part.null_count == len(part):
         return np.zeros(0, np.int64), np.zeros(0, kind)
-    ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
-    found = np.frombuffer(values.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind)
-    return np.repeat(np.repeat(np.arange(hi - lo), per), np.diff(ends) // kind.itemsize), found
+    part = pc.fill_null(part, b"")
+    ends = np.frombuffer(part.buffers()[1], np.int32)[part.offset : part.offset + len(part) + 1]
+    found = np.frombuffer(part.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(kind)
+    return np.repeat(np.arange(hi - lo), np.diff(ends) // kind.itemsize), found
 
 
 def _sent(ranges: int):
@@ -188,8 +215,8 @@ def _sent(ranges: int):
     return sent
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of ``_sent``, sorted by range, to (key, payload): the anchors that two rows have. One
+def _shared(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_sent``, sorted by range, to the anchors that two rows have, dealt to buckets. One
     range is held at a time."""
 
     def unpacked(n: int, payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -210,6 +237,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, (count, payload) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3), strict=True)):
             if held and ranges[i] != at:
                 out += settled(held)
+                n += len(out[-1][0]) if out else 0
                 held = []
             at = ranges[i]
             entry = unpacked(count, payload.as_py())
@@ -218,13 +246,13 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n += count
             else:
                 held.append(entry)
-            if n > FLUSH or len(out) > 256:
-                yield _by_key(*(np.concatenate(c) for c in zip(*out, strict=True)))
+            if n > FLUSH:
+                yield _dealt(*(np.concatenate(c) for c in zip(*out, strict=True)), buckets)
                 out, n = [], 0
     if held:
         out += settled(held)
     if out:
-        yield _by_key(*(np.concatenate(c) for c in zip(*out, strict=True)))
+        yield _dealt(*(np.concatenate(c) for c in zip(*out, strict=True)), buckets)
 
 
 def _same(pieces: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,9 +271,9 @@ def _same(pieces: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return lead, equal
 
 
-def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut_out(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Rows (key, doc, text, anchors) to ranked anchors with their surroundings. What equals an entry
-    of the task with a smaller document goes on as spans, packed by row (ab is -1)."""
+    of the task with a smaller document goes on as spans, dealt to buckets (ab is -1)."""
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         r1, r2, entries, docs, keys, pieces = (np.concatenate(c) for c in zip(*held, strict=True))
@@ -254,7 +282,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone = equal & (docs > docs[lead])
         left = np.flatnonzero(~gone)
         flat = np.ascontiguousarray(pieces[left])
-        ends = np.arange(len(left) + 1, dtype=np.int32) * (2 * REACH)
+        ends = np.arange(len(left) + 1, dtype=np.int32) * pieces.shape[1]
         piece = pa.Array.from_buffers(pa.binary(), len(left), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.tobytes())])
         # signed numbers in the order of the bytes
         signed = lambda r: pa.array((r[left] ^ np.uint64(1 << 63)).view(np.int64))
@@ -263,7 +291,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = np.empty(int(gone.sum()), _SPAN)
             place = entries["place"][gone]
             spans["first"], spans["last"] = place - entries["b"][gone], place - entries["a"][gone]
-            found = _by_key(keys[gone], spans)
+            found = _dealt(keys[gone], spans, buckets)
             n = found.num_rows
             spread = pa.array(mix(np.asarray(found.column(0)).astype(np.uint64)).view(np.int64))
             none = pa.array(np.zeros(n, np.int64))
@@ -280,8 +308,8 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 place = block.offsets[mine] + part["place"]
                 inside = (columns >= -part["b"].astype(np.int64)[:, None]) & (columns < LENGTH - part["a"].astype(np.int64)[:, None])
                 around = np.where(inside, block.data[np.clip(place[:, None] + columns, 0, len(block.data) - 1)], np.uint8(0))
-                own = np.ascontiguousarray(around[:, REACH : REACH + ANCHOR]).view(">u8").astype(np.uint64)
-                held.append((own[:, 0], own[:, 1], part, docs[block.lo + mine], ids[block.lo + mine], np.delete(around, np.s_[REACH : REACH + ANCHOR], axis=1)))
+                own = np.ascontiguousarray(around[:, REACH : REACH + SORTED]).view(">u8").astype(np.uint64)
+                held.append((own[:, 0], own[:, 1], part, docs[block.lo + mine], ids[block.lo + mine], np.delete(around, np.s_[REACH : REACH + SORTED], axis=1)))
                 n += len(part)
                 if n >= FLUSH // 10:
                     yield from flush(held)
@@ -321,7 +349,7 @@ def repeated(group: np.ndarray, docs: np.ndarray, a: np.ndarray, b: np.ndarray,
     eight = np.ndarray((around.shape[1] - 7, len(group)), ">u8", around, strides=(1, around.shape[1])).astype(np.uint64)
     ranks = _rank(np.broadcast_to(group, eight.shape), eight, np.broadcast_to(docs, eight.shape))[0]  # at 8
     before = np.arange(REACH, -1, -1)[:, None]
-    for offset, at in ((8, (0, 16, REACH)), (16, (0, LENGTH - 32))):  # ranks at 16, at 32
+    for offset, at in ((8, (0, 16, LENGTH - 16)), (16, (0, LENGTH - 32))):  # ranks at 16, at 32
         ranks, least, most = _rank(ranks[:-offset], ranks[offset:], np.broadcast_to(docs, (len(ranks) - offset, len(docs))))
         several = least != most
         open_ = (before <= b) & (before >= a)
@@ -338,15 +366,21 @@ def repeated(group: np.ndarray, docs: np.ndarray, a: np.ndarray, b: np.ndarray,
     return entry[row], REACH - column
 
 
-def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows of ``_cut_out`` to (key, payload) of removed spans, and to the single strings of
-    crowded anchors (key is the row, r1 not null)."""
+def _ranked(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of ``_cut_out`` to removed spans, dealt to buckets (key, payload), and to the single
+    strings of crowded anchors (payload is null)."""
+    gone: list[tuple] = []
     schema = pa.schema([*_RANKED_ARROW, ("payload", pa.binary())])
 
-    def spans(keys: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+    def spans(keys: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
         values = np.empty(len(keys), _SPAN)
         values["first"], values["last"] = first, last
-        return done(_by_key(keys, values))
+        gone.append((keys, values))
+
+    def flushed(least: int) -> Iterator[pa.RecordBatch]:
+        if sum(len(k) for k, _ in gone) > least:
+            yield done(_dealt(*(np.concatenate(c) for c in zip(*gone, strict=True)), buckets))
+            gone.clear()
 
     def done(found: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([found.column(0) if f.name == "key" else found.column(1) if f.name == "payload" else pa.nulls(found.num_rows, f.type) for f in schema], schema=schema)
@@ -357,18 +391,17 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
         pieces = np.frombuffer(raw.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(raw), -1)
         own = np.stack([r1, r2], 1).view(np.uint64) ^ np.uint64(1 << 63)
-        around = np.concatenate([pieces[:, :REACH], own.astype(">u8").view(np.uint8).reshape(len(raw), ANCHOR), pieces[:, REACH:]], 1)
+        around = np.concatenate([pieces[:, :REACH], own.astype(">u8").view(np.uint8).reshape(len(raw), SORTED), pieces[:, REACH:]], 1)
         return r1, r2, (ab & 255).astype(np.int64), (ab >> 8).astype(np.int64), docs, keys, place, around
 
-    def solved(table: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def solved(table: pa.RecordBatch) -> None:
         r1, r2, a, b, docs, keys, place, around = columns(table)
         lead, equal = _same(around, docs, a, b)
-        gone = equal & (docs > docs[lead])
-        if gone.any():
-            yield spans(keys[gone], place[gone] - b[gone], place[gone] - a[gone])
+        copied = equal & (docs > docs[lead])
+        spans(keys[copied], place[copied] - b[copied], place[copied] - a[copied])
         new = np.concatenate([[True], (r1[1:] != r1[:-1]) | (r2[1:] != r2[:-1])])
         group = np.cumsum(new) - 1
-        left = np.flatnonzero(~gone)
+        left = np.flatnonzero(~copied)
         size = np.bincount(group[left], minlength=group[-1] + 1)
         least, most = np.full(len(size), LAST_ID), np.full(len(size), -LAST_ID - 1)
         np.minimum.at(least, group[left], docs[left])
@@ -385,7 +418,7 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # runs of next starts of one entry become one span
                 head = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)]))
                 tail = np.append(head[1:], len(row)) - 1
-                yield spans(own[head], start[head], start[tail])
+                spans(own[head], start[head], start[tail])
 
     def single(table: pa.RecordBatch) -> pa.RecordBatch:
         """Each string of the entries for itself: its first 16 bytes as ranks, then the others."""
@@ -394,8 +427,8 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entry = np.repeat(np.arange(len(n)), n)
         before = b[entry] - (np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n))
         text = around[entry[:, None], (REACH - before)[:, None] + np.arange(LENGTH)]
-        own = np.ascontiguousarray(text[:, :ANCHOR]).view(">u8").astype(np.uint64) ^ np.uint64(1 << 63)
-        rest = np.ascontiguousarray(text[:, ANCHOR:])
+        own = np.ascontiguousarray(text[:, :SORTED]).view(">u8").astype(np.uint64) ^ np.uint64(1 << 63)
+        rest = np.ascontiguousarray(text[:, SORTED:])
         ends = np.arange(len(entry) + 1, dtype=np.int32) * rest.shape[1]
         piece = pa.Array.from_buffers(pa.binary(), len(entry), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(rest.tobytes())])
         r1, r2 = (pa.array(np.ascontiguousarray(own[:, i]).view(np.int64)) for i in range(2))
@@ -428,28 +461,31 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n += end
             if end < batch.num_rows:
                 if held:
-                    yield from solved(_joined(held))
+                    solved(_joined(held))
                 held, n, crowded = [], 0, None
             batch, cuts = batch.slice(end), cuts[cuts > end] - end
+            yield from flushed(FLUSH)
         if batch.num_rows:
             whole = int(cuts[-1]) if len(cuts) else 0
             if whole:
-                yield from solved(batch.slice(0, whole))
+                solved(batch.slice(0, whole))
             held, n = [batch.slice(whole)], batch.num_rows - whole
         if n > CROWD:
             crowded = (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py())
             for table in held:
                 yield from parts(table)
             held, n = [], 0
+        yield from flushed(FLUSH)
     if held:
-        yield from solved(_joined(held))
+        solved(_joined(held))
+    yield from flushed(0)
 
 
 def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
-def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _alone(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Single strings (r1, r2, piece, doc, key, place), sorted, to spans: the first of equal strings
     has the least document; nothing but it is held."""
     last, least = None, 0
@@ -471,7 +507,7 @@ def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if gone.any():
             values = np.empty(int(gone.sum()), _SPAN)
             values["first"] = values["last"] = place[gone]
-            yield _by_key(keys[gone], values)
+            yield _dealt(keys[gone], values, buckets)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
@@ -488,17 +524,13 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame
     if docs.rdd.getNumPartitions() * parts > FILES:
         rows = rows.repartition(parts, "key")
     name = f"paperloom_texts_{uuid.uuid4().hex}"
-    rows.write.bucketBy(parts, "key").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").format("parquet").saveAsTable(name)
+    with own_settings(spark):
+        rows.write.bucketBy(parts, "key").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").format("parquet").saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the entry only: the files stay, and the frame reads them
     return table
 
 
-def _with_list(texts: DataFrame, found: DataFrame, name: str, how: str) -> DataFrame:
-    grouped = found.groupBy("key").agg(F.collect_list("payload").alias(name))
-    return texts.join(grouped.hint("shuffle_hash"), "key", how)
-
-
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return (key, doc, text, digest, size, row, copy, spans): every row with whether its whole text
     stands in a smaller document and, if not, the starts of its repeated strings as packed ranges;
@@ -512,16 +544,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     open_ = long.select("key", "doc", "text").join(copies.hint("shuffle_hash"), "key", "left_anti")
     size = texts.agg(F.sum("size")).first()[0] or 0
     sent = open_.select("key", "text").mapInArrow(_sent(max(64, size // RANGE_BYTES)), _SENT)
-    shared = sent.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(_shared, "key long, payload binary")
-    shared = stored(shared, "anchors")
+    shared = sent.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(partial(_shared, buckets=parts), _FOUND)
+    shared = stored(shared.repartition(parts, "key").mapInArrow(_by_row(_ENTRY), _FOUND), "anchors").withColumnRenamed("payload", "anchors")
 
-    ranked = _with_list(long.select("key", "doc", "text"), shared, "anchors", "inner").mapInArrow(_cut_out, _RANKED)
-    ranked = ranked.repartition(parts, "r1", "r2").sortWithinPartitions("r1", "r2")
-    found = stored(ranked.mapInArrow(_ranked, f"{_RANKED}, payload binary"), "found")
+    held = long.select("key", "doc", "text").join(shared.hint("shuffle_hash"), "key")
+    ranked = held.mapInArrow(partial(_cut_out, buckets=parts), _RANKED).repartition(parts, "r1", "r2").sortWithinPartitions("r1", "r2")
+    found = stored(ranked.mapInArrow(partial(_ranked, buckets=parts), f"{_RANKED}, payload binary"), "found")
     single = found.filter("payload IS NULL").drop("payload").repartition(parts, "r1", "r2", "piece").sortWithinPartitions("r1", "r2", "piece", "doc")
-    spans = found.filter("payload IS NOT NULL").select("key", "payload").union(single.mapInArrow(_alone, "key long, payload binary"))
-    out = texts.join(copies.withColumn("copy", F.lit(True)).hint("shuffle_hash"), "key", "left")
-    return _with_list(out.withColumn("copy", F.coalesce("copy", F.lit(False))), spans, "spans", "left")
+    spans = found.filter("payload IS NOT NULL").select("key", "payload").union(single.mapInArrow(partial(_alone, buckets=parts), _FOUND))
+    spans = stored(spans.repartition(parts, "key").mapInArrow(_by_row(_SPAN), _FOUND), "spans").withColumnRenamed("payload", "spans")
+    out = texts.join(copies.withColumn("copy", F.lit(True)).hint("shuffle_hash"), "key", "left").join(spans.hint("shuffle_hash"), "key", "left")
+    return out.withColumn("copy", F.coalesce("copy", F.lit(False)))
 
 
 def removed(block: Block, copies: np.ndarray, column: pa.Array) -> np.ndarray:

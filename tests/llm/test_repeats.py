@@ -101,20 +101,19 @@ def crowded_spans(repeats, rows, crowd):
     sent = list(repeats._sent(64)(iter([pa.RecordBatch.from_arrays([keys, texts], ["key", "text"])])))
     sent = pa.Table.from_batches(sent).sort_by("range").combine_chunks().to_batches()
     lists = {}
-    for batch in repeats._shared(iter(sent)):
-        for key, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            lists.setdefault(key, []).append(payload)
-    column = pa.array([lists.get(k) for k in range(len(rows))], pa.list_(pa.binary()))
-    ranked = list(repeats._cut_out(iter([pa.RecordBatch.from_arrays([keys, docs, texts, column], ["key", "doc", "text", "anchors"])])))
+    for batch in repeats._by_row(repeats._ENTRY)(repeats._shared(iter(sent), 3)):
+        lists.update(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    column = pa.array([lists.get(k) for k in range(len(rows))], pa.binary())
+    ranked = list(repeats._cut_out(iter([pa.RecordBatch.from_arrays([keys, docs, texts, column], ["key", "doc", "text", "anchors"])]), 3))
     ranked = pa.Table.from_batches(ranked).sort_by([("r1", "ascending"), ("r2", "ascending")]).combine_chunks()
-    found = list(repeats._ranked(iter(ranked.to_batches(max_chunksize=7))))
+    found = list(repeats._ranked(iter(ranked.to_batches(max_chunksize=7)), 3))
     single = [b.filter(pc.is_null(b.column(7))).select(range(7)) for b in found]
     single = pa.Table.from_batches(single).sort_by([(c, "ascending") for c in ("r1", "r2", "piece", "doc")]).combine_chunks()
     assert (single.num_rows > 0) == (crowd < 100)
-    spans = [(k, p) for b in found for k, p in zip(b.column(4).to_pylist(), b.column(7).to_pylist(), strict=True) if p is not None]
-    spans += [(k, p) for b in repeats._alone(iter(single.to_batches(max_chunksize=5))) for k, p in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    spans = [b.filter(pc.is_valid(b.column(7))).select(["key", "payload"]) for b in found] + list(repeats._alone(iter(single.to_batches(max_chunksize=5)), 3))
     starts = set()
-    for key, payload in spans:
-        for first, last in np.frombuffer(payload, repeats._SPAN):
-            starts |= {(key, p) for p in range(first, last + 1)}
+    for batch in repeats._by_row(repeats._SPAN)(iter(spans)):
+        for key, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for first, last in np.frombuffer(payload, repeats._SPAN):
+                starts |= {(key, p) for p in range(first, last + 1)}
     return starts
