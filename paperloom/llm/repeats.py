@@ -47,7 +47,7 @@ REACH = LENGTH - ANCHOR  # bytes of an anchor's strings on either side of it, at
 LAST_ID = (1 << 63) - 1
 #: Anchors of a task that are matched before they are sent, and entries of one anchor that are held.
 FLUSH = 300_000
-CROWD = 16_384
+CROWD = 65_536
 #: Entries that are ranked at once, or those of one anchor.
 SOLVED = 4_096
 #: Bytes of text whose anchors form a range of the hash space (about as many bytes are held for it).
@@ -421,18 +421,24 @@ def _ranked(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
                 spans(own[head], start[head], start[tail])
 
     def single(table: pa.RecordBatch) -> pa.RecordBatch:
-        """Each string of the entries for itself: its first 16 bytes as ranks, then the others."""
+        """Each string of the entries for itself: its first 16 bytes as ranks, then the others. One of
+        equal strings goes on, that of the least document."""
         _, _, a, b, docs, keys, place, around = columns(table)
         n = b - a + 1
         entry = np.repeat(np.arange(len(n)), n)
         before = b[entry] - (np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n))
         text = around[entry[:, None], (REACH - before)[:, None] + np.arange(LENGTH)]
-        own = np.ascontiguousarray(text[:, :SORTED]).view(">u8").astype(np.uint64) ^ np.uint64(1 << 63)
-        rest = np.ascontiguousarray(text[:, SORTED:])
-        ends = np.arange(len(entry) + 1, dtype=np.int32) * rest.shape[1]
-        piece = pa.Array.from_buffers(pa.binary(), len(entry), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(rest.tobytes())])
+        docs, keys, start = docs[entry], keys[entry], place[entry] - before
+        lead, equal = _same(text, docs)
+        copied = equal & (docs > docs[lead])
+        spans(keys[copied], start[copied], start[copied])
+        left = np.flatnonzero(~copied)
+        own = np.ascontiguousarray(text[left, :SORTED]).view(">u8").astype(np.uint64) ^ np.uint64(1 << 63)
+        rest = np.ascontiguousarray(text[left, SORTED:])
+        ends = np.arange(len(left) + 1, dtype=np.int32) * rest.shape[1]
+        piece = pa.Array.from_buffers(pa.binary(), len(left), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(rest.tobytes())])
         r1, r2 = (pa.array(np.ascontiguousarray(own[:, i]).view(np.int64)) for i in range(2))
-        return pa.RecordBatch.from_arrays([r1, r2, pa.nulls(len(entry), pa.int32()), pa.array(docs[entry]), pa.array(keys[entry]), pa.array(place[entry] - before), piece, pa.nulls(len(entry), pa.binary())], schema=schema)
+        return pa.RecordBatch.from_arrays([r1, r2, pa.nulls(len(left), pa.int32()), pa.array(docs[left]), pa.array(keys[left]), pa.array(start[left]), piece, pa.nulls(len(left), pa.binary())], schema=schema)
 
     def parts(table: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for lo in range(0, table.num_rows, 2048):
