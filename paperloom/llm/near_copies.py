@@ -3,8 +3,10 @@
 Words are runs of ASCII letters, digits and bytes above 127, with ASCII and Latin-1 capitals
 lowered, so a moved full stop is no edit. A sketch hashes every five-word shingle together with
 its occurrence number, takes the two least, and keeps them in the order of the text; two texts
-agree in a sketch with a chance that follows their edit similarity. Texts that agree in a sketch
-are candidates, and alignment decides: similarity is 1 - distance / longer length, in words.
+agree in a sketch with a chance that follows their edit similarity. In a short text a few edits
+leave no two shingles of five words, so texts under 40 words have sketches of two-word shingles
+too. Texts that agree in a sketch are candidates, and alignment decides: similarity is
+1 - distance / longer length, in words.
 
 Steps: equal word sequences are one node; nodes that share a sketch are paired with the sketch's
 first node and with the next by length; each node's best-supported pairs are aligned first, their
@@ -28,8 +30,10 @@ from .frames import stored
 from .text import Block, Fingerprints, blocks, mix
 
 SHINGLE = 5
-SKETCHES = 40
+SKETCHES = 80
 SIMILARITY = 0.8
+#: Texts of fewer words have sketches of shorter shingles; of at least the share SIMILARITY of as many, of SHINGLE words.
+SHORT, SHORT_SHINGLE, SHORT_SKETCHES = 40, 2, 32
 #: Node ids are broadcast up to this many (16 bytes each); beyond, the join shuffles.
 BROADCAST_NODES = 1_000_000
 #: Buckets of a text's word counts, and nodes of a crowded sketch value that are compared at a time.
@@ -63,14 +67,6 @@ def tokens(block: Block) -> Tokens:
     return Tokens(Fingerprints(lower).spans(begins, np.flatnonzero(end) + 1), np.searchsorted(begins, block.offsets))
 
 
-def _combine(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Hash of every run of ``width`` words."""
-    out = np.zeros(max(0, len(hashes) - width + 1), np.uint64)
-    for i in range(width):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + len(out)])
-    return out
-
-
 def _sequence(hashes: np.ndarray) -> tuple[int, int]:
     """128 bits that name a word sequence."""
     if not len(hashes):
@@ -82,37 +78,66 @@ def _sequence(hashes: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)[0]), int(b.view(np.int64)[0])
 
 
-def _occurrences(shingles: np.ndarray) -> np.ndarray:
-    """The how-manieth occurrence each shingle is, from 0."""
-    order = np.argsort(shingles, kind="stable")
-    ranked = shingles[order]
-    head = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-    begin = np.flatnonzero(head)
-    out = np.empty(len(shingles), np.int64)
-    out[order] = np.arange(len(shingles)) - np.repeat(begin, np.diff(np.append(begin, len(shingles))))
+def _shingles(words: Tokens, width: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, begin, hash) of the occurrence-labelled shingles of the documents with least..most
+    words; a document under ``width`` words has one, of all its words. begin: each document's first."""
+    n = np.diff(words.first)
+    doc = np.flatnonzero((n >= max(least, 1)) & (n <= most))
+    count = np.maximum(n[doc] - width + 1, 1)
+    begin = np.cumsum(count) - count
+    owner = np.repeat(np.arange(len(doc)), count)
+    at = words.first[doc][owner] + np.arange(len(owner)) - begin[owner]
+    hashes = np.zeros(len(at), np.uint64)
+    left = np.minimum(n[doc], width)[owner]
+    for i in range(width):
+        more = left > i
+        hashes[more] = mix(hashes[more] * np.uint64(0x9E3779B97F4A7C15) + words.hashes[at[more] + i])
+    order = np.lexsort((hashes, owner))
+    new = np.ones(len(order), bool)
+    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+    head = np.flatnonzero(new)
+    nth = np.empty(len(order), np.uint64)
+    nth[order] = np.arange(len(order)) - np.repeat(head, np.diff(np.append(head, len(order))))
+    return doc, begin, mix(hashes + mix(nth + np.uint64(1)))
+
+
+def _minima(labelled: np.ndarray, begin: np.ndarray, sketches: int, salt: int) -> np.ndarray:
+    """(documents x sketches): in each sketch's order the two least shingles, in the order of the text."""
+    size = np.diff(np.append(begin, len(labelled)))
+    out = np.empty((len(begin), sketches), np.uint64)
+    top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    for i in range(sketches):
+        # an odd multiplier for each sketch puts the mixed hashes, all different, in another order
+        values = labelled * (mix(np.array([i + salt + 1], np.uint64))[0] | np.uint64(1))
+        places = []
+        for _ in range(2):
+            found = np.flatnonzero(values == np.repeat(np.minimum.reduceat(values, begin), size))
+            found = found[np.searchsorted(found, begin)]  # one a document, also where two agree
+            values[found] = top
+            places.append(found)
+        one, two = np.minimum(*places), np.maximum(*places)
+        alone = size == 1
+        out[:, i] = mix(labelled[one] * np.uint64(0x9FB21C651E98DF25) + np.where(alone, np.uint64(0), labelled[two]) + np.uint64(i + salt))
     return out
 
 
-def sketch(hashes: np.ndarray, sketches: int = SKETCHES, shingle: int = SHINGLE) -> np.ndarray:
-    """Order MinHash of a word sequence; one shingle alone stands for a shorter text."""
-    if not len(hashes):
-        return np.zeros(0, np.uint64)
-    shingles = _combine(hashes, min(shingle, len(hashes)))
-    labelled = mix(shingles + mix(_occurrences(shingles).astype(np.uint64) + np.uint64(1)))
-    out = np.empty(sketches, np.uint64)
-    for i in range(sketches):
-        values = (labelled ^ np.uint64((i + 1) * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xE7037ED1A0B428DB)
-        values ^= values >> np.uint64(32)
-        values *= np.uint64(0x8EBC6AF09C88C6E3)
-        one = int(values.argmin())
-        if len(values) > 1:
-            values[one] = np.uint64(0xFFFFFFFFFFFFFFFF)
-            two = int(values.argmin())
-            one, two = min(one, two), max(one, two)
-            out[i : i + 1] = labelled[one : one + 1] * np.uint64(0x9FB21C651E98DF25) + labelled[two : two + 1]
-        else:
-            out[i] = labelled[one]
-    return mix(out + np.arange(sketches, dtype=np.uint64))
+def sketches_of(words: Tokens, sketches: int = SKETCHES) -> list[np.ndarray]:
+    """Order MinHash values of each document; none without words."""
+    n = len(words.first) - 1
+    found: list[list[np.ndarray]] = [[] for _ in range(n)]
+    short = max(1, sketches * SHORT_SKETCHES // SKETCHES)
+    every = np.iinfo(np.int64).max
+    for width, least, most, count, salt in ((SHINGLE, 0, every, sketches, 0), (SHORT_SHINGLE, SHORT_SHINGLE + 1, SHORT - 1, short, 1 << 20)):
+        doc, begin, labelled = _shingles(words, width, least, most)
+        if len(doc):
+            for i, values in zip(doc, _minima(labelled, begin, count, salt), strict=True):
+                found[i].append(values)
+    return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in found]
+
+
+def sketch(hashes: np.ndarray, sketches: int = SKETCHES) -> np.ndarray:
+    """Order MinHash of one word sequence."""
+    return sketches_of(Tokens(hashes, np.array([0, len(hashes)])), sketches)[0]
 
 
 def banded_distance(a: list, b: list, limit: int) -> int:
@@ -187,22 +212,21 @@ def bags(words: Tokens) -> np.ndarray:
 def _signatures(rows: DataFrame, sketches: int) -> DataFrame:
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(2)):
                 words = tokens(block)
-                found, names = [], []
-                for a, b in zip(words.first[:-1], words.first[1:], strict=True):
-                    names.append(_sequence(words.hashes[a:b]))
-                    found.append(sketch(words.hashes[a:b], sketches).tobytes())
+                names = [_sequence(words.hashes[a:b]) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
                 first, second = zip(*names, strict=True)
+                part = batch.slice(block.lo, block.hi - block.lo)
+                found = [x.tobytes() for x in sketches_of(words, sketches)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(block.lo, block.hi - block.lo), pa.array(np.diff(words.first).astype(np.int64)), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(found, pa.binary()), pa.array([x.tobytes() for x in bags(words)], pa.binary())],
-                    ["doc", "n", "a", "b", "sketch", "bag"],
+                    [part.column(0), part.column(1), pa.array(np.diff(words.first).astype(np.int64)), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(found, pa.binary()), pa.array([x.tobytes() for x in bags(words)], pa.binary())],
+                    ["key", "doc", "n", "a", "b", "sketch", "bag"],
                 )
 
-    return rows.mapInArrow(signed, "doc long, n long, a long, b long, sketch binary, bag binary")
+    return rows.mapInArrow(signed, "key long, doc long, n long, a long, b long, sketch binary, bag binary")
 
 
-def _pairs(nodes: DataFrame, parts: int) -> DataFrame:
+def _pairs(nodes: DataFrame, parts: int, least: float) -> DataFrame:
     """Candidate pairs (low, high, support) of the nodes (node, n, sketch).
 
     A batch of nodes pairs up what it can by itself and sends on one node a sketch value, so a
@@ -220,7 +244,7 @@ def _pairs(nodes: DataFrame, parts: int) -> DataFrame:
         low = np.concatenate([hub[rest], node[rest - 1]])
         high = np.concatenate([node[rest], node[rest]])
         size = np.abs(np.concatenate([n[begin][group][rest], n[rest - 1]]) - np.concatenate([n[rest], n[rest]]))
-        close = (low != high) & (size <= (1 - SIMILARITY) * np.maximum(np.concatenate([n[begin][group][rest], n[rest - 1]]), np.concatenate([n[rest], n[rest]])) + 1e-9)
+        close = (low != high) & (size <= (1 - least) * np.maximum(np.concatenate([n[begin][group][rest], n[rest - 1]]), np.concatenate([n[rest], n[rest]])) + 1e-9)
         return order[begin], low[close], high[close]
 
     def batch_of(key, node, n, other) -> pa.RecordBatch:
@@ -343,7 +367,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     """The pairs whose texts align. Only texts that a pair names are read past the scan."""
     ids = stored(pairs.select(F.explode(F.array("low", "high")).alias("doc")).distinct(), "named")
     named = F.broadcast(ids) if ids.count() <= BROADCAST_NODES else ids
-    texts = rows.join(named, "doc")
+    texts = rows.withColumnRenamed("key", "doc").join(named, "doc")
     both = pairs.select("low", "high").join(texts.withColumnsRenamed({"doc": "low", "text": "one"}), "low").join(texts.withColumnsRenamed({"doc": "high", "text": "two"}), "high")
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,50 +406,66 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_copies(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKETCHES, first_pairs: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return id, n_words and class_id of every row: rows with one class_id are near copies of one
-    another, directly or through others; class_id is the class's least id.
-
-    Two texts are linked if their words' edit similarity is at least ``least``. Texts of equal
-    words are one node; links are sought where two texts agree in one of ``sketches`` sketches,
-    so they need a five-word shingle in common (any text under six words: all words).
-
-    Ids are whole numbers. A null id has a null class. Text that is null or without a word is
-    like no other and keeps its own id. Rows that share an id share its class; repeated rows are
-    each returned. An empty table gives an empty result; other columns are left out.
-    """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    known = rows.filter("doc IS NOT NULL")
-    signed = stored(_signatures(known, sketches), "sketches")
-    groups = stored(signed.filter("n > 0").groupBy("a", "b").agg(F.min("doc").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bag").alias("bag")), "nodes")
-    pairs = stored(_pairs(groups.select("node", "n", "sketch"), parts), "pairs")
+def _classes(texts: DataFrame, least: float, sketches: int, first_pairs: int) -> DataFrame:
+    """(key, doc, n, class_id) of the stored rows (key, doc, text)."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = texts.select("key", "text")
+    signed = stored(_signatures(texts, sketches), "sketches")
+    groups = stored(signed.filter("n > 0").groupBy("a", "b").agg(F.min("key").alias("node"), F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bag").alias("bag")), "nodes")
+    pairs = stored(_pairs(groups.select("node", "n", "sketch"), parts, least), "pairs")
     both = pairs.select(F.col("low").alias("own"), "low", "high", "support").union(pairs.select(F.col("high").alias("own"), "low", "high", "support"))
     best = Window.partitionBy("own").orderBy(F.desc("support"), "low", "high")
-    first = both.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= first_pairs).select("low", "high").distinct()
+    first = stored(both.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= first_pairs).select("low", "high").distinct(), "tried")
     links = stored(_verified(first, known, least), "links")
     labels = components(links)
     side = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"{name}_label"))
-    first = stored(first, "tried")
     across = pairs.join(side("low"), "low", "left").join(side("high"), "high", "left").filter(F.coalesce("low_label", "low") != F.coalesce("high_label", "high"))
     across = stored(across.select("low", "high").join(first, ["low", "high"], "left_anti"), "across")
     more = stored(_verified(across, known, least), "links")
-    links = stored(links.union(more), "links")
+    links = links.union(more)
     labels = components(links)
     named = stored(groups.join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), "sketch", "bag"), "named")
     left = stored(_crowded(named, parts, least).join(first.union(across), ["low", "high"], "left_anti"), "crowded")
     labels = components(links.union(stored(_verified(left, known, least), "links")))
-    classes = groups.join(labels, "node", "left").select("a", "b", F.coalesce("label", "node").alias("class_id"))
-    # rows that share an id with different texts are tied together through the id
-    found = signed.select("doc", "n", "a", "b").join(classes, ["a", "b"], "left").select("doc", "n", F.coalesce("class_id", "doc").alias("class_id"))
-    out = found.unionByName(rows.filter("doc IS NULL").select("doc", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("class_id")))
+    labelled = groups.join(labels, "node", "left").select("a", "b", "doc", F.coalesce("label", "node").alias("label"))
+    classes = labelled.join(labelled.groupBy("label").agg(F.min("doc").alias("class_id")), "label").select("a", "b", "class_id")
+    return signed.select("key", "doc", "n", "a", "b").join(classes, ["a", "b"], "left").select("key", "doc", "n", F.coalesce("class_id", "doc").alias("class_id"))
+
+
+def near_copies(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKETCHES, first_pairs: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Return id, n_words and class_id of every row: rows with one class_id are near copies of one
+    another, directly or through others; class_id is the class's least id.
+
+    Two texts are linked if their words' edit similarity is at least ``least``. Texts of equal
+    words are one node; links are sought where two texts agree in one of ``sketches`` sketches.
+    At a similarity of just 0.8, with the edits spread at random, a pair does so with a
+    probability of 0.95; texts of under 40 words, with over 0.99.
+
+    Ids are whole numbers. A null id has a null class and takes no part. Text that is null or without
+    a word is like no other and keeps its own id. Rows that share an id are rows of their own: each
+    has the class of its own text; repeated rows are each returned. A very long text is handled
+    whole: its sketches and words take some twenty times its size in one task. An empty table gives
+    an empty result; other columns are left out.
+    """
+    id_, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    rows = docs.select(id_.alias("doc"), text.alias("text"))
+    known = stored(rows.filter("doc IS NOT NULL").select(F.monotonically_increasing_id().alias("key"), "doc", "text"), "texts")
+    out = _classes(known, least, sketches, first_pairs).select("doc", "n", "class_id")
+    out = out.unionByName(rows.filter("doc IS NULL").select("doc", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("class_id")))
     kind = docs.schema[id_col].dataType
     return out.select(F.col("doc").cast(kind).alias(id_col), F.col("n").alias("n_words"), F.col("class_id").cast(kind).alias("class_id"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, all columns, without those whose class has a smaller id; rows without
-    an id stay."""
-    copies = near_copies(docs, id_col=id_col, text_col=text_col, **options).filter(F.col(id_col) != F.col("class_id")).select(id_col).distinct()
-    return docs.join(copies, id_col, "left_anti")
+def drop_near_copies(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKETCHES, first_pairs: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, without those whose class has a smaller id.
+
+    Rows are dropped one by one, not by their id: of rows that share an id each stays or goes by its
+    own text, and rows that repeat the class's least id stay. Rows without an id, and with null
+    text or without a word, stay. Very long texts and empty tables as in ``near_copies``; other
+    columns are carried inside one of their own, so no name can clash.
+    """
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("key"), kept.alias("row")), "rows")
+    texts = rows.select("key", F.col("row")[id_col].cast("long").alias("doc"), F.col("row")[text_col].alias("text")).filter("doc IS NOT NULL")
+    copies = _classes(texts, least, sketches, first_pairs).filter("doc > class_id").select("key")
+    return rows.join(copies, "key", "left_anti").select("row.*")

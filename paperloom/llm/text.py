@@ -7,8 +7,8 @@ megabyte, or a single longer document; no text is ever cut.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -16,7 +16,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 18
-_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)  # odd, one for each lane
+_BASE, _CODE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03  # odd
+#: Longer spans are named by a cryptographic digest: sums modulo 2**64 have texts of some 500 bytes
+#: and more that agree for every base.
+_LONG = 255
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -26,11 +29,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
-def _byte_codes(lane: int) -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULTIPLIERS[lane])) | np.uint64(1)
-
-
+_codes = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_CODE)) | np.uint64(1)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -40,33 +39,28 @@ def _power_row(base: int, n: int) -> np.ndarray:
         size = max(n, BLOCK_BYTES + 1)
         row = np.full(size, base, np.uint64)
         row[0] = 1
-        row = _powers[base] = np.multiply.accumulate(row)
+        row = np.multiply.accumulate(row)
+        if size == BLOCK_BYTES + 1:  # of one very long text: not kept
+            _powers[base] = row
     return row[:n]
 
 
 class Fingerprints:
-    """Substring hashes of one buffer in constant time each (prefix sums modulo 2**64).
-
-    The two lanes have other byte codes and multipliers, so they err independently.
-    """
+    """64-bit names of the spans of one buffer: prefix sums modulo 2**64, a digest for long spans."""
 
-    def __init__(self, data: np.ndarray, lane: int = 0):
-        n, base = len(data), _MULTIPLIERS[lane]
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        self.data = data
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_byte_codes(lane)[data] * _power_row(base, n), out=self.sums[1:])
-        self.back = _power_row(pow(base, -1, 1 << 64), n + 1)
+        np.cumsum(_codes[data] * _power_row(_BASE, n), out=self.sums[1:])
+        self.back = _power_row(pow(_BASE, -1, 1 << 64), n + 1)
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of data[start:end] for arrays of bounds; the length takes part."""
-        raw = (self.sums[end] - self.sums[start]) * self.back[start]
-        return mix(raw + (end - start).astype(np.uint64))
-
-    def windows(self, k: int) -> np.ndarray:
-        """Hash of every k-byte window, by its start."""
-        n = len(self.sums) - 1
-        if n < k:
-            return np.zeros(0, np.uint64)
-        return mix((self.sums[k:] - self.sums[: n - k + 1]) * self.back[: n - k + 1] + np.uint64(k))
+        """Names of data[start:end] for arrays of bounds; the length takes part."""
+        out = mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
+        for i in np.flatnonzero(end - start > _LONG):
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+        return out
 
 
 class Block(NamedTuple):

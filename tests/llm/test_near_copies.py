@@ -142,3 +142,53 @@ def test_crossing_equals_all_pairs():
         true = {(i, j) for j in range(len(texts)) for i in range(j) if label[i] != label[j] and (side[i] != side[j] or not side.any()) and similar(texts[i], texts[j])}
         assert true and true <= got and len(got) < len(texts) * 20
         assert all(label[i] != label[j] and (side[i] != side[j] or not side.any()) for i, j in got)
+
+
+def test_rows_are_dropped_by_their_own_text(spark, documents):
+    x, y, z = ("alpha beta gamma delta epsilon", "one two three four five six", "seven eight nine ten")
+    docs = documents([(3, x), (5, x), (5, y), (6, y), (6, z), (None, x), (9, None)])
+    got = sorted((r.doc_id, r.class_id) for r in near_copies(docs).collect() if r.doc_id)
+    assert got == [(3, 3), (5, 3), (5, 5), (6, 5), (6, 6), (9, 9)]
+    kept = sorted(((r.doc_id, r.text) for r in drop_near_copies(docs).collect()), key=repr)
+    assert kept == sorted([(3, x), (5, y), (6, z), (None, x), (9, None)], key=repr)
+
+
+def test_other_similarity_and_clashing_names(spark, documents):
+    base = [f"w{i}" for i in range(100)]
+    docs = documents({1: " ".join(base), 2: " ".join(base[:70])}).selectExpr("doc_id", "text", "1 AS key", "2 AS row", "3 AS label", "4 AS class_id")
+    assert {r.class_id for r in near_copies(docs, least=0.6).collect()} == {1} and {r.class_id for r in near_copies(docs).collect()} == {1, 2}
+    kept = drop_near_copies(docs, least=0.6).collect()
+    assert [r.asDict() for r in kept] == [{"doc_id": 1, "text": " ".join(base), "key": 1, "row": 2, "label": 3, "class_id": 4}]
+
+
+def test_recall_at_the_border():
+    """Pairs at a similarity of just 0.8, the edits spread at random, that agree in a sketch."""
+    rng = np.random.default_rng(3)
+    for n, least in ((10, 0.97), (20, 0.97), (35, 0.97), (60, 0.9), (200, 0.9), (600, 0.9)):
+        found = 0
+        for _ in range(150):
+            words = rng.integers(0, 2**60, n).astype(np.uint64)
+            edited = words.copy()
+            edited[rng.permutation(n)[: n // 5]] = rng.integers(0, 2**60, n // 5)
+            found += np.isin(sketch(words), sketch(edited)).any()
+        assert found / 150 >= least, (n, found / 150)
+
+
+def test_batches_do_not_change_classes(spark, documents):
+    """Template pages: 120 common words and some of their own, dealt to several numbers of tasks."""
+    random.seed(11)
+    word = lambda: f"w{random.randrange(10**6)}"
+    template = [word() for _ in range(120)]
+    rows = []
+    for i in range(60):
+        own = [word() for _ in range(60)]
+        at = random.randrange(120)
+        rows.append((2 * i, " ".join(template[:at] + own + template[at:])))
+        words = rows[-1][1].split()
+        for _ in range(random.choice([4, 12, 25])):
+            words[random.randrange(len(words))] = word()
+        rows.append((2 * i + 1, " ".join(words)))
+    true = brute(rows)
+    for parts in (1, 3, 9):
+        got = {r.doc_id: r.class_id for r in near_copies(documents(rows).repartition(parts)).collect()}
+        assert sum(got[k] == v for k, v in true.items()) >= 0.97 * len(true)
