@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import stored
+from .frames import discard, stored
 from .text import Block, Fingerprints, blocks, mix
 
 SHINGLE = 5
@@ -36,8 +36,9 @@ SIMILARITY = 0.8
 SHORT, SHORT_SHINGLE, SHORT_SKETCHES = 40, 2, 32
 #: Node ids are broadcast up to this many (16 bytes each); beyond, the join shuffles.
 BROADCAST_NODES = 1_000_000
-#: Buckets of a text's word counts, and nodes of a crowded sketch value that are compared at a time.
-BAG = 128
+#: Buckets of a text's word counts (first compared in COARSE sums), and nodes of a crowded sketch value
+#: that are compared at a time.
+BAG, COARSE = 512, 64
 CROWD = 4096
 
 _WORD = np.zeros(256, bool)
@@ -226,30 +227,39 @@ def _signatures(rows: DataFrame, sketches: int) -> DataFrame:
     return rows.mapInArrow(signed, "key long, doc long, n long, a long, b long, sketch binary, bag binary")
 
 
-def _pairs(nodes: DataFrame, parts: int, least: float) -> DataFrame:
-    """Candidate pairs (low, high, support) of the nodes (node, n, sketch).
+def _agreeing(nodes: DataFrame, parts: int, least: float) -> DataFrame:
+    """Candidate pairs (key, low, high) of the nodes (node, n, sketch), and the members (key, low, null)
+    of the sketch values that two nodes or more have.
 
     A batch of nodes pairs up what it can by itself and sends on one node a sketch value, so a
     value that a third of all nodes share meets once a batch and not once a node.
     """
 
-    def linked(keys, node, n) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def linked(keys, node, n) -> tuple:
+        """Places of the values' first nodes, of the members of those with several; then the pairs."""
         order = np.lexsort((node, n, keys))
         keys, node, n = keys[order], node[order], n[order]
         head = np.concatenate([[True], keys[1:] != keys[:-1]])
         begin = np.flatnonzero(head)
+        size = np.diff(np.append(begin, len(keys)))
         group = np.cumsum(head) - 1
-        hub = node[begin][group]
         rest = np.flatnonzero(~head)
-        low = np.concatenate([hub[rest], node[rest - 1]])
-        high = np.concatenate([node[rest], node[rest]])
-        size = np.abs(np.concatenate([n[begin][group][rest], n[rest - 1]]) - np.concatenate([n[rest], n[rest]]))
-        close = (low != high) & (size <= (1 - least) * np.maximum(np.concatenate([n[begin][group][rest], n[rest - 1]]), np.concatenate([n[rest], n[rest]])) + 1e-9)
-        return order[begin], low[close], high[close]
+        low, high = np.concatenate([begin[group][rest], rest - 1]), np.concatenate([rest, rest])
+        longer = np.maximum(n[low], n[high])
+        close = (node[low] != node[high]) & (np.abs(n[low] - n[high]) <= (1 - least) * longer + 1e-9)
+        low, high = order[low[close]], order[high[close]]
+        return order[begin], order[np.repeat(size > 1, size)], low, high
 
     def batch_of(key, node, n, other) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node), pa.array(n), pa.array(other)], ["key", "node", "n", "other"])
 
+    def found(key, node, n) -> tuple:
+        """Pairs and members as rows with n = 0; other is -1 for a member."""
+        leads, members, low, high = linked(key, node, n)
+        one, two = np.minimum(node[low], node[high]), np.maximum(node[low], node[high])
+        rows = [np.concatenate(x) for x in ((key[low], key[members]), (one, node[members]), (two, np.full(len(members), -1)))]
+        return leads, rows
+
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, size = np.asarray(batch.column(0)), np.asarray(batch.column(1))
@@ -258,31 +268,30 @@ def _pairs(nodes: DataFrame, parts: int, least: float) -> DataFrame:
             if not count.sum():
                 continue
             keys, node, n = np.concatenate(lists), np.repeat(own, count), np.repeat(size, count)
-            leads, low, high = linked(keys, node, n)
+            leads, (key, low, high) = found(keys, node, n)
             yield batch_of(keys[leads], node[leads], n[leads], np.full(len(leads), -1))
             if len(low):
-                yield batch_of(mix((low * 31 + high).astype(np.uint64)), low, np.zeros(len(low), np.int64), high)
+                yield batch_of(key, low, np.zeros(len(low), np.int64), high)
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
-        names = ["low", "high"]
 
-        def out(low, high) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(low, high)), pa.array(np.maximum(low, high))], names)
+        def out(key, low, high) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(low), pa.array(high, mask=high < 0)], ["key", "low", "high"])
 
         for batch in batches:
             key, node, n, other = (np.asarray(c) for c in batch.columns)
             direct = n == 0
             if direct.any():
-                yield out(node[direct], other[direct])
+                yield out(key[direct], node[direct], other[direct])
             held.append((key[~direct], node[~direct], n[~direct]))
         if held:
-            _, low, high = linked(*(np.concatenate(c) for c in zip(*held, strict=True)))
-            if len(low):
-                yield out(low, high)
+            _, rows = found(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            if len(rows[0]):
+                yield out(*rows)
 
     dealt = nodes.mapInArrow(sent, "key long, node long, n long, other long").repartition(parts, "key")
-    return dealt.mapInArrow(met, "low long, high long").groupBy("low", "high").agg(F.count("*").alias("support"))
+    return dealt.mapInArrow(met, "key long, low long, high long")
 
 
 def crossing(n: np.ndarray, label: np.ndarray, side: np.ndarray, bag: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -294,6 +303,7 @@ def crossing(n: np.ndarray, label: np.ndarray, side: np.ndarray, bag: np.ndarray
     order = np.argsort(n, kind="stable")
     n, label, side, bag = n[order], label[order], side[order], bag[order]
     total = bag.sum(axis=1, dtype=np.int64)
+    coarse = bag.reshape(len(bag), -1, COARSE).sum(axis=1, dtype=np.uint16)
     two = side.min() != side.max()
     limits = (n * (1 - least) + 1e-9).astype(np.int64)  # of a pair: that of its longer text
     begin = np.searchsorted(n, n - limits)
@@ -304,9 +314,11 @@ def crossing(n: np.ndarray, label: np.ndarray, side: np.ndarray, bag: np.ndarray
         if two:
             other &= side[near] != side[i]
         at = np.flatnonzero(other) + begin[i]
+        for counts in (coarse, bag):
+            if len(at):
+                union = np.maximum(counts[at], counts[i]).sum(axis=1, dtype=np.int64)
+                at = at[union - np.minimum(total[at], total[i]) <= limits[i]]
         if len(at):
-            union = np.maximum(bag[at], bag[i]).sum(axis=1, dtype=np.int64)
-            at = at[union - np.minimum(total[at], total[i]) <= limits[i]]
             low.append(at)
             high.append(np.full(len(at), i))
     if not low:
@@ -314,21 +326,14 @@ def crossing(n: np.ndarray, label: np.ndarray, side: np.ndarray, bag: np.ndarray
     return order[np.concatenate(low)], order[np.concatenate(high)]
 
 
-def _crowded(nodes: DataFrame, parts: int, least: float) -> DataFrame:
-    """Every pair (low, high) of the nodes (node, n, label, sketch, bag) that agree in a sketch, are
-    in different components and may be similar.
+def _crowded(members: DataFrame, labels: DataFrame, nodes: DataFrame, parts: int, least: float) -> DataFrame:
+    """Every pair (low, high) of the members (key, node) of a sketch value that are in different
+    components (node, label; else a component of its own) and may be similar; nodes: (node, n, bag).
 
     Only sketch values with several components are dealt out. Those of more than CROWD nodes are
     split into blocks, and each two blocks meet in a group of their own.
     """
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
-            at = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), batch.column(0).take(at), batch.column(1).take(at)], ["key", "node", "label"])
-
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
 
@@ -354,9 +359,9 @@ def _crowded(nodes: DataFrame, parts: int, least: float) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield pairs(rest, np.array([rest.num_rows]))
 
-    members = nodes.select("node", "label", "sketch").mapInArrow(keyed, "key long, node long, label long")
-    mixed = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("key", F.ceil(F.col("size") / CROWD).alias("blocks"))
-    held = members.join(stored(mixed, "mixed"), "key").join(nodes.select("node", "n", "bag"), "node").withColumn("side", F.pmod(F.xxhash64("node"), "blocks"))
+    known = members.distinct().join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    mixed = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("key", F.ceil(F.col("size") / CROWD).alias("blocks"))
+    held = stored(known.join(mixed, "key"), "mixed").join(nodes, "node").withColumn("side", F.pmod(F.xxhash64("node"), "blocks"))
     dealt = held.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("side", "with").alias("one"), F.greatest("side", "with").alias("two"), "node", "n", "label", "side", "bag")
     sorted_ = dealt.repartition(parts, "key", "one", "two").sortWithinPartitions("key", "one", "two")
@@ -365,7 +370,7 @@ def _crowded(nodes: DataFrame, parts: int, least: float) -> DataFrame:
 
 def _verified(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     """The pairs whose texts align. Only texts that a pair names are read past the scan."""
-    ids = stored(pairs.select(F.explode(F.array("low", "high")).alias("doc")).distinct(), "named")
+    ids = stored(pairs.select(F.col("low").alias("doc")).union(pairs.select("high")).distinct(), "named")
     named = F.broadcast(ids) if ids.count() <= BROADCAST_NODES else ids
     texts = rows.withColumnRenamed("key", "doc").join(named, "doc")
     both = pairs.select("low", "high").join(texts.withColumnsRenamed({"doc": "low", "text": "one"}), "low").join(texts.withColumnsRenamed({"doc": "high", "text": "two"}), "high")
@@ -390,29 +395,46 @@ def _verified(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every linked node; the label is its component's least node.
 
-    Labels take the least of their neighbours' and then jump to their label's label, until none
-    changes; each round starts from a stored table.
+    Alternating stars: each node's larger neighbours are tied to its least neighbour, then its
+    smaller ones are, until every component is a star about its least node. Each round starts from
+    a stored table.
     """
-    edges = stored(links.select("low", "high").union(links.select(F.col("high").alias("low"), F.col("low").alias("high"))).distinct(), "edges").withColumnsRenamed({"low": "node", "high": "next"})
-    labels = stored(edges.groupBy("node").agg(F.least(F.min("next"), F.min("node")).alias("label")), "labels")
+
+    def star(edges: DataFrame, large: bool) -> DataFrame:
+        both = edges.select("node", "next").union(edges.select("next", "node"))
+        centre = both.groupBy("node").agg(F.least(F.min("next"), F.col("node")).alias("label"))
+        if large:
+            return both.filter("next > node").join(centre, "node").select(F.col("next").alias("node"), F.col("label").alias("next")).distinct()
+        below = both.filter("next < node").join(centre, "node")
+        moved = below.filter("next <> label").select(F.col("next").alias("node"), F.col("label").alias("next"))
+        return moved.union(centre.filter("label <> node").select("node", F.col("label").alias("next"))).distinct()
+
+    def state(edges: DataFrame) -> tuple:
+        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("node", "next").cast("decimal(38,0)"))).first())
+
+    edges = stored(links.select(F.col("high").alias("node"), F.col("low").alias("next")).distinct(), "edges")
+    last = state(edges)
     while True:
-        near = edges.join(labels.withColumnsRenamed({"node": "next", "label": "other"}), "next").groupBy("node").agg(F.min("other").alias("other"))
-        moved = labels.join(near, "node").select("node", F.least("label", "other").alias("to"), F.col("label").alias("was"))
-        jump = labels.withColumnsRenamed({"node": "to", "label": "further"})
-        after = stored(moved.join(jump, "to", "left").select("node", F.least("to", F.coalesce("further", "to")).alias("label"), "was"), "labels")
-        changed = after.filter("label <> was").limit(1).count()
-        labels = after.select("node", "label")
-        if not changed:
-            return labels
+        after = stored(star(star(edges, True), False), "edges")
+        now = state(after)
+        discard(edges)
+        edges = after
+        if now == last:
+            centres = edges.select(F.col("next").alias("node")).distinct().withColumn("label", F.col("node"))
+            return edges.select("node", F.col("next").alias("label")).union(centres)
+        last = now
 
 
 def _classes(texts: DataFrame, least: float, sketches: int, first_pairs: int) -> DataFrame:
     """(key, doc, n, class_id) of the stored rows (key, doc, text)."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = texts.select("key", "text")
-    signed = stored(_signatures(texts, sketches), "sketches")
-    groups = stored(signed.filter("n > 0").groupBy("a", "b").agg(F.min("key").alias("node"), F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bag").alias("bag")), "nodes")
-    pairs = stored(_pairs(groups.select("node", "n", "sketch"), parts, least), "pairs")
+    whole = stored(_signatures(texts, sketches), "sketches")
+    groups = stored(whole.filter("n > 0").groupBy("a", "b").agg(F.min("key").alias("node"), F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bag").alias("bag")), "nodes")
+    signed = stored(whole.select("key", "doc", "n", "a", "b"), "names")
+    discard(whole)
+    agreeing = stored(_agreeing(groups.select("node", "n", "sketch"), parts, least), "agreeing")
+    pairs = stored(agreeing.filter("high IS NOT NULL").groupBy("low", "high").agg(F.count("*").alias("support")), "pairs")
     both = pairs.select(F.col("low").alias("own"), "low", "high", "support").union(pairs.select(F.col("high").alias("own"), "low", "high", "support"))
     best = Window.partitionBy("own").orderBy(F.desc("support"), "low", "high")
     first = stored(both.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= first_pairs).select("low", "high").distinct(), "tried")
@@ -424,9 +446,10 @@ def _classes(texts: DataFrame, least: float, sketches: int, first_pairs: int) ->
     more = stored(_verified(across, known, least), "links")
     links = links.union(more)
     labels = components(links)
-    named = stored(groups.join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), "sketch", "bag"), "named")
-    left = stored(_crowded(named, parts, least).join(first.union(across), ["low", "high"], "left_anti"), "crowded")
+    members = agreeing.filter("high IS NULL").select("key", F.col("low").alias("node"))
+    left = stored(_crowded(members, labels, groups.select("node", "n", "bag"), parts, least).join(first.union(across), ["low", "high"], "left_anti"), "crowded")
     labels = components(links.union(stored(_verified(left, known, least), "links")))
+    discard(agreeing, pairs, across, left)
     labelled = groups.join(labels, "node", "left").select("a", "b", "doc", F.coalesce("label", "node").alias("label"))
     classes = labelled.join(labelled.groupBy("label").agg(F.min("doc").alias("class_id")), "label").select("a", "b", "class_id")
     return signed.select("key", "doc", "n", "a", "b").join(classes, ["a", "b"], "left").select("key", "doc", "n", F.coalesce("class_id", "doc").alias("class_id"))
