@@ -44,10 +44,10 @@ def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
 
 
 class PieceModel:
-    """Pieces, ranks and byte fallback of a BPE model with the identity normaliser.
+    """Pieces, ranks or scores, and byte fallback of a BPE or unigram model with the identity normaliser.
 
-    Raises ValueError for a model of another kind: unigram, a normaliser with a character
-    map, removal of extra spaces, user-defined pieces, or no byte fallback.
+    Raises ValueError for a model of another kind: a normaliser with a character map, removal of
+    extra spaces, user-defined pieces, or no byte fallback.
     """
 
     def __init__(self, raw: bytes):
@@ -66,11 +66,14 @@ class PieceModel:
                 trainer = dict(_fields(value))
             elif field == 3:
                 normaliser = dict(_fields(value))
-        if trainer.get(3) != 2 or not trainer.get(35) or normaliser.get(2) or normaliser.get(4, 1) or USER_DEFINED in self.kinds or UNUSED in self.kinds:
-            raise ValueError("needs a BPE model with byte fallback, the identity normaliser and no user-defined pieces")
+        if trainer.get(3, 1) not in (1, 2) or not trainer.get(35) or normaliser.get(2) or normaliser.get(4, 1) or USER_DEFINED in self.kinds or UNUSED in self.kinds:
+            raise ValueError("needs a BPE or unigram model with byte fallback, the identity normaliser and no user-defined pieces")
         self.prefix = SPACE if normaliser.get(3, 1) else ""
         self.ids = {p: i for i, p in enumerate(self.pieces) if self.kinds[i] == NORMAL}
-        self.ranks = {p: -scores[i] for p, i in self.ids.items()}
+        self.additive = trainer.get(3, 1) == 1
+        self.scores = {p: scores[i] for p, i in self.ids.items()}
+        self.least = min(self.scores.values())
+        self.ranks = {p: -score for p, score in self.scores.items()}
         self.bytes = [0] * 256
         for i, p in enumerate(self.pieces):
             if self.kinds[i] == BYTE:
@@ -80,7 +83,7 @@ class PieceModel:
         # the same holds on both sides of a line break, which is in no piece.
         inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         breaks = any("\n" in p for p in self.ids)
-        if inner:
+        if inner or self.additive:  # rounded sums of scores decide ties, so they run over the whole text
             self._split = re.compile(r"(?s).+")
         elif breaks:
             self._split = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -157,6 +160,8 @@ class MergeCounter:
     """Token counts: initial symbols (bytes where a character has no piece) minus merges."""
 
     def __init__(self, model: PieceModel, cache: int = 400_000):
+        if model.additive:
+            raise ValueError("a unigram model has no merges")
         self.model, self.limit = model, cache
         self.known: dict[str, int] = {}
 

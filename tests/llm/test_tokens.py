@@ -1,4 +1,5 @@
 import random
+import struct
 
 import numpy as np
 import public_tokenizers
@@ -53,6 +54,42 @@ def test_path_equals_merging(model):
             assert machine.path(unit) == merged(unit, model.ranks)
 
 
+def test_arcs_equal_merging(model):
+    """Arc weights against merging both pieces' text, for pairs that do occur next to each other and others."""
+    random.seed(12)
+    machine = PieceTransducer(model)
+    pieces = [p for p in model.ids if len(merged(p, model.ranks)) == 1]
+    common = sorted(pieces, key=model.ranks.get)[:3000]
+    pairs = [(random.choice(group), random.choice(group)) for group in (pieces, common) for _ in range(20_000)]
+    pairs += [(p, p) for p in common] + [(p[:i], p[i:]) for p in common for i in range(1, len(p)) if p[:i] in machine.parts or p[i:] in machine.parts]
+    pairs += [("▁" * i, "▁" * j + word) for i in range(1, 18) for j in range(18) for word in ("", "the", "a") if j or word]
+    pairs = [(a, b) for a, b in pairs if len(merged(a, model.ranks)) == len(merged(b, model.ranks)) == 1]
+    got = [machine.joins(a, b) for a, b in pairs]
+    assert len(machine.irregular) < 50 and got == [merged(a + b, model.ranks) == [a, b] for a, b in pairs] and any(got) and not all(got)
+
+
+def test_unigram_scores_equal_the_library():
+    """A small unigram model written by hand, with byte fallback."""
+
+    def varint(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    field = lambda n, raw: varint(n << 3 | 2) + varint(len(raw)) + raw
+    number = lambda n, value: varint(n << 3) + varint(value)
+    random.seed(13)
+    words = ["▁", *"abcdefgh", "ab", "abc", "bc", "cd", "▁a", "▁ab", "de", "def", "fgh", "gh", "bcd", "▁bc", "hh", "aa", "aaa"]
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{i:02X}>", 0.0, 6) for i in range(256)), *((w, -random.uniform(1, 9), 1) for w in words)]
+    raw = b"".join(field(1, field(1, p.encode()) + varint(2 << 3 | 5) + struct.pack("<f", s) + number(3, k)) for p, s, k in pieces)
+    raw += field(2, number(3, 1) + number(35, 1)) + field(3, field(1, b"identity") + number(3, 1) + number(4, 0) + number(5, 1))
+    library = sentencepiece.SentencePieceProcessor(model_proto=raw)
+    machine = PieceTransducer(PieceModel(raw))
+    for _ in range(2000):
+        text = "".join(random.choice("abcdefgh aabcé日") for _ in range(random.randint(0, 25)))
+        ids = np.frombuffer(machine.encode(text), "<i4").tolist()
+        assert ids == library.encode(text), text
+        assert machine.decode(np.array(ids, "<i4")) == library.decode(ids)
+
+
 def test_other_models_are_refused():
     with pytest.raises(ValueError):
         PieceModel(b"")
