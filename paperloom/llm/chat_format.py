@@ -20,7 +20,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 END = "</turn>"
@@ -47,16 +47,31 @@ def render(role: str, text: str) -> tuple[str, int, int]:
     return f"{head}{body}{END}\n", len(head), len(head) + len(body)
 
 
+class Reader:
+    """Reads turns back from an output that comes in chunks of any size; it keeps what is not yet a
+    whole turn, and knows nothing of where segments begin."""
+
+    def __init__(self):
+        self.left = ""
+
+    def feed(self, chunk: str) -> Iterator[tuple[str, str]]:
+        """Roles and texts of the turns that the chunk completes."""
+        text, at = self.left + chunk, 0
+        while (head := _HEAD.match(text, at)) and (body := _TO_END.match(text, head.end())):
+            yield unescape(head[1]), unescape(body[1])
+            at = body.end()
+        self.left = text[at:]
+
+    def close(self) -> None:
+        if self.left:
+            raise ValueError(f"no turn at {self.left[:20]!r}")
+
+
 def parse(output: str) -> Iterator[tuple[str, str]]:
     """Roles and texts read back from rendered turns; ValueError where it is not such output."""
-    at = 0
-    while at < len(output):
-        head = _HEAD.match(output, at)
-        body = _TO_END.match(output, head.end()) if head else None
-        if not body:
-            raise ValueError(f"no turn at {at}")
-        yield unescape(head[1]), unescape(body[1])
-        at = body.end()
+    reader = Reader()
+    yield from reader.feed(output)
+    reader.close()
 
 
 def fold(events: Iterable[tuple[str, str, str]]) -> Iterator[tuple[str, str]]:
@@ -98,6 +113,18 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield conversation, role, *render(role, text)
 
 
+def _formatted(batches: Iterator[pa.RecordBatch], loss_roles: tuple[str, ...]) -> Iterator[tuple]:
+    """(conversation, turn, segment, begin, end): begin and end, code points into the conversation's
+    output, bound what is under the loss mask."""
+    last, turn, at = object(), 0, 0
+    for conversation, role, segment, begin, end in _segments(batches):
+        if conversation != last:
+            last, turn, at = conversation, 0, 0
+        masked = role in loss_roles
+        yield conversation, turn, segment, at + begin if masked else None, at + end if masked else None
+        turn, at = turn + 1, at + len(segment)
+
+
 def _sorted_log(events: DataFrame) -> DataFrame:
     rows = events.select("conv_id", "message", "kind", "role", "text", "seq")
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "message", "seq", "kind", "role", "text").drop("seq")
@@ -108,17 +135,15 @@ def format_segments(events: DataFrame, loss_roles: tuple[str, ...] = ("assistant
     the conversation's whole output) of its part under the loss mask, null if it has none.
 
     A conversation's output is its segments joined by turn; segments keep a very long one from
-    having to be a single value.
+    having to be a single value. Null text or role counts as empty, a null conv_id is a conversation
+    of its own, repeated events each count, an empty table gives an empty result, and other columns
+    are left out.
     """
 
     def rendered(batches):
-        last, turn, at, out = object(), 0, 0, []
-        for conversation, role, segment, begin, end in _segments(batches):
-            if conversation != last:
-                last, turn, at = conversation, 0, 0
-            masked = role in loss_roles
-            out.append((conversation, turn, segment, at + begin if masked else None, at + end if masked else None))
-            turn, at = turn + 1, at + len(segment)
+        out = []
+        for row in _formatted(batches, loss_roles):
+            out.append(row)
             if len(out) == 512:
                 yield _batch(out, schema)
                 out = []
@@ -150,30 +175,32 @@ def chat_digests(events: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)
     after another, so the longest conversation bounds the longest task but not its memory.
 
     Null text or role counts as empty. Null conv_id is a conversation of its own; null message
-    or seq sorts first. Repeated rows are messages of their own; ties go by kind, role and text.
-    An empty table gives an empty result; other columns are left out.
+    or seq sorts first. Repeated events each count; ties go by kind, role and text. A very long
+    text, or message of many deltas, is held whole, one at a time. An empty table gives an empty result; other columns are left out.
     """
 
     def read_back(batches):
         out = []
-        state = None
-        for conversation, _, segment, begin, end in _segments(batches):
+        state = reader = None
+        for conversation, _, segment, begin, end in _formatted(batches, loss_roles):
             if state is None or conversation != state[0]:
                 if state:
+                    reader.close()
                     out.append(_closed(state))
-                state = [conversation, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-            for role, text in parse(segment):
+                state, reader = [conversation, 0, hashlib.sha256(), 0, hashlib.sha256(), 0], Reader()
+            for role, text in reader.feed(segment):
                 state[1] += 1
                 state[2].update(f"{role}\n{text}\n".encode())
-                if role in loss_roles:
-                    under = unescape(segment[begin:end])
-                    state[3] += len(under)
-                    state[4].update(under.encode())
+            if begin is not None:
+                under = unescape(segment[begin - state[5] : end - state[5]])
+                state[3] += len(under)
+                state[4].update(under.encode())
             state[5] += len(segment)
             if len(out) >= 512:
                 yield _batch(out, schema)
                 out = []
         if state:
+            reader.close()
             out.append(_closed(state))
         if out:
             yield _batch(out, schema)
@@ -190,8 +217,30 @@ def _closed(state: list) -> tuple:
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """A log of whole messages from rows (conv_id, turn, role, text)."""
-    return conversations.select("conv_id", F.col("turn").alias("message"), F.lit(0).cast("long").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    """A log whose folded messages are the rows (conv_id, turn, role, text), by turn (null first), role
+    and text.
+
+    By a hash of the row a message comes whole, streamed in three deltas, as a draft with a delta
+    that an edit replaces, or as a draft that is regenerated by deltas.
+    """
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    rows = conversations.select("conv_id", "role", F.coalesce("text", F.lit("")).alias("whole"), F.row_number().over(order).cast("long").alias("message"))
+    third = F.expr("cast(length(whole) div 3 as int)")
+    one, two, three = F.substring("whole", F.lit(1), third), F.substring("whole", third + 1, third), F.substring("whole", 2 * third + 1, F.length("whole"))
+
+    def log(*events: tuple[str, Column]) -> Column:
+        return F.array(*[F.struct(F.lit(i).cast("long").alias("seq"), F.lit(kind).alias("kind"), text.alias("text")) for i, (kind, text) in enumerate(events)])
+
+    empty, whole = F.lit(""), F.col("whole")
+    kinds = [
+        log(("message", whole)),
+        log(("message", empty), ("delta", one), ("delta", two), ("delta", three)),
+        log(("message", F.concat(three, one)), ("delta", two), ("edit", whole)),
+        log(("message", two), ("delta", three), ("regenerate", empty), ("delta", one), ("delta", two), ("delta", three)),
+    ]
+    way = F.pmod(F.xxhash64("conv_id", "message"), F.lit(len(kinds)))
+    events = F.when(way == 0, kinds[0]).when(way == 1, kinds[1]).when(way == 2, kinds[2]).otherwise(kinds[3])
+    return rows.select("conv_id", "message", "role", F.explode(events).alias("event")).select("conv_id", "message", "event.seq", "event.kind", "role", "event.text")
 
 
 def oracle(added: list[tuple[int, int, str, str]]) -> str:

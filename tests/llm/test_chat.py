@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from paperloom.llm.chat_format import as_events, chat_digests, fold, format_segments, parse, render, unescape
+from paperloom.llm.chat_format import Reader, as_events, chat_digests, fold, format_segments, parse, render, unescape
 
 TRICKY = r"\### Assistant: </turn> ok"
 PIECES = st.text(alphabet="\\#</turn>:\n aé", max_size=30)
@@ -24,6 +24,20 @@ def test_other_text_is_refused():
         list(parse("### user: no end"))
 
 
+def test_reading_in_chunks_of_any_size():
+    random.seed(5)
+    turns = [(random.choice(["user", "a:b", "#"]), "".join(random.choice("\\#</turn>:\n aé") for _ in range(random.randint(0, 60)))) for _ in range(200)]
+    whole = "".join(render(r, t)[0] for r, t in turns)
+    for size in (1, 7, 64):
+        reader, got = Reader(), []
+        for i in range(0, len(whole), size):
+            got += reader.feed(whole[i : i + size])
+        reader.close()
+        assert got == turns
+    with pytest.raises(ValueError):
+        list(parse(whole.replace("\\### ", "### ", 1)[:-1]))
+
+
 def test_folding_events():
     events = [("message", "user", "a"), ("delta", "", "b"), ("edit", "user", "c"), ("delta", "", "d"), ("message", "user", "e"), ("delete", "", ""), ("delta", "bot", "x"), ("regenerate", "bot", ""), ("delta", "bot", "y")]
     assert list(fold(events)) == [("user", "cd"), ("bot", "y")]
@@ -48,6 +62,7 @@ def test_digests_equal_brute_force(spark):
         want.setdefault(conv, []).append((role or "", text or ""))
     assert {r.conv_id: tuple(r)[1:] for r in chat_digests(events).collect()} == {k: expected(v) for k, v in want.items()}
     assert chat_digests(events.limit(0)).count() == 0
+    assert {r.kind for r in events.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
 
 
 def test_segments_and_loss_mask(spark):
