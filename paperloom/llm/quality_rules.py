@@ -1,9 +1,11 @@
-"""Quality rules: exact rule statistics, judged by isolation forests.
-
-Each rule statistic has a forest of its own, grown on a bounded sample of labelled documents:
-path lengths over random splits tell how easily its value is set apart. Held-out labelled rows
-calibrate each forest's threshold, and a statistic whose anomalies are not the poor documents
-gets none. Statistics, scores and verdicts cover every document and whole texts.
+"""Quality rules: exact rule statistics, judged by an isolation forest.
+
+One forest over all statistics is grown on a bounded sample of labelled documents: path lengths
+over random splits tell how easily a document is set apart. A split's attribute is drawn with a
+chance in proportion to its range in the node (all are shares, so ranges compare): with equal
+chances most splits go to statistics in which nothing stands out. Held-out labelled rows choose
+the subsample size and calibrate the threshold. Statistics, scores and verdicts cover every
+document and whole texts.
 """
 
 from __future__ import annotations
@@ -84,7 +86,7 @@ def statistics(block: Block) -> Statistics:
     upper = per_document(block, np.flatnonzero((data >= 65) & (data < 91)))
     marks = per_document(block, np.flatnonzero(((data > 32) & (data < 48)) | ((data > 57) & (data < 65)) | ((data > 90) & (data < 97)) | ((data > 122) & (data < 127))))
     w, c = np.maximum(n_words, 1), np.maximum(word_chars, 1)
-    features = np.column_stack([np.sqrt(np.minimum(n_symbols / w, 1)), n_dup / np.maximum(n_lines, 1), n_repeat / w, word_chars / w, digits / c, upper / c, marks / c, distinct / w])
+    features = np.column_stack([np.sqrt(np.minimum(n_symbols / w, 1)), n_dup / np.maximum(n_lines, 1), n_repeat / w, word_chars / w / 10, digits / c, upper / c, marks / c, distinct / w])
     return Statistics(np.column_stack([n_words, word_chars, n_symbols, n_dup, n_repeat]).astype(np.int64), features)
 
 
@@ -101,89 +103,87 @@ def _expected_path(n: np.ndarray | int) -> np.ndarray:
 
 
 class IsolationForest:
-    """Random splits of one statistic, in heap order; a leaf above the last level sends values on
+    """Random splits of random attributes, in heap order; a leaf above the last level sends rows on
     to the left."""
 
-    def __init__(self, values: np.ndarray, trees: int = 100, subsample: int = 256, seed: int = 7):
+    def __init__(self, rows: np.ndarray, trees: int = 200, subsample: int = 64, seed: int = 7):
         rng = np.random.default_rng(seed)
-        size = min(subsample, len(values))
+        size = min(subsample, len(rows))
         self.depth = max(1, int(np.ceil(np.log2(max(size, 2)))))
         inner, leaves = 2**self.depth - 1, 2**self.depth
+        self.attribute = np.zeros((trees, inner), np.int64)
         self.split = np.full((trees, inner), np.inf)
         self.path = np.zeros((trees, leaves))
         self.unit = float(_expected_path(size)) or 1.0
         for tree in range(trees):
-            self._grow(tree, 0, 0, values[rng.permutation(len(values))[:size]], rng)
+            self._grow(tree, 0, 0, rows[rng.permutation(len(rows))[:size]], rng)
 
-    def _grow(self, tree: int, node: int, level: int, values: np.ndarray, rng: np.random.Generator) -> None:
-        low, high = (values.min(), values.max()) if len(values) else (0.0, 0.0)
-        if level == self.depth or low == high:
+    def _grow(self, tree: int, node: int, level: int, rows: np.ndarray, rng: np.random.Generator) -> None:
+        spans = np.ptp(rows, axis=0) if len(rows) else np.zeros(rows.shape[1])
+        if level == self.depth or not spans.any():
             last = node
             for _ in range(level, self.depth):
                 last = 2 * last + 1
-            self.path[tree, last - (2**self.depth - 1)] = level + float(_expected_path(len(values)))
+            self.path[tree, last - (2**self.depth - 1)] = level + float(_expected_path(len(rows)))
             return
-        split = rng.uniform(low, high)
-        self.split[tree, node] = split = split if split > low else high
-        self._grow(tree, 2 * node + 1, level + 1, values[values < split], rng)
-        self._grow(tree, 2 * node + 2, level + 1, values[values >= split], rng)
-
-    def scores(self, values: np.ndarray) -> np.ndarray:
-        """Anomaly score in 0..1, higher for values that random splits set apart sooner."""
-        tree = np.arange(len(self.split))[None, :]
-        node = np.zeros((len(values), len(self.split)), np.int64)
+        attribute = int(rng.choice(len(spans), p=spans / spans.sum()))
+        values = rows[:, attribute]
+        split = rng.uniform(values.min(), values.max())
+        split = split if split > values.min() else values.max()
+        self.attribute[tree, node], self.split[tree, node] = attribute, split
+        self._grow(tree, 2 * node + 1, level + 1, rows[values < split], rng)
+        self._grow(tree, 2 * node + 2, level + 1, rows[values >= split], rng)
+
+    def scores(self, rows: np.ndarray) -> np.ndarray:
+        """Anomaly score in 0..1, higher for rows that random splits set apart sooner."""
+        tree, row = np.arange(len(self.split))[None, :], np.arange(len(rows))[:, None]
+        node = np.zeros((len(rows), len(self.split)), np.int64)
         for _ in range(self.depth):
-            node = 2 * node + 1 + (values[:, None] >= self.split[tree, node])
+            node = 2 * node + 1 + (rows[row, self.attribute[tree, node]] >= self.split[tree, node])
         return 2 ** (-self.path[tree, node - (2**self.depth - 1)].mean(1) / self.unit)
 
 
 class QualityModel(NamedTuple):
-    """Rules in force: (feature, forest, threshold). A row is rejected if a rule's score is above
-    its threshold."""
+    """A row is rejected if its anomaly score is above the threshold; without a forest none is."""
 
-    rules: list[tuple[int, IsolationForest, float]]
+    forest: IsolationForest | None
+    threshold: float
 
     def scores(self, stats: Statistics) -> np.ndarray:
-        """The largest ratio of score to threshold; over 1 is rejected, 0 without rules."""
-        out = np.zeros(len(stats.counts))
-        for feature, forest, threshold in self.rules:
-            np.maximum(out, forest.scores(stats.features[:, feature]) / threshold, out=out)
-        return out
+        """The ratio of score to threshold; over 1 is rejected, 0 without a forest."""
+        return np.zeros(len(stats.counts)) if self.forest is None else self.forest.scores(stats.features) / self.threshold
 
 
-def calibrated(features: np.ndarray, good: np.ndarray, keep_good: float = 0.998, gain: float = 0.05, trees: int = 100, subsample: int = 256) -> QualityModel:
-    """Grow on every other labelled row (of poor ones at most one to twenty good ones, so that
-    they stay anomalies), calibrate on the others.
+def calibrated(features: np.ndarray, good: np.ndarray, keep_good: float = 0.998, gain: float = 0.05, trees: int = 200, subsamples: tuple[int, ...] = (32, 64, 128)) -> QualityModel:
+    """Grow on every other labelled row (of poor ones at most one to ten good ones, so that they stay
+    anomalies), calibrate on the others.
 
-    A rule's threshold is the midpoint after the least score that rejects at most 1 - keep_good of
-    the held-out good rows and parts best. Rules come into force from the best on, each if it
-    rejects at least ``gain`` of the held-out poor rows beside what those before it do. Without good or without poor rows no rule does.
+    Of the forests, one a subsample size, that which parts the held-out rows best stays, and of equal
+    ones that with the widest gap. The threshold is the midpoint after the least score that rejects
+    at most 1 - keep_good of the good rows and parts best. Without good or poor rows, or if it
+    rejects under ``gain`` of the poor ones, there is no forest.
     """
     fine, poor = np.flatnonzero(good), np.flatnonzero(~good)
-    fit = np.concatenate([fine[::2], poor[::2][: max(1, len(fine) // 40)]])
+    fit = np.concatenate([fine[::2], poor[::2][: max(1, len(fine) // 20)]])
     fine, poor = fine[1::2], poor[1::2]
-    tried_rules = []
+    best = (0.0, 0.0, None, 1.0)
     if len(fine) and len(poor):
-        for feature in range(features.shape[1]):
-            forest = IsolationForest(features[fit, feature], trees, subsample)
-            kept, hit = np.sort(forest.scores(features[fine, feature])), forest.scores(features[poor, feature])
-            caught = np.sort(hit)
-            floor = kept[min(len(kept) - 1, int(np.ceil(keep_good * len(kept))) - 1)]
+        for subsample in subsamples:
+            forest = IsolationForest(features[fit], trees, subsample)
+            kept, caught = np.sort(forest.scores(features[fine])), np.sort(forest.scores(features[poor]))
+            floor = kept[max(0, int(np.ceil(keep_good * len(kept))) - 1)]
             tried = np.unique(np.concatenate([[floor], kept[kept >= floor], caught[caught >= floor]]))
             lost = 1 - np.searchsorted(kept, tried, "right") / len(kept)
             won = 1 - np.searchsorted(caught, tried, "right") / len(caught)
-            best = int(np.argmax(won - lost))
-            above = tried[best + 1] if best + 1 < len(tried) else tried[best]
-            tried_rules.append((float(won[best] - lost[best]), feature, forest, float(tried[best] + above) / 2, hit))
-    rules, open_ = [], np.ones(len(poor), bool)
-    for _, feature, forest, threshold, hit in sorted(tried_rules, key=lambda r: (-r[0], r[1])):
-        if (open_ & (hit > threshold)).sum() >= gain * len(poor):
-            rules.append((feature, forest, threshold))
-            open_ &= hit <= threshold
-    return QualityModel(rules)
-
-
-def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, keep_good: float = 0.998, trees: int = 100, subsample: int = 256, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
+            at = int(np.argmax(won - lost))
+            above = tried[at + 1] if at + 1 < len(tried) else tried[at]
+            found = (float(won[at] - lost[at]), float(above - tried[at]), forest, float(tried[at] + above) / 2)
+            if won[at] >= gain and found[:2] > best[:2]:
+                best = found
+    return QualityModel(*best[2:])
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, keep_good: float = 0.998, trees: int = 200, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
     """Fit on at most ``sample`` labelled documents: those first by a hash of their id.
 
     A document labelled more than once counts as good only if all its labels are 1; null ids and
@@ -208,14 +208,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, keep_g
     schema = "id string, label long, " + ", ".join(f"{f} double" for f in FEATURES)
     found = rows.mapInArrow(measured, schema).toPandas().sort_values(["id", *FEATURES], kind="stable")
     order = np.random.default_rng(11).permutation(len(found))
-    return calibrated(found[FEATURES].to_numpy(float)[order], found["label"].to_numpy()[order] > 0, keep_good, trees=trees, subsample=subsample)
+    return calibrated(found[FEATURES].to_numpy(float)[order], found["label"].to_numpy()[order] > 0, keep_good, trees=trees)
 
 
 def quality_rules(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return id, the five counts, base_failed, score (double) and kept of every row.
 
     Rows stay where they are read (no shuffle). Null text has no words, so it fails the base
-    rules, as does an empty one. Repeated rows are judged one by one, alike; an empty table gives
+    rules, as does an empty one. A very long text is measured whole (a task takes some fifty times
+    its size for its words and lines). A null id stays null. Repeated rows are judged one by one, alike; an empty table gives
     an empty result; other columns are left out.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -236,7 +237,8 @@ def quality_rules(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
 
 
 def keep_quality(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that quality_rules keeps."""
+    """The rows of docs, all columns, that quality_rules keeps: null, empty and very long texts,
+    repeated rows and an empty table as there. Other columns, whatever their names, go along."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

@@ -36,14 +36,17 @@ def test_statistics_equal_brute_force(spark, sf):
 
 def test_forest_finds_outliers():
     rng = np.random.default_rng(1)
-    forest = IsolationForest(np.concatenate([rng.normal(0, 1, 500), [9.0]]))
-    scores = forest.scores(np.array([0.0, 12.0, -12.0]))
+    rows = np.concatenate([rng.normal(0, 0.1, (500, 3)), [[0.0, 2.0, 0.0]]])
+    forest = IsolationForest(rows, subsample=256)
+    scores = forest.scores(np.array([[0.0, 0.0, 0.0], [0.0, 2.5, 0.0], [0.0, 0.0, 1.0]]))
     assert scores[1] > scores[0] and scores[2] > scores[0]
-    features = rng.normal(0, 1, (400, 8))
+    features = rng.normal(0, 0.05, (400, 8))
     good = np.arange(400) % 10 > 0
-    features[~good, 2] += 20
+    features[~good, 2] += 1
+    features[~good, 5] -= 1
     model = calibrated(features, good)
-    assert [r[0] for r in model.rules] == [2] and calibrated(features, np.ones(400, bool)).rules == []
+    rejected = model.forest.scores(features) > model.threshold
+    assert rejected[~good].mean() > 0.9 and rejected[good].mean() < 0.02 and calibrated(features, np.ones(400, bool)).forest is None
 
 
 def test_held_out_accuracy(spark):
@@ -62,7 +65,7 @@ def test_edges(spark, documents, edge_texts):
     docs = documents(edge_texts)
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = fit_quality(docs, empty)
-    assert model == QualityModel([])
+    assert model == QualityModel(None, 1.0)
     got = sorted([(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality_rules(docs.withColumn("score", F.lit(1)), model).collect()], key=repr)
     assert got == sorted([(i, *brute(t)) for i, t in edge_texts], key=repr)
     assert keep_quality(docs, model).count() == 0
@@ -70,5 +73,5 @@ def test_edges(spark, documents, edge_texts):
     kept = keep_quality(fine, model)
     assert kept.columns == fine.columns and [r.doc_id for r in kept.collect()] == [1]
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
-    assert fit_quality(fine, labels) == QualityModel([])
+    assert fit_quality(fine, labels) == QualityModel(None, 1.0)
     assert quality_rules(documents([]), model).count() == 0
