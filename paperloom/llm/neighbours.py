@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -158,7 +159,11 @@ def search(tree: Tree, ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.asarray(column.flatten(), float).reshape(-1, width)
+    """Vectors scaled by a power of two to a largest component of 0.5 to 1: no bit of a cosine changes,
+    and no square of a finite vector overflows or vanishes."""
+    rows = np.asarray(column.flatten(), float).reshape(-1, width)
+    _, exponent = np.frexp(np.abs(rows).max(1, initial=0.0))
+    return np.ldexp(rows, -exponent[:, None])
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, dims: int = 8, certainty: float = 0.98, cell_rows: int = 8192, sample: int = 50_000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -170,24 +175,27 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, dims: int = 8, cert
     ``cell_rows`` rows, as of one very common vector, is dealt into parts by id. A task holds one
     part and streams the queries that visit it.
 
-    Vectors that are null, of zero length or with null or non-finite components take no part,
-    nor do those of another width than most. Null ids take no part. Rows that share an id count
-    once, by their best score. Empty tables give an empty result; other columns are left out.
+    Vectors that are null, empty, all zero or with null or non-finite components take no part; a
+    vector is compared with those of its own width. Null ids take no part. Rows that share an id
+    count once, by their best score; ties of scores go to the smaller id. Empty tables give an empty
+    result; other columns are left out. Of very wide vectors a task holds ``cell_rows`` at a time.
     """
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def usable(df: DataFrame) -> DataFrame:
-        vectors = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+        vectors = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
         finite = "id IS NOT NULL AND vector IS NOT NULL AND NOT exists(vector, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity')) AND exists(vector, x -> x <> 0)"
         return vectors.filter(finite)
 
     given, asked = usable(rows), usable(queries)
-    widths = given.groupBy(F.size("vector").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).first()
-    if widths is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width, total = widths["width"], widths["count"]
-    given, asked = given.filter(F.size("vector") == width), asked.filter(F.size("vector") == width)
+    widths = given.groupBy(F.size("vector").alias("width")).count().orderBy("width").collect()
+    found = [_nearest(given.filter(F.size("vector") == w), asked.filter(F.size("vector") == w), w, n, k, dims, certainty, cell_rows, sample) for w, n in widths]
+    return reduce(DataFrame.unionByName, found) if found else rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _nearest(given: DataFrame, asked: DataFrame, width: int, total: int, k: int, dims: int, certainty: float, cell_rows: int, sample: int) -> DataFrame:
+    """The search among vectors (id, vector) of one width."""
+    spark = given.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     plane = directions(width, dims)
 
     def project(vectors: np.ndarray) -> np.ndarray:
@@ -195,8 +203,15 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, dims: int = 8, cert
 
     ratio = stop_ratio(certainty, dims)
     depth = min(12, max(0, math.ceil(math.log2(max(1, total / cell_rows)))))
-    chosen = np.array([r[0] for r in given.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").collect()])
-    cells = spark.sparkContext.broadcast(Cells(project(chosen), depth, dims))
+    def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = project(_matrix(batch.column(0), width))
+            yield pa.RecordBatch.from_arrays([pa.array(list(points), pa.list_(pa.float64()))], ["point"])
+
+    # the driver gets ``dims`` numbers a sampled row
+    picked = given.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").mapInArrow(projected, "point array<double>")
+    chosen = np.array(picked.toPandas()["point"].tolist()).reshape(-1, dims)
+    cells = spark.sparkContext.broadcast(Cells(chosen, depth, dims))
 
     def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -55,3 +55,10 @@ def test_ties_go_to_the_smaller_id(spark):
     df = spark.createDataFrame([(i, [1.0, 2.0], 0) for i in range(300, 0, -1)], SCHEMA)
     got = nearest(df, df.filter("vec_id = 100"), cell_rows=50).orderBy("rank").collect()
     assert [r.vec_id for r in got] == [1, 2, 3, 4, 5]
+
+
+def test_huge_and_tiny_vectors_and_other_widths(spark):
+    rows = spark.createDataFrame([(0, [1.0, 1.0]), (1, [1e200, 1e200]), (2, [1e-200, 0.0]), (3, [3e-320, 1e-320]), (4, [1.0, 2.0, 2.0]), (5, [1e300, 2e300, 2e300]), (6, []), (7, None)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, round(r.score, 6)) for r in nearest(rows, rows.filter("vec_id IN (0, 4)")).collect()}
+    assert got[0, 1] == (1, 1.0) and got[4, 1] == (5, 1.0) and {k for k in got if k[0] == 4} == {(4, 1)}
+    assert all(abs(s) <= 1 + 1e-9 for _, s in got.values()) and {v for (q, _), (v, _) in got.items() if q == 0} == {1, 2, 3}
