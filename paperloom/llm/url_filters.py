@@ -12,9 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Rules, and suffixes of two labels under which names are registered.
+from .frames import stored
+
+# The rules.
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
-TWO_LABEL_SUFFIXES = ["ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "com.tw", "gov.uk", "net.au", "or.jp", "org.au", "org.uk"]
+#: Labels under which names are registered before a country's two letters, as co.uk and com.hk.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "ltd", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
+#: Hosts whose posteriors are broadcast at most (under 100 bytes each); beyond, the join is salted.
+BROADCAST_HOSTS, SALT = 200_000, 32
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOST = r"(?s)^.*?://([^/?#]*)"
@@ -29,11 +34,15 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, PATH, 1), F.lit(""))
 
 
-def _parts(host: Column) -> tuple[Column, Column]:
+def _two_labels(second_level: tuple[str, ...]) -> str:
+    return rf"(^|\.)({'|'.join(second_level)})\.[a-z][a-z]$"
+
+
+def _parts(host: Column, second_level: tuple[str, ...] = SECOND_LEVEL) -> tuple[Column, Column]:
     """Registered domain and suffix. A port does not count; an IPv4 address is its own domain."""
     bare = F.regexp_replace(host, ":[0-9]*$", "")
     address = bare.rlike(r"^[0-9]+(\.[0-9]+){3}$")
-    two = bare.rlike(rf"(^|\.)({'|'.join(s.replace('.', chr(92) + '.') for s in TWO_LABEL_SUFFIXES)})$")
+    two = bare.rlike(_two_labels(second_level))
     labels = F.split(bare, r"\.")
     last = lambda n: F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - (n - 1)), n), ".")
     domain = F.when(address, bare).when(two, last(3)).otherwise(last(2))
@@ -66,7 +75,7 @@ def _strength(groups: DataFrame, name: str) -> DataFrame:
     return sums.select((1 / rho - 1).alias(name))
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, certainty: float = 1.645) -> DataFrame:
+def host_reputation(pages: DataFrame, outcomes: DataFrame, certainty: float = 1.645, second_level: tuple[str, ...] = SECOND_LEVEL) -> DataFrame:
     """Posterior of each host: host, n, k (labelled and bad pages), mean, bound.
 
     pages has (page_id, host), outcomes has (page_id, bad 0/1, null where unknown; one row a
@@ -75,8 +84,8 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, certainty: float = 1.
     one task; only the three one-row prior strengths are broadcast.
     """
     hosts = pages.join(outcomes, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
-    domain, suffix = _parts(F.col("host"))
-    hosts = hosts.withColumn("domain", domain).withColumn("suffix", suffix)
+    domain, suffix = _parts(F.col("host"), second_level)
+    hosts = stored(hosts.withColumn("domain", domain).withColumn("suffix", suffix), "hosts")  # read five times
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     strengths = _strength(hosts, "m_host").crossJoin(_strength(domains, "m_domain")).crossJoin(_strength(suffixes, "m_suffix")).crossJoin(suffixes.agg(F.sum("n").alias("all_n"), F.sum("k").alias("all_k")))
@@ -88,25 +97,30 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, certainty: float = 1.
     return hosts.join(domains, ["domain", "suffix"]).select("host", "n", "k", F.round(mean, 9).alias("mean"), F.round(mean - certainty * F.sqrt(mean * (1 - mean) / (a + b + 1)), 9).alias("bound"))
 
 
-def url_filters(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]] = RULES, limit: float = 0.2, certainty: float = 1.645, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def url_filters(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]] = RULES, limit: float = 0.2, certainty: float = 1.645, second_level: tuple[str, ...] = SECOND_LEVEL, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Return page_id, host, path, rule, verdict ('allow' or 'block'), bad_mean and bad_bound.
 
     outcomes: (page_id, bad). Null url, or one without '://': host and path are empty, and such
     pages share the reputation of the empty host. Null ids have no outcome. Repeated pages each
     count and are judged alike; empty tables give an empty result; without outcomes every host
-    has the prior mean 0.5 and a bound under any sensible limit; other columns are left out.
+    has the prior mean 0.5 and a bound under any sensible limit; very long urls are judged whole;
+    other columns are left out.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     known = outcomes.select("page_id", F.col("bad").cast("long").alias("bad")).groupBy("page_id").agg(F.max("bad").alias("bad"))
-    posterior = host_reputation(rows.select("page_id", "host"), known, certainty).select("host", F.col("mean").alias("bad_mean"), F.col("bound").alias("bad_bound"))
+    posterior = host_reputation(rows.select("page_id", "host"), known, certainty, second_level).select("host", F.col("mean").alias("bad_mean"), F.col("bound").alias("bad_bound"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    judged = rows.join(posterior, "host")
+    posterior = stored(posterior, "posterior")
+    if posterior.count() <= BROADCAST_HOSTS:
+        judged = rows.join(F.broadcast(posterior), "host")
+    else:  # a host that holds a third of all pages is dealt to SALT tasks
+        salted = posterior.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        judged = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALT)).cast("int")).join(salted, ["host", "salt"])
     return judged.select(F.col("page_id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("bad_bound") > limit, "block").otherwise("allow")).alias("verdict"), "bad_mean", "bad_bound")
 
 
 def oracle(limit: float = 0.2, certainty: float = 1.645) -> str:
     """The same result in DuckDB SQL, over pages and labels."""
-    two = "|".join(s.replace(".", r"\.") for s in TWO_LABEL_SUFFIXES)
     cases = {"rule": [], "verdict": []}
     for text, decision in sorted(RULES, key=lambda r: (-len(r[0]), r[0])):
         name, _, rest = text.partition("/")
@@ -135,7 +149,7 @@ counted AS (
 bare AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS name FROM counted),
 split AS (
   SELECT *, string_split(name, '.') AS parts, regexp_matches(name, '^[0-9]+(\.[0-9]+){{3}}$') AS address,
-         regexp_matches(name, '(^|\.)({two})$') AS two FROM bare),
+         regexp_matches(name, '{_two_labels(SECOND_LEVEL)}') AS two FROM bare),
 hosts AS (
   SELECT host, n, k,
          CASE WHEN address THEN name WHEN two THEN array_to_string(parts[-3:], '.') ELSE array_to_string(parts[-2:], '.') END AS domain,

@@ -52,3 +52,17 @@ def test_equal_to_sql(spark, sf):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     expected = con.sql(f"SELECT {', '.join(columns)} FROM ({oracle()})").fetchall()
     assert sorted(repr(tuple(r)) for r in rows.select(columns).collect()) == sorted(map(repr, expected))
+
+
+def test_salted_join_and_second_levels(spark, monkeypatch):
+    import paperloom.llm.url_filters as module
+
+    pages = spark.createDataFrame(list(enumerate(URLS)) + [(None, "http://a.com.hk/"), (90, "http://b.com.hk/x"), (91, "http://b.zz.hk/x")], "page_id long, url string")
+    outcomes = spark.createDataFrame([(0, 1), (90, 1), (91, 0)], "page_id long, bad int")
+    plain = sorted(map(repr, url_filters(pages, outcomes).collect()))
+    monkeypatch.setattr(module, "BROADCAST_HOSTS", 0)
+    assert sorted(map(repr, url_filters(pages, outcomes).collect())) == plain
+    hosts = pages.select("page_id", module.host_of(pages.url).alias("host"))
+    names = lambda **more: {r.host: (r.domain, r.suffix) for r in hosts.select("host", *(c.alias(n) for c, n in zip(module._parts(hosts.host, **more), ("domain", "suffix"), strict=True))).collect()}
+    assert names()["b.com.hk"] == ("b.com.hk", "com.hk") and names()["a.b.co.uk"] == ("b.co.uk", "co.uk") and names()["b.zz.hk"] == ("zz.hk", "hk")
+    assert names(second_level=("zz",))["b.zz.hk"] == ("b.zz.hk", "zz.hk")
