@@ -294,8 +294,9 @@ def _agreeing(nodes: DataFrame, parts: int, least: float) -> DataFrame:
     return dealt.mapInArrow(met, "key long, low long, high long")
 
 
-def crossing(n: np.ndarray, label: np.ndarray, side: np.ndarray, bag: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs with different labels whose lengths and word counts allow the similarity.
+def crossing(n: np.ndarray, label: np.ndarray, side: np.ndarray, bag: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, int]]:
+    """Places (of one side, of the other) of the pairs with different labels whose lengths and word
+    counts allow the similarity.
 
     side tells which of two blocks a node is of; pairs are between the blocks, or all of them
     where the nodes are of one block.
@@ -307,7 +308,6 @@ def crossing(n: np.ndarray, label: np.ndarray, side: np.ndarray, bag: np.ndarray
     two = side.min() != side.max()
     limits = (n * (1 - least) + 1e-9).astype(np.int64)  # of a pair: that of its longer text
     begin = np.searchsorted(n, n - limits)
-    low, high = [], []
     for i in range(1, len(n)):
         near = slice(begin[i], i)
         other = label[near] != label[i]
@@ -319,16 +319,13 @@ def crossing(n: np.ndarray, label: np.ndarray, side: np.ndarray, bag: np.ndarray
                 union = np.maximum(counts[at], counts[i]).sum(axis=1, dtype=np.int64)
                 at = at[union - np.minimum(total[at], total[i]) <= limits[i]]
         if len(at):
-            low.append(at)
-            high.append(np.full(len(at), i))
-    if not low:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return order[np.concatenate(low)], order[np.concatenate(high)]
+            yield order[at], int(order[i])
 
 
 def _crowded(members: DataFrame, labels: DataFrame, nodes: DataFrame, parts: int, least: float) -> DataFrame:
     """Every pair (low, high) of the members (key, node) of a sketch value that are in different
-    components (node, label; else a component of its own) and may be similar; nodes: (node, n, bag).
+    components (node, label; else a component of its own) and may be similar, once: under the first
+    sketch that both have the same. nodes: (node, n, bag, sketch).
 
     Only sketch values with several components are dealt out. Those of more than CROWD nodes are
     split into blocks, and each two blocks meet in a group of their own.
@@ -337,35 +334,40 @@ def _crowded(members: DataFrame, labels: DataFrame, nodes: DataFrame, parts: int
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
 
-        def pairs(table: pa.Table, ends: np.ndarray) -> pa.RecordBatch:
-            node, n, label, side = (table.column(c).to_numpy() for c in ("node", "n", "label", "side"))
+        def pairs(table: pa.Table, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+            key, node, n, label, side = (table.column(c).to_numpy() for c in ("key", "node", "n", "label", "side"))
             bag = np.frombuffer(b"".join(table.column("bag").to_pylist()), np.uint8).reshape(-1, BAG)
-            found = [np.zeros((0, 2), np.int64)]
+            lists = table.column("sketch").to_pylist()
             for lo, hi in zip(np.append(0, ends[:-1]), ends, strict=True):
-                if hi - lo > 1:
-                    a, b = crossing(n[lo:hi], label[lo:hi], side[lo:hi], bag[lo:hi], least)
-                    found.append(np.stack([node[lo:hi][a], node[lo:hi][b]], axis=1))
-            both = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["low", "high"])
+                if hi - lo < 2:
+                    continue
+                width = max(map(len, lists[lo:hi]))
+                sketches = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in lists[lo:hi]), np.int64).reshape(hi - lo, -1)
+                for some, one in crossing(n[lo:hi], label[lo:hi], side[lo:hi], bag[lo:hi], least):
+                    equal = sketches[some] == sketches[one]
+                    some = some[sketches[one][equal.argmax(1)] == key[lo]]
+                    if len(some):
+                        a, b = node[lo + some], np.full(len(some), node[lo + one])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["low", "high"])
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
             table = table if rest is None else pa.concat_tables([rest, table])
-            key, one, two = (table.column(c).to_numpy() for c in ("key", "one", "two"))
-            ends = np.flatnonzero((key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])) + 1
+            group = [table.column(c).to_numpy() for c in ("key", "one", "two")]
+            ends = np.flatnonzero(np.any([c[1:] != c[:-1] for c in group], axis=0)) + 1
             if len(ends):
-                yield pairs(table.slice(0, ends[-1]), ends)
-            rest = table.slice(ends[-1] if len(ends) else 0)
+                yield from pairs(table.slice(0, ends[-1]), ends)
+            rest = table.slice(ends[-1] if len(ends) else 0).combine_chunks()
         if rest is not None and rest.num_rows:
-            yield pairs(rest, np.array([rest.num_rows]))
+            yield from pairs(rest, np.array([rest.num_rows]))
 
     known = members.distinct().join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     mixed = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("key", F.ceil(F.col("size") / CROWD).alias("blocks"))
     held = stored(known.join(mixed, "key"), "mixed").join(nodes, "node").withColumn("side", F.pmod(F.xxhash64("node"), "blocks"))
     dealt = held.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("side", "with").alias("one"), F.greatest("side", "with").alias("two"), "node", "n", "label", "side", "bag")
+    dealt = dealt.select("key", F.least("side", "with").alias("one"), F.greatest("side", "with").alias("two"), "node", "n", "label", "side", "bag", "sketch")
     sorted_ = dealt.repartition(parts, "key", "one", "two").sortWithinPartitions("key", "one", "two")
-    return sorted_.mapInArrow(met, "low long, high long").distinct()
+    return sorted_.mapInArrow(met, "low long, high long")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
@@ -447,7 +449,8 @@ def _classes(texts: DataFrame, least: float, sketches: int, first_pairs: int) ->
     links = links.union(more)
     labels = components(links)
     members = agreeing.filter("high IS NULL").select("key", F.col("low").alias("node"))
-    left = stored(_crowded(members, labels, groups.select("node", "n", "bag"), parts, least).join(first.union(across), ["low", "high"], "left_anti"), "crowded")
+    left = _crowded(members, labels, groups.select("node", "n", "bag", "sketch"), parts, least)
+    left = stored(left.join(first.union(across), ["low", "high"], "left_anti"), "crowded")
     labels = components(links.union(stored(_verified(left, known, least), "links")))
     discard(agreeing, pairs, across, left)
     labelled = groups.join(labels, "node", "left").select("a", "b", "doc", F.coalesce("label", "node").alias("label"))

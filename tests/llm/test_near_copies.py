@@ -138,7 +138,7 @@ def test_crossing_equals_all_pairs():
     words = Tokens(np.concatenate(texts), np.append(0, np.cumsum([len(t) for t in texts])))
     n, label = np.array([len(t) for t in texts]), rng.integers(0, 50, len(texts))
     for side in (np.zeros(len(texts), np.int64), np.arange(len(texts)) // 60):
-        got = {(min(a, b), max(a, b)) for a, b in zip(*(x.tolist() for x in crossing(n, label, side, bags(words), 0.8)), strict=True)}
+        got = {(min(a, b), max(a, b)) for some, b in crossing(n, label, side, bags(words), 0.8) for a in some.tolist()}
         true = {(i, j) for j in range(len(texts)) for i in range(j) if label[i] != label[j] and (side[i] != side[j] or not side.any()) and similar(texts[i], texts[j])}
         assert true and true <= got and len(got) < len(texts) * 20
         assert all(label[i] != label[j] and (side[i] != side[j] or not side.any()) for i, j in got)
