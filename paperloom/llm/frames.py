@@ -10,6 +10,7 @@ from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+FILE_ROWS = 200_000
 #: Where the stored results that are in use lie.
 _places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
@@ -27,10 +28,16 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write a result to the shared folder and read it back: later jobs start from the files,
-    so a lost executor costs no recomputation of what lies before."""
+    so a lost executor costs no recomputation of what lies before.
+
+    rows: a bound of the rows, where it is known and they are short; they go to a file for each
+    FILE_ROWS of them, not to one a partition.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/paperloom-{name}-{uuid.uuid4().hex}"
     with own_settings(spark):
         df.write.option("compression", "zstd").parquet(path)

@@ -361,9 +361,10 @@ def _crowded(members: DataFrame, labels: DataFrame, nodes: DataFrame, parts: int
         if rest is not None and rest.num_rows:
             yield from pairs(rest, np.array([rest.num_rows]))
 
+    n_members = members.count()
     known = members.distinct().join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     mixed = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("key", F.ceil(F.col("size") / CROWD).alias("blocks"))
-    held = stored(known.join(mixed, "key"), "mixed").join(nodes, "node").withColumn("side", F.pmod(F.xxhash64("node"), "blocks"))
+    held = stored(known.join(mixed, "key"), "mixed", n_members).join(nodes, "node").withColumn("side", F.pmod(F.xxhash64("node"), "blocks"))
     dealt = held.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("side", "with").alias("one"), F.greatest("side", "with").alias("two"), "node", "n", "label", "side", "bag", "sketch")
     sorted_ = dealt.repartition(parts, "key", "one", "two").sortWithinPartitions("key", "one", "two")
@@ -372,7 +373,7 @@ def _crowded(members: DataFrame, labels: DataFrame, nodes: DataFrame, parts: int
 
 def _verified(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     """The pairs whose texts align. Only texts that a pair names are read past the scan."""
-    ids = stored(pairs.select(F.col("low").alias("doc")).union(pairs.select("high")).distinct(), "named")
+    ids = stored(pairs.select(F.col("low").alias("doc")).union(pairs.select("high")).distinct(), "named", 2 * pairs.count())
     named = F.broadcast(ids) if ids.count() <= BROADCAST_NODES else ids
     texts = rows.withColumnRenamed("key", "doc").join(named, "doc")
     both = pairs.select("low", "high").join(texts.withColumnsRenamed({"doc": "low", "text": "one"}), "low").join(texts.withColumnsRenamed({"doc": "high", "text": "two"}), "high")
@@ -414,10 +415,10 @@ def components(links: DataFrame) -> DataFrame:
     def state(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("node", "next").cast("decimal(38,0)"))).first())
 
-    edges = stored(links.select(F.col("high").alias("node"), F.col("low").alias("next")).distinct(), "edges")
+    edges = stored(links.select(F.col("high").alias("node"), F.col("low").alias("next")).distinct(), "edges", links.count())
     last = state(edges)
     while True:
-        after = stored(star(star(edges, True), False), "edges")
+        after = stored(star(star(edges, True), False), "edges", 2 * last[0])
         now = state(after)
         discard(edges)
         edges = after
@@ -433,18 +434,18 @@ def _classes(texts: DataFrame, least: float, sketches: int, first_pairs: int) ->
     known = texts.select("key", "text")
     whole = stored(_signatures(texts, sketches), "sketches")
     groups = stored(whole.filter("n > 0").groupBy("a", "b").agg(F.min("key").alias("node"), F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bag").alias("bag")), "nodes")
-    signed = stored(whole.select("key", "doc", "n", "a", "b"), "names")
-    discard(whole)
+    signed = whole.select("key", "doc", "n", "a", "b")
     agreeing = stored(_agreeing(groups.select("node", "n", "sketch"), parts, least), "agreeing")
     pairs = stored(agreeing.filter("high IS NOT NULL").groupBy("low", "high").agg(F.count("*").alias("support")), "pairs")
+    n_pairs = pairs.count()
     both = pairs.select(F.col("low").alias("own"), "low", "high", "support").union(pairs.select(F.col("high").alias("own"), "low", "high", "support"))
     best = Window.partitionBy("own").orderBy(F.desc("support"), "low", "high")
-    first = stored(both.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= first_pairs).select("low", "high").distinct(), "tried")
+    first = stored(both.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= first_pairs).select("low", "high").distinct(), "tried", n_pairs)
     links = stored(_verified(first, known, least), "links")
     labels = components(links)
     side = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"{name}_label"))
     across = pairs.join(side("low"), "low", "left").join(side("high"), "high", "left").filter(F.coalesce("low_label", "low") != F.coalesce("high_label", "high"))
-    across = stored(across.select("low", "high").join(first, ["low", "high"], "left_anti"), "across")
+    across = stored(across.select("low", "high").join(first, ["low", "high"], "left_anti"), "across", n_pairs)
     more = stored(_verified(across, known, least), "links")
     links = links.union(more)
     labels = components(links)
