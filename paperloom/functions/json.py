@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import or_empty, strip
+from .text import bound, or_empty, strip
 
 CONDITION = "array<struct<type: string, value: string>>"
 REACTION_SUMMARY = (
@@ -60,9 +60,8 @@ def longest_block(x: Column) -> Column:
     Only the braces take part in the fold (their places and signs), so its length is the number of
     braces and not of characters.
     """
-    text = or_empty(x)
-    # each piece ends with a brace, but for the last
-    pieces = F.regexp_extract_all(text, F.lit(r"[^{}]*[{}]"), F.lit(0))
+    # each piece ends with a brace
+    pieces = F.regexp_extract_all(or_empty(x), F.lit(r"[^{}]*[{}]"), F.lit(0))
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(-1).alias("begin"), F.lit(-1).alias("from"), F.lit(0).alias("size"))
 
     def step(acc: Column, piece: Column) -> Column:
@@ -77,8 +76,10 @@ def longest_block(x: Column) -> Column:
             F.when(longer, acc["begin"]).otherwise(acc["from"]).alias("from"), F.when(longer, end - acc["begin"]).otherwise(acc["size"]).alias("size"),
         )
 
-    best = F.aggregate(pieces, start, step)
-    return F.when(best["size"] > 0, F.substring(text, best["from"] + 1, best["size"])).otherwise(outer_braces(text))
+    def cut(best: Column) -> Column:
+        return F.when(best["size"] > 0, F.substring(or_empty(x), best["from"] + 1, best["size"])).otherwise(outer_braces(or_empty(x)))
+
+    return bound(F.aggregate(pieces, start, step), cut)
 
 
 def valid(x: Column) -> Column:
@@ -87,8 +88,7 @@ def valid(x: Column) -> Column:
 
 def repaired(x: Column) -> Column:
     """The sanitized text if it parses, else the text as it was given."""
-    clean = sanitize(x)
-    return F.when(valid(clean), clean).otherwise(x)
+    return bound(x, lambda text: bound(sanitize(text), lambda clean: F.when(valid(clean), clean).otherwise(text)))
 
 
 def parsed_summary(x: Column) -> Column:

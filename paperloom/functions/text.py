@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x1c-\x1f]"
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it: the variable of a lambda, as a
+    plain expression would be written out, and evaluated, at each of its places."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def strip(x: Column) -> Column:
     """Without Unicode white space at both ends (``trim`` takes only U+0020)."""
     return F.regexp_replace(x, rf"(?U)^{SPACE}+|{SPACE}+$", "")
@@ -46,6 +52,11 @@ def segments(text: Column) -> Column:
     return F.filter(parts, lambda p: p != "")
 
 
+def page_blocks(text: Column) -> Column:
+    """A page's blocks as an array: cut at exactly two line breaks, stripped, without blank ones."""
+    return F.filter(F.transform(F.split(or_empty(text), "\n\n"), strip), lambda p: p != "")
+
+
 def sentences(text: Column) -> Column:
     """Sentences as an array, cut after ``.``, ``!`` or ``?`` and white space."""
     return F.filter(F.split(or_empty(text), r"(?<=[.!?])\s+"), lambda s: s != "")

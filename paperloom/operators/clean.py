@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BACK_MATTER
-from ..functions.text import marker_pattern
+from ..functions.text import bound, marker_pattern
 
 
 def truncate_back_matter(rows: DataFrame, markers: tuple[str, ...] = BACK_MATTER) -> DataFrame:
@@ -22,7 +22,12 @@ def truncate_back_matter(rows: DataFrame, markers: tuple[str, ...] = BACK_MATTER
 def truncated(paragraphs: Column, markers: tuple[str, ...] = BACK_MATTER) -> Column:
     """The same on an array of a document's paragraphs, before it is exploded: no shuffle."""
     pattern = marker_pattern(markers)
-    hits = F.transform(paragraphs, lambda p: p.rlike(pattern))
-    first = F.array_position(hits, F.lit(True)).cast("int")
-    last = F.regexp_replace(F.get(paragraphs, first - 1), rf"{pattern}[\s\S]*", "")
-    return F.when(first > 0, F.concat(F.slice(paragraphs, F.lit(1), first - 1), F.array(last))).otherwise(paragraphs)
+
+    def cut(rows: Column, first: Column) -> Column:
+        last = F.regexp_replace(F.get(rows, first - 1), rf"{pattern}[\s\S]*", "")
+        return F.when(first > 0, F.concat(F.slice(rows, F.lit(1), first - 1), F.array(last))).otherwise(rows)
+
+    def at(rows: Column) -> Column:
+        return F.array_position(F.transform(rows, lambda p: p.rlike(pattern)), F.lit(True)).cast("int")
+
+    return bound(paragraphs, lambda rows: bound(at(rows), lambda first: cut(rows, first)))

@@ -2,12 +2,13 @@
 
 Each is an iterator pandas UDF: its backend is made once a task and gets whole batches. Failures
 of a model are data in a column ``error``, not exceptions; ``compatible`` gives the text form.
-Rows are limited and gated before a model column is added, since Spark does not skip a Python
-function inside a CASE.
+Rows are limited before a model column is added, and a row that is not to be asked has a null prompt,
+since Spark does not skip a Python function inside a CASE.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -27,26 +28,40 @@ def prompt(system: str, context: Column, task: str) -> Column:
 
 
 def model_column(factory: Callable[[], Backend], prompts: Column, contents: Column, max_tokens: int) -> Column:
-    """A struct (answer, error) of the model's answers. A batch that fails is asked row by row, so
-    an error stays with its row."""
+    """A struct (answer, error) of the model's answers; a row with a null prompt is not asked. A batch
+    that fails is asked row by row, so an error stays with its row.
+
+    The function counts as not deterministic, so the plan neither copies it to where its fields
+    are used nor evaluates it again in a filter: each row is asked once.
+    """
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         backend = factory()
-        for asked, texts in batches:
+        for prompts_, texts in batches:
+            out = pd.DataFrame({"answer": None, "error": None}, index=range(len(prompts_)), dtype=object)
+            rows = [i for i, p in enumerate(prompts_) if p is not None]
+            asked, given = [prompts_.iloc[i] for i in rows], [texts.iloc[i] for i in rows]
             try:
-                answers, errors = list(backend(asked.tolist(), texts.tolist(), max_tokens)), [None] * len(asked)
+                out.loc[rows, "answer"] = list(backend(asked, given, max_tokens)) if rows else []
             except Exception:
-                answers, errors = [], []
-                for one, text in zip(asked, texts, strict=True):
+                for i, one, text in zip(rows, asked, given, strict=True):
                     try:
-                        answers.append(backend([one], [text], max_tokens)[0])
-                        errors.append(None)
+                        out.at[i, "answer"] = backend([one], [text], max_tokens)[0]
                     except Exception as e:
-                        answers.append(None)
-                        errors.append(str(e))
-            yield pd.DataFrame({"answer": answers, "error": errors}, dtype=object)
+                        out.at[i, "error"] = str(e)
+            yield out
+
+    return F.pandas_udf(run, MODEL_ANSWER).asNondeterministic()(prompts, contents)
 
-    return F.pandas_udf(run, MODEL_ANSWER)(prompts, contents)
+
+def warm_up(factory: Callable[[], Backend], max_tokens: int = 8) -> str | None:
+    """Ask a backend once, on the driver. A failure is a warning, and its text is returned."""
+    try:
+        factory()(["Ready?"], ["Ready?"], max_tokens)
+    except Exception as e:
+        warnings.warn(f"warm-up failed: {e}", stacklevel=2)
+        return str(e)
+    return None
 
 
 def keyword_gate(rows: DataFrame, keywords: tuple[str, ...]) -> DataFrame:
@@ -56,13 +71,11 @@ def keyword_gate(rows: DataFrame, keywords: tuple[str, ...]) -> DataFrame:
 
 def classify(rows: DataFrame, factory: Callable[[], Backend], config: Config = Config()) -> DataFrame:
     """Adds ``classification`` ('Yes' or 'No'). Rows with a keyword are 'Yes' and never reach the
-    model: they go by a branch of their own. An empty answer or an error is 'No'."""
+    model: their prompt is null. An empty answer or an error is 'No'."""
     gated = keyword_gate(rows, config.gate_keywords)
-    passed = gated.filter("gated").drop("gated").withColumn("classification", F.lit("Yes"))
-    rest = gated.filter("NOT gated").drop("gated")
-    answer = model_column(factory, prompt(config.system_prompt, F.col("content"), config.classify_task), or_empty(F.col("content")), 5)
-    asked = rest.withColumn("_model", answer).withColumn("classification", F.when(starts_yes(F.col("_model.answer")), "Yes").otherwise("No")).drop("_model")
-    return passed.unionByName(asked)
+    asked = F.when(~F.col("gated"), prompt(config.system_prompt, F.col("content"), config.classify_task))
+    out = gated.withColumn("_model", model_column(factory, asked, or_empty(F.col("content")), 5))
+    return out.withColumn("classification", F.when(F.col("gated") | starts_yes(F.col("_model.answer")), "Yes").otherwise("No")).drop("_model", "gated")
 
 
 def relevant(rows: DataFrame, factory: Callable[[], Backend], config: Config = Config()) -> DataFrame:
@@ -74,6 +87,13 @@ def or_fallback(kept: DataFrame, fallback: DataFrame, key: str = "doc_id") -> Da
     return kept.unionByName(fallback.join(kept.select(key).distinct(), key, "left_anti").select(*kept.columns))
 
 
+def relevant_or_all(classified: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows with classification 'Yes', and all rows of the documents without any, from one pass
+    over the classified rows (a document has at most the top N of them)."""
+    some = F.max(F.col("classification") == "Yes").over(Window.partitionBy(key))
+    return classified.withColumn("_some", some).filter("classification = 'Yes' OR NOT _some").drop("_some")
+
+
 def abstracts(rows: DataFrame, factory: Callable[[], Backend], config: Config = Config()) -> DataFrame:
     """Adds ``abstract`` and ``error``: an empty answer gives the first characters of the content."""
     answer = model_column(factory, prompt(config.system_prompt, F.col("content"), config.abstract_task), or_empty(F.col("content")), 300)

@@ -5,24 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import sentences, strip, token_count
+from ..functions.text import bound, sentences, strip, token_count
 
 
 def packed(pairs: Column, max_tokens: int) -> Column:
     """Greedy packing of an array of (text, n) into an array of (content, n_tokens).
 
     A sentence that would pass the cap starts a new chunk, so one over the cap is its own chunk.
-    The fold keeps all chunks so far; its last one grows.
+    The fold keeps only where chunks begin; their texts are cut out and joined once.
     """
-    empty = F.expr("cast(array() as array<struct<content: string, n_tokens: int>>)")
+    start = F.struct(F.expr("cast(array() as array<int>)").alias("begins"), F.lit(0).alias("i"), F.lit(0).alias("n_tokens"))
 
-    def step(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        fresh = F.array(F.struct(s["text"].alias("content"), s["n"].alias("n_tokens")))
-        grown = F.struct(F.concat(last["content"], F.lit(" "), s["text"]).alias("content"), (last["n_tokens"] + s["n"]).alias("n_tokens"))
-        return F.when((F.size(done) == 0) | (last["n_tokens"] + s["n"] > max_tokens), F.concat(done, fresh)).otherwise(F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(grown)))
+    def step(acc: Column, n: Column) -> Column:
+        fresh = (acc["i"] == 0) | (acc["n_tokens"] + n > max_tokens)
+        begins = F.when(fresh, F.concat(acc["begins"], F.array(acc["i"]))).otherwise(acc["begins"])
+        return F.struct(begins.alias("begins"), (acc["i"] + 1).alias("i"), F.when(fresh, n).otherwise(acc["n_tokens"] + n).alias("n_tokens"))
 
-    return F.aggregate(pairs, empty, step)
+    def cut(rows: Column, begins: Column) -> Column:
+        def chunk(begin: Column, k: Column) -> Column:
+            part = F.slice(rows, begin + 1, F.coalesce(F.get(begins, k + 1), F.size(rows)) - begin)
+            total = F.aggregate(F.transform(part, lambda r: r["n"]), F.lit(0), lambda s, x: s + x)
+            return F.struct(F.array_join(F.transform(part, lambda r: r["text"]), " ").alias("content"), total.alias("n_tokens"))
+
+        return F.transform(begins, chunk)
+
+    def chunks(rows: Column) -> Column:
+        return bound(F.aggregate(F.transform(rows, lambda r: r["n"]), start, step, lambda acc: acc["begins"]), lambda begins: cut(rows, begins))
+
+    return bound(pairs, chunks)
 
 
 def pack_chunks(pages: DataFrame, max_tokens: int = 200, count=token_count, keys: tuple[str, ...] = ("doc_id", "page_no")) -> DataFrame:

@@ -7,6 +7,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
+
 TOKEN = r"[A-Za-z0-9]+"
 
 
@@ -31,7 +33,7 @@ def hashed_embedding(text: Column, width: int = 64) -> Column:
     def counts(bound: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(bound, lambda x: x == i)).cast("float"))
 
-    return F.get(F.transform(F.array(_buckets(text, width)), counts), F.lit(0))
+    return bound(_buckets(text, width), counts)
 
 
 def squared_counts(items: Column, none: Column) -> Column:
@@ -49,10 +51,13 @@ def squared_counts(items: Column, none: Column) -> Column:
 def hashed_similarity(text: Column, reference: Column, width: int = 64) -> Column:
     """Cosine of a text's hashed embedding to a reference vector, in one pass over its tokens: the
     dense vector is not made."""
-    buckets = _buckets(text, width)
-    product = F.aggregate(buckets, F.lit(0.0), lambda s, b: s + F.get(reference, b).cast("double"))
-    norm = F.sqrt(squared_counts(buckets, F.lit(-1)).cast("double")) * F.sqrt(dot(reference, reference))
-    return F.when(norm == 0, F.lit(0.0)).otherwise(product / norm)
+
+    def similarity(buckets: Column) -> Column:
+        product = F.aggregate(buckets, F.lit(0.0), lambda s, b: s + F.get(reference, b).cast("double"))
+        norm = F.sqrt(squared_counts(buckets, F.lit(-1)).cast("double")) * F.sqrt(dot(reference, reference))
+        return bound(norm, lambda x: F.when(x == 0, F.lit(0.0)).otherwise(product / x))
+
+    return bound(_buckets(text, width), similarity)
 
 
 def term_similarity(text: Column, reference: str) -> Column:
@@ -61,17 +66,17 @@ def term_similarity(text: Column, reference: str) -> Column:
     import re
 
     wanted = Counter(re.findall(TOKEN, reference.lower()))
-    terms = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
     if not wanted:
         return F.lit(0.0)
+    weights = F.create_map(*[F.lit(x) for pair in sorted(wanted.items()) for x in pair])
 
-    def times(word: str) -> Column:
-        return F.size(F.filter(terms, lambda t: t == word))
+    def similarity(terms: Column) -> Column:
+        product = F.aggregate(terms, F.lit(0), lambda s, t: s + F.coalesce(F.try_element_at(weights, t), F.lit(0)))
+        fold = squared_counts(terms, F.lit(""))
+        norm = F.sqrt(fold.cast("double")) * F.sqrt(F.lit(float(sum(n * n for n in wanted.values()))))
+        return F.when(F.size(terms) == 0, F.lit(0.0)).otherwise(product / norm)
 
-    product = sum((times(w) * n for w, n in sorted(wanted.items())), F.lit(0))
-    fold = squared_counts(terms, F.lit(""))
-    norm = F.sqrt(fold.cast("double")) * F.sqrt(F.lit(float(sum(n * n for n in wanted.values()))))
-    return F.when(fold == 0, F.lit(0.0)).otherwise(product / norm)
+    return bound(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), similarity)
 
 
 def with_similarity(rows: DataFrame, reference: list[float] | Column, vector_col: str = "content_embedding") -> DataFrame:

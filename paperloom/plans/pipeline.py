@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.json import parsed_summary
-from ..functions.text import segments
+from ..functions.text import page_blocks, segments
 from ..operators import backends, models
 from ..operators.clean import truncated
 from ..operators.metrics import retention, stage_metrics
@@ -30,6 +30,14 @@ class Pipeline:
         self.config = config or Config.from_environment()
         self._backends = {s: backends.resolve(s, self.config.backends[s], self.config.model_dir, self.config.strict) for s in ("classify", "abstract", "summary", "overall")}
 
+    def warm_up(self) -> dict[str, str]:
+        """Ask each backend once; the failures by stage, which are warnings only."""
+        return {s: error for s, factory in self._backends.items() if (error := models.warm_up(factory))}
+
+    def page_paragraphs(self, pages: DataFrame) -> DataFrame:
+        """Blocks of pages (doc_id, page_no, text) as rows (doc_id, page_no, pos, content)."""
+        return pages.select("doc_id", "page_no", F.posexplode(page_blocks(F.col("text"))).alias("pos", "content"))
+
     def chunks(self, pages: DataFrame) -> DataFrame:
         """Pages (doc_id, page_no, text) as packed chunks."""
         return pack_chunks(pages, self.config.max_tokens)
@@ -68,7 +76,7 @@ class Pipeline:
             raise ValueError(f"mode must be one of {', '.join(MODES)}")
         out = {"processed": self.preprocess(docs)}
         out["embedded"] = self.top(out["processed"])
-        out["filtered"] = models.or_fallback(self.filter(out["embedded"]), out["embedded"].withColumn("classification", F.lit("No")))
+        out["filtered"] = models.relevant_or_all(models.classify(out["embedded"], self._backends["classify"], self.config))
         if mode != "filter":
             out["abstract"] = self.abstract(out["filtered"])
         if mode in ("summarize", "comprehensive"):

@@ -214,3 +214,69 @@ def test_pipeline_modes_and_stream(spark, tmp_path):
 def test_environment_config(monkeypatch):
     monkeypatch.setenv("PAPERLOOM_TOP_N", "20")
     assert Config.from_environment().top_n == 20 and Config.from_environment(top_n=5).top_n == 5
+
+
+def test_each_model_is_asked_once_a_row(spark, tmp_path):
+    """Every call of a backend leaves the rows it was given, by stage."""
+    from paperloom.plans.pipeline import Pipeline
+
+    def counting(stage, name):
+        inner = backends.resolve(stage, "rules")
+
+        def factory():
+            import uuid
+
+            answer = inner()
+
+            def ask(prompts, contents, n):
+                (tmp_path / f"{name}-{uuid.uuid4().hex}").write_text(str(len(contents)))
+                return answer(prompts, contents, n)
+
+            return ask
+
+        return factory
+
+    pipeline = Pipeline()
+    pipeline._backends = {s: counting(s, s) for s in pipeline._backends}
+    docs = spark.createDataFrame([(f"d{i}", f"plain text {i}.\n\nflow of {i} in words") for i in range(10)], "doc_id string, text string")
+    stages = pipeline.process(docs)
+    stages["overall"].collect()
+    asked = {}
+    for file in tmp_path.iterdir():
+        stage = file.name.split("-")[0]
+        asked[stage] = asked.get(stage, 0) + int(file.read_text())
+    assert asked["classify"] <= 20 and asked["abstract"] == 20 and asked["overall"] == 10 and "summary" not in asked
+
+
+def test_fallback_in_one_pass(spark):
+    rows = rows_of(spark, {"a": ["x", "y"], "b": ["y", "y"]}).withColumn("classification", F.when(F.col("content") == "x", "Yes").otherwise("No"))
+    assert sorted((r.doc_id, r.pos) for r in models.relevant_or_all(rows).collect()) == [("a", 0), ("b", 0), ("b", 1)]
+
+
+def test_warm_up_only_warns():
+    def broken():
+        raise OSError("no model")
+
+    assert models.warm_up(backends.resolve("abstract", "rules")) is None
+    with pytest.warns(UserWarning, match="no model"):
+        assert models.warm_up(broken) == "no model"
+
+
+def test_page_blocks(spark):
+    from paperloom.plans.pipeline import Pipeline
+
+    pages = spark.createDataFrame([("d", 1, " a\nb \n\n\n\nc\n\n "), ("d", 2, None), ("d", 3, "e\n\n\nf")], "doc_id string, page_no int, text string")
+    got = [(r.page_no, r.pos, r.content) for r in Pipeline().page_paragraphs(pages).orderBy("page_no", "pos").collect()]
+    assert got == [(1, 0, "a\nb"), (1, 1, "c"), (3, 0, "e"), (3, 1, "f")]
+
+
+def test_values_are_bound_once(spark):
+    """A text is split into terms and a document cut into paragraphs once a row, however often they are used."""
+    from paperloom.functions.text import segments
+    from paperloom.operators.clean import truncated
+    from paperloom.operators.similarity import term_similarity
+
+    docs = spark.createDataFrame([("a b a\n\nreferences",)], "text string")
+    plan = lambda c: docs.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(term_similarity(F.col("text"), "a b c d")).count("regexp_extract_all") == 1
+    assert plan(truncated(segments(F.col("text")))).count("split(") == 1
