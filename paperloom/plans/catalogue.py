@@ -246,7 +246,7 @@ def explode_conditions(spark, sf_dir):
     return parsed.select("event_id", F.posexplode("s.conditions").alias("no", "c")).select("event_id", "no", "c.type", "c.value")
 
 
-@query(r"""WITH cut AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(coalesce(text, ''), chr(10) || chr(10)), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '')) AS content FROM documents)
+@query(r"""WITH cut AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(replace(coalesce(text, ''), chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '')) AS content FROM documents)
 SELECT doc_id, content, count(*) AS n FROM cut GROUP BY doc_id, content""")
 def page_blocks(spark, sf_dir):
     """Blocks of each document, taken as one page, at exact double line breaks."""
