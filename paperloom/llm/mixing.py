@@ -87,7 +87,9 @@ def mixture(docs: DataFrame, slope: float = 0.5, id_col: str = "doc_id", text_co
 
 def training_order(mixed: DataFrame, slope: float = 0.5, id_col: str = "doc_id", row_col: str | None = None) -> DataFrame:
     """One row a copy: id, copy (from 0), copy_words (its size, less in a cut one) and position,
-    range-sorted by position (ties by id and copy)."""
+    range-sorted by position (ties by id and copy). Rows of which nothing is taken, such as those
+    without a word, are left out; a null id stays null; repeated rows each give their copies; an
+    empty table gives an empty result; other columns are left out."""
     each = mixed.filter("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.expr("cast((taken - 1) div size as int)"))))
     share = (F.col("copy") * F.col("source_size") + F.col("place")) / F.col("wanted")
     out = each.select(
@@ -103,19 +105,24 @@ def mix_documents(docs: DataFrame, slope: float = 0.5, id_col: str = "doc_id", t
 
     A cut copy keeps its first words up to the cut, with the space between them. Rows are stored
     under a number of their own that names the text to copy, so rows with a null id or one that
-    repeats are each copied as often as the mixture says.
+    repeats are each copied as often as the mixture says. A null or empty text has no words and is
+    taken no copy of; a null source is a source of its own, last; ties of position go by id, copy
+    and row. A very long text is copied whole. An empty table gives an empty result. The columns
+    travel inside one of their own, so no name can clash.
     """
-    columns = docs.columns
-    docs = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    order = stored(training_order(mixture(docs, slope, id_col, text_col, source_col, "_row"), slope, id_col, "_row"), "order")
-    order = order.select("_row", F.col(id_col).alias("_id"), F.col("copy").alias("_copy"), F.col("copy_words").alias("_words"), F.col("size").alias("_size"), F.col("position").alias("_position"))
-    whole = F.col("_words") >= F.col("_size")
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("key"), kept.alias("row")), "rows")
+    flat = rows.select("key", F.col("row")[id_col].alias("id"), F.col("row")[text_col].alias("text"), F.col("row")[source_col].alias("source"))
+    order = stored(training_order(mixture(flat, slope, row_col="key", id_col="id"), slope, "id", "key"), "order")
+    joined = rows.join(order, "key").withColumn("text", F.col("row")[text_col])
+    whole = F.col("copy_words") >= F.col("size")
     # what stands before the word after the cut, by one pass of a bounded repetition
-    cut = F.expr(f"array_join(slice(regexp_extract_all({text_col}, '[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+', 0), 1, cast(_words as int)), '')")
-    joined = docs.join(order, "_row").withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(cut))
+    cut = F.expr(r"array_join(slice(regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0), 1, cast(copy_words as int)), '')")
+    joined = joined.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
+    columns = {c: F.col("row")[c] for c in docs.columns} | {text_col: F.col("text")}
     if "n_chars" in columns:
-        joined = joined.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
-    return joined.orderBy("_position", "_id", "_copy", "_row").select(*columns)
+        columns["n_chars"] = F.when(whole, columns["n_chars"]).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return joined.orderBy("position", "id", "copy", "key").select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def oracle(slope: float = 0.5) -> str:

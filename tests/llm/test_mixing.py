@@ -107,3 +107,13 @@ def test_null_and_repeated_ids_are_copied_each(documents):
     docs = documents([(None, "a b c d"), (None, "e f"), (1, "g h i"), (1, "j k l m n"), (1, "g h i"), (2, "o")])
     words = " ".join(r.text for r in mix_documents(docs).collect()).split()
     assert sorted(words) == sorted("a b c d e f g h i j k l m n g h i o".split())
+
+
+def test_clashing_names_and_repeated_rows(spark, documents):
+    rows = [(1, "a b c"), (1, "a b c"), (None, "d e f g"), (2, None), (3, "h")]
+    docs = documents(rows).selectExpr("*", "doc_id AS _id", "1 AS _size", "2 AS key", "3 AS size", "4 AS copy", "text AS position", "5 AS row", "6 AS id")
+    out = mix_documents(docs)
+    got = out.collect()
+    assert out.columns == docs.columns and sum(len(r.text.split()) for r in got) == 11
+    assert all((r._id, r.key, r.position) == (r.doc_id, 2, dict(zip((t for _, t in rows), (t for _, t in rows), strict=True)).get(r.position)) for r in got)
+    assert mix_documents(docs.limit(0)).count() == 0
