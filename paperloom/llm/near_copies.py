@@ -453,10 +453,12 @@ def _classes(texts: DataFrame, least: float, sketches: int, first_pairs: int) ->
     left = _crowded(members, labels, groups.select("node", "n", "bag", "sketch"), parts, least)
     left = stored(left.join(first.union(across), ["low", "high"], "left_anti"), "crowded")
     labels = components(links.union(stored(_verified(left, known, least), "links")))
-    discard(agreeing, pairs, across, left)
     labelled = groups.join(labels, "node", "left").select("a", "b", "doc", F.coalesce("label", "node").alias("label"))
     classes = labelled.join(labelled.groupBy("label").agg(F.min("doc").alias("class_id")), "label").select("a", "b", "class_id")
-    return signed.select("key", "doc", "n", "a", "b").join(classes, ["a", "b"], "left").select("key", "doc", "n", F.coalesce("class_id", "doc").alias("class_id"))
+    out = signed.join(classes, ["a", "b"], "left").select("key", "doc", "n", F.coalesce("class_id", "doc").alias("class_id"))
+    out = stored(out, "classes")
+    discard(whole, groups, agreeing, pairs, first, across, left)
+    return out
 
 
 def near_copies(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKETCHES, first_pairs: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -478,6 +480,7 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKET
     rows = docs.select(id_.alias("doc"), text.alias("text"))
     known = stored(rows.filter("doc IS NOT NULL").select(F.monotonically_increasing_id().alias("key"), "doc", "text"), "texts")
     out = _classes(known, least, sketches, first_pairs).select("doc", "n", "class_id")
+    discard(known)
     out = out.unionByName(rows.filter("doc IS NULL").select("doc", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("class_id")))
     kind = docs.schema[id_col].dataType
     return out.select(F.col("doc").cast(kind).alias(id_col), F.col("n").alias("n_words"), F.col("class_id").cast(kind).alias("class_id"))

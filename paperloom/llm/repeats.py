@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import own_settings, shared_dir, stored
+from .frames import discard, own_settings, shared_dir, stored
 from .text import Block, blocks, mix
 
 LENGTH = 50
@@ -551,14 +551,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = texts.agg(F.sum("size")).first()[0] or 0
     sent = open_.select("key", "text").mapInArrow(_sent(max(64, size // RANGE_BYTES)), _SENT)
     shared = sent.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(partial(_shared, buckets=parts), _FOUND)
-    shared = stored(shared.repartition(parts, "key").mapInArrow(_by_row(_ENTRY), _FOUND), "anchors").withColumnRenamed("payload", "anchors")
+    shared = stored(shared.repartition(parts, "key").mapInArrow(_by_row(_ENTRY), _FOUND), "anchors")
 
-    held = long.select("key", "doc", "text").join(shared.hint("shuffle_hash"), "key")
+    held = long.select("key", "doc", "text").join(shared.withColumnRenamed("payload", "anchors").hint("shuffle_hash"), "key")
     ranked = held.mapInArrow(partial(_cut_out, buckets=parts), _RANKED).repartition(parts, "r1", "r2").sortWithinPartitions("r1", "r2")
     found = stored(ranked.mapInArrow(partial(_ranked, buckets=parts), f"{_RANKED}, payload binary"), "found")
     single = found.filter("payload IS NULL").drop("payload").repartition(parts, "r1", "r2", "piece").sortWithinPartitions("r1", "r2", "piece", "doc")
     spans = found.filter("payload IS NOT NULL").select("key", "payload").union(single.mapInArrow(partial(_alone, buckets=parts), _FOUND))
     spans = stored(spans.repartition(parts, "key").mapInArrow(_by_row(_SPAN), _FOUND), "spans").withColumnRenamed("payload", "spans")
+    discard(shared, found)
     out = texts.join(copies.withColumn("copy", F.lit(True)).hint("shuffle_hash"), "key", "left").join(spans.hint("shuffle_hash"), "key", "left")
     return out.withColumn("copy", F.coalesce("copy", F.lit(False)))
 
