@@ -498,4 +498,6 @@ def drop_near_copies(docs: DataFrame, least: float = SIMILARITY, sketches: int =
     rows = stored(docs.select(F.monotonically_increasing_id().alias("key"), kept.alias("row")), "rows")
     texts = rows.select("key", F.col("row")[id_col].cast("long").alias("doc"), F.col("row")[text_col].alias("text")).filter("doc IS NOT NULL")
     copies = _classes(texts, least, sketches, first_pairs).filter("doc > class_id").select("key")
-    return rows.join(copies, "key", "left_anti").select("row.*")
+    # up to a checked number of keys the texts need not move
+    gone = F.broadcast(copies) if copies.count() <= BROADCAST_NODES else copies
+    return rows.join(gone, "key", "left_anti").select("row.*")
