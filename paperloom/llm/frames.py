@@ -46,6 +46,21 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``stored``, in as many buckets by key as there are shuffle partitions: such tables join on the
+    key without a shuffle. Rows are dealt out by the key first, so there is a file a bucket."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"paperloom_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    with own_settings(spark):
+        df.repartition(parts, key).write.bucketBy(parts, key).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the entry only: the files stay, and the frame reads them
+    _places[out] = path
+    return out
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files of stored results that nothing reads any more."""
     for df in frames:

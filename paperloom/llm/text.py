@@ -122,3 +122,29 @@ def per_document(block: Block, at: np.ndarray, weights: np.ndarray | None = None
     # an empty document shares its offset with the next one: 'right' already picks the last
     sums = np.bincount(where, weights, minlength=block.hi - block.lo)
     return sums.astype(np.int64)
+
+
+def word_ids(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The number of every span of a buffer among the distinct ones, and those. Spans are equal if
+    their bytes are: a hash finds them, and every span is compared with the one that leads it."""
+    if not len(start):
+        return np.zeros(0, np.int64), []
+    _, lead, ids = np.unique(Fingerprints(data).spans(start, end), return_index=True, return_inverse=True)
+    first = lead[ids]
+    equal = end - start == end[first] - start[first]
+    size = end - start
+    longest = int(size.max())
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    for offset in range(0, min(longest, 64), 8):
+        at = np.flatnonzero(size > offset) if offset else slice(None)
+        bits = (np.minimum(size[at] - offset, 8) * 8).astype(np.uint64)
+        spare = np.uint64(64) - bits
+        equal[at] &= eight[start[at] + offset] << spare == eight[np.minimum(start[first[at]] + offset, len(data))] << spare
+    for i in np.flatnonzero(size > 64):
+        equal[i] &= np.array_equal(data[start[i] : end[i]], data[start[first[i]] : end[first[i]]])
+    if equal.all():
+        return ids, [data[a:b].tobytes() for a, b in zip(start[lead], end[lead], strict=True)]
+    known: dict[bytes, int] = {}
+    found = [known.setdefault(data[a:b].tobytes(), len(known)) for a, b in zip(start, end, strict=True)]
+    return np.array(found, np.int64), list(known)
