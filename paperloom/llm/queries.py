@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, chat_format, collocations, mixing, url_filters
+from . import centroids, chat_format, collocations, mixing, suffix_trees, url_filters
 from .chat_format import as_events, chat_digests
 from .frames import table
 from .licenses import license_scan
@@ -71,6 +71,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL), keep_ids=False)
 
 
+def op11_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_trees.cut_windows(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -79,5 +83,5 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.centroid_clusters(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_copies, op2_neighbours, op3_quality_rules, op4_url_filters, op5_suffix_array, op6_license_scan, op7_token_counts, op8_mixing, op9_chat_format, op10_sentencepiece, op12_collocations, op13_centroids)}
-ORACLE_SQL: dict[str, str] = {"op4_url_filters": url_filters.oracle(), "op8_mixing": mixing.oracle(), "op9_chat_format": chat_format.oracle(TRICKY), "op12_collocations": collocations.oracle(), "op13_centroids": centroids.oracle()}
+QUERIES = {f.__name__: f for f in (op1_near_copies, op2_neighbours, op3_quality_rules, op4_url_filters, op5_suffix_array, op6_license_scan, op7_token_counts, op8_mixing, op9_chat_format, op10_sentencepiece, op11_suffix_trees, op12_collocations, op13_centroids)}
+ORACLE_SQL: dict[str, str] = {"op4_url_filters": url_filters.oracle(), "op8_mixing": mixing.oracle(), "op9_chat_format": chat_format.oracle(TRICKY), "op11_suffix_trees": suffix_trees.oracle(), "op12_collocations": collocations.oracle(), "op13_centroids": centroids.oracle()}
