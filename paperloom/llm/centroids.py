@@ -262,8 +262,8 @@ def centroid_clusters(vectors: DataFrame, clusters: int = CLUSTERS, rounds: int
 
     both = blocks.join(state.select("block", "cluster").hint("shuffle_hash"), "block")
     sums = both.mapInArrow(partial(measured, sums_only=True), "cluster int, total string")
-    # past 38 digits no long could hold the sum
-    whole = F.sum(F.col("total").cast("decimal(38,0)")).alias("total")
+    # a part of over 27 digits is past what a long could hold
+    whole = F.sum(F.when(F.length("total") <= 27, F.col("total").try_cast("decimal(38,0)"))).alias("total")
     spoilt = F.max(F.length("total") > 27).alias("spoilt")
     found = {r.cluster: None if r.spoilt or r.total is None else int(r.total) for r in sums.groupBy("cluster").agg(whole, spoilt).collect()}
     inertia = None if None in found.values() else sum(found.values())
