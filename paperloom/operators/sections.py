@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import PRIORITY, SECTION_KEYWORDS, SECTIONS
 from ..functions.text import contains_any
 
 
+def heading_of(content: Column, keywords=SECTION_KEYWORDS, title_chars: int = 200) -> Column:
+    """The section that a paragraph is a heading of, or null."""
+    short = F.char_length(content) < title_chars
+    heading = F.lit(None).cast("string")
+    for name, words in keywords:  # a later section overrides an earlier one
+        heading = F.when(short & contains_any(content, words), name).otherwise(heading)
+    return heading
+
+
+def section_of(current: Column, sections: tuple[str, ...] = SECTIONS) -> Column:
+    """The section under a heading: 'other' before any, and for one that is not in ``sections``."""
+    return F.when(current.isin(*sections), current).otherwise("other")
+
+
 def assign_sections(rows: DataFrame, keywords=SECTION_KEYWORDS, sections: tuple[str, ...] = SECTIONS, title_chars: int = 200, order: tuple[str, ...] = ("pos",)) -> DataFrame:
     """Adds ``section``: that of the last heading at or before the row.
 
@@ -16,13 +30,9 @@ def assign_sections(rows: DataFrame, keywords=SECTION_KEYWORDS, sections: tuple[
     sections the last in keyword order counts. Before any heading, and for a heading whose section
     is not in ``sections``, it is 'other'. One window by document; ``order`` may lead with a page.
     """
-    short = F.char_length("content") < title_chars
-    heading = F.lit(None).cast("string")
-    for name, words in keywords:  # a later section overrides an earlier one
-        heading = F.when(short & contains_any(F.col("content"), words), name).otherwise(heading)
     so_far = Window.partitionBy("doc_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    current = F.last(heading, ignorenulls=True).over(so_far)
-    return rows.withColumn("section", F.when(current.isin(*sections), current).otherwise("other"))
+    current = F.last(heading_of(F.col("content"), keywords, title_chars), ignorenulls=True).over(so_far)
+    return rows.withColumn("section", section_of(current, sections))
 
 
 def section_counts(rows: DataFrame) -> DataFrame:

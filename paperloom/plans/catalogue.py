@@ -15,6 +15,7 @@ from ..config import Config
 from ..functions import json as J
 from ..functions import text as T
 from ..operators import backends, metrics, models
+from ..operators import pages as P
 from ..operators.clean import truncated
 from ..operators.sections import assign_sections, priority_content, section_counts
 from ..operators.segment import packed
@@ -111,6 +112,47 @@ def priority_sections(spark, sf_dir):
     return priority_content(assign_sections(_paragraphs(spark, sf_dir), KEYWORDS))
 
 
+def _pages(spark, sf_dir):
+    """Each text dealt into pages of five lines, with a blank line between."""
+    lines = F.split("text", "\n")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 5).cast("int")), lambda p: F.array_join(F.slice(lines, p * 5 + 1, F.lit(5)), "\n\n"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(cut).alias("page_no", "text"))
+
+
+_PAGED = r"""
+page_lines AS (SELECT doc_id, l, generate_subscripts(l, 1) - 1 AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+pages AS (SELECT doc_id, (i // 5)::INT AS page_no, string_agg(l[i + 1], chr(10) || chr(10) ORDER BY i) AS text FROM page_lines GROUP BY ALL),
+cut AS (SELECT doc_id, page_no, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda b: regexp_replace(b, '^\s+|\s+$', '', 'g')), lambda b: b <> '') AS blocks FROM pages),
+placed AS (SELECT doc_id, page_no, unnest(blocks) AS content, (generate_subscripts(blocks, 1) - 1)::INT AS pos FROM cut),
+titled AS (
+  SELECT *, CASE WHEN length(content) >= 200 THEN NULL WHEN contains(lower(content), 'que') THEN 'setup'
+                 WHEN contains(lower(content), 'the') THEN 'results' WHEN contains(lower(content), 'nicht') THEN 'conclusion'
+                 WHEN contains(lower(content), 'tion') THEN 'abstract' END AS heading FROM placed),
+under AS (SELECT *, last_value(heading IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page_no, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS current FROM titled),
+on_pages AS (SELECT doc_id, page_no, pos, content, CASE WHEN current IN ('abstract', 'conclusion', 'results', 'introduction', 'methods', 'other') THEN current ELSE 'other' END AS section FROM under)"""
+
+
+@query(f"WITH {_PAGED} SELECT doc_id, page_no, pos, content, section FROM on_pages")
+def page_sections(spark, sf_dir):
+    """Sections carried from page to page; runs of four pages, so that many documents have several."""
+    return P.section_rows(P.page_sections(_pages(spark, sf_dir), KEYWORDS, run_pages=4))
+
+
+@query(rf"""WITH {_PAGED},
+counts AS (
+  SELECT doc_id, page_no, list_transform(list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> ''), lambda s: length(regexp_extract_all(s, '\S+'))::INT) AS n FROM pages),
+chunked AS (
+  SELECT doc_id, unnest(list_reduce(n, lambda acc, x: CASE WHEN len(acc) = 0 THEN [x] WHEN acc[-1] + x > 40 THEN acc || [x] ELSE acc[:len(acc) - 1] || [acc[-1] + x] END, []::INT[])) AS size FROM counts)
+SELECT doc_id, 'basic' AS name, count(*) AS n_rows, NULL AS n_chars FROM chunked GROUP BY doc_id
+UNION ALL SELECT doc_id, section, count(*), sum(length(content))::BIGINT FROM on_pages GROUP BY ALL
+UNION ALL SELECT doc_id, 'priority', count(*), sum(length(content))::BIGINT FROM on_pages WHERE section IN ('abstract', 'conclusion', 'results', 'setup') GROUP BY ALL""")
+def page_outputs(spark, sf_dir):
+    """The outputs of the comprehensive mode with their rows, all from one scan of the pages."""
+    rows = P.process_pages(_pages(spark, sf_dir), "comprehensive", KEYWORDS, max_tokens=40, count=T.word_count)
+    sizes = rows.groupBy("doc_id", "name").agg(F.count("*").alias("n_rows"), F.sum(F.char_length("content")).alias("n_chars"))
+    return sizes.withColumn("n_chars", F.when(F.col("name") != "basic", F.col("n_chars")))
+
+
 @query(r"""WITH counts AS (
   SELECT doc_id, list_transform(list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> ''), lambda s: length(regexp_extract_all(s, '\S+'))::INT) AS n FROM documents),
 packed AS (

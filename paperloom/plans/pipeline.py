@@ -16,6 +16,7 @@ from ..functions.text import page_blocks, segments
 from ..operators import backends, models
 from ..operators.clean import truncated
 from ..operators.metrics import retention, stage_metrics
+from ..operators.pages import process_pages
 from ..operators.sections import assign_sections, priority_content
 from ..operators.segment import pack_chunks
 from ..operators.similarity import embed_and_compare, top_by_group
@@ -34,6 +35,12 @@ class Pipeline:
         """Ask each backend once; the failures by stage, which are warnings only."""
         return {s: error for s, factory in self._backends.items() if (error := models.warm_up(factory))}
 
+    def process_pages(self, pages: DataFrame, mode: str = "comprehensive") -> DataFrame:
+        """The outputs of paged documents (doc_id, page_no, text) in one of the modes ``basic``,
+        ``structured`` and ``comprehensive``; see ``operators.pages``."""
+        c = self.config
+        return process_pages(pages, mode, c.section_keywords, c.sections, c.title_chars, c.priority, c.max_tokens)
+
     def page_paragraphs(self, pages: DataFrame) -> DataFrame:
         """Blocks of pages (doc_id, page_no, text) as rows (doc_id, page_no, pos, content)."""
         return pages.select("doc_id", "page_no", F.posexplode(page_blocks(F.col("text"))).alias("pos", "content"))
