@@ -21,6 +21,8 @@ from ..functions.text import contains_any, not_blank, or_empty, starts_yes, stri
 from .backends import Backend
 
 MODEL_ANSWER = "struct<answer: string, error: string>"
+#: Adds ``_model`` to rows from (rows, factory, prompts, contents, max_tokens).
+Ask = Callable[[DataFrame, Callable[[], Backend], Column, Column, int], DataFrame]
 
 
 def prompt(system: str, context: Column, task: str) -> Column:
@@ -54,6 +56,11 @@ def model_column(factory: Callable[[], Backend], prompts: Column, contents: Colu
     return F.pandas_udf(run, MODEL_ANSWER).asNondeterministic()(prompts, contents)
 
 
+def asked(rows: DataFrame, factory: Callable[[], Backend], prompts: Column, contents: Column, max_tokens: int) -> DataFrame:
+    """Adds ``_model``: each row is asked. A store of answers (``operators.answers``) has the same form."""
+    return rows.withColumn("_model", model_column(factory, prompts, contents, max_tokens))
+
+
 def warm_up(factory: Callable[[], Backend], max_tokens: int = 8) -> str | None:
     """Ask a backend once, on the driver. A failure is a warning, and its text is returned."""
     try:
@@ -69,22 +76,17 @@ def keyword_gate(rows: DataFrame, keywords: tuple[str, ...]) -> DataFrame:
     return rows.withColumn("gated", contains_any(or_empty(F.col("content")), keywords))
 
 
-def classify(rows: DataFrame, factory: Callable[[], Backend], config: Config = Config()) -> DataFrame:
+def classify(rows: DataFrame, factory: Callable[[], Backend], config: Config = Config(), ask: Ask = asked) -> DataFrame:
     """Adds ``classification`` ('Yes' or 'No'). Rows with a keyword are 'Yes' and never reach the
     model: their prompt is null. An empty answer or an error is 'No'."""
     gated = keyword_gate(rows, config.gate_keywords)
-    asked = F.when(~F.col("gated"), prompt(config.system_prompt, F.col("content"), config.classify_task))
-    out = gated.withColumn("_model", model_column(factory, asked, or_empty(F.col("content")), 5))
+    prompts = F.when(~F.col("gated"), prompt(config.system_prompt, F.col("content"), config.classify_task))
+    out = ask(gated, factory, prompts, or_empty(F.col("content")), 5)
     return out.withColumn("classification", F.when(F.col("gated") | starts_yes(F.col("_model.answer")), "Yes").otherwise("No")).drop("_model", "gated")
 
 
-def relevant(rows: DataFrame, factory: Callable[[], Backend], config: Config = Config()) -> DataFrame:
-    return classify(rows, factory, config).filter("classification = 'Yes'")
-
-
-def or_fallback(kept: DataFrame, fallback: DataFrame, key: str = "doc_id") -> DataFrame:
-    """kept, and the fallback's rows of the documents of which nothing was kept."""
-    return kept.unionByName(fallback.join(kept.select(key).distinct(), key, "left_anti").select(*kept.columns))
+def relevant(rows: DataFrame, factory: Callable[[], Backend], config: Config = Config(), ask: Ask = asked) -> DataFrame:
+    return classify(rows, factory, config, ask).filter("classification = 'Yes'")
 
 
 def relevant_or_all(classified: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -94,19 +96,17 @@ def relevant_or_all(classified: DataFrame, key: str = "doc_id") -> DataFrame:
     return classified.withColumn("_some", some).filter("classification = 'Yes' OR NOT _some").drop("_some")
 
 
-def abstracts(rows: DataFrame, factory: Callable[[], Backend], config: Config = Config()) -> DataFrame:
+def abstracts(rows: DataFrame, factory: Callable[[], Backend], config: Config = Config(), ask: Ask = asked) -> DataFrame:
     """Adds ``abstract`` and ``error``: an empty answer gives the first characters of the content."""
-    answer = model_column(factory, prompt(config.system_prompt, F.col("content"), config.abstract_task), or_empty(F.col("content")), 300)
-    out = rows.withColumn("_model", answer)
+    out = ask(rows, factory, prompt(config.system_prompt, F.col("content"), config.abstract_task), or_empty(F.col("content")), 300)
     text = strip(or_empty(F.col("_model.answer")))
     short = F.left(or_empty(F.col("content")), F.lit(config.abstract_chars))
     return out.withColumn("abstract", F.when(F.col("_model.error").isNull(), F.when(text == "", short).otherwise(text))).withColumn("error", F.col("_model.error")).drop("_model")
 
 
-def summaries(rows: DataFrame, factory: Callable[[], Backend], config: Config = Config(), input_col: str = "abstract") -> DataFrame:
+def summaries(rows: DataFrame, factory: Callable[[], Backend], config: Config = Config(), input_col: str = "abstract", ask: Ask = asked) -> DataFrame:
     """Adds ``summarized`` (from the first to the last brace of the answer) and ``error``."""
-    answer = model_column(factory, prompt(config.system_prompt, F.col(input_col), config.summary_task), or_empty(F.col(input_col)), 300)
-    out = rows.drop("error").withColumn("_model", answer)
+    out = ask(rows.drop("error"), factory, prompt(config.system_prompt, F.col(input_col), config.summary_task), or_empty(F.col(input_col)), 300)
     text = outer_braces(strip(or_empty(F.col("_model.answer"))))
     return out.withColumn("summarized", F.when(F.col("_model.error").isNull(), text)).withColumn("error", F.col("_model.error")).drop("_model")
 
@@ -129,11 +129,10 @@ def document_concat(rows: DataFrame, column: str, limit: int = 12_000, order: tu
     return kept.groupBy(key).agg(F.left(F.array_join(texts, "\n\n"), F.lit(limit)).alias("combined"))
 
 
-def document_summaries(rows: DataFrame, factory: Callable[[], Backend], config: Config = Config(), column: str = "abstract", order: tuple[str, ...] = ("rank",)) -> DataFrame:
+def document_summaries(rows: DataFrame, factory: Callable[[], Backend], config: Config = Config(), column: str = "abstract", order: tuple[str, ...] = ("rank",), ask: Ask = asked) -> DataFrame:
     """(doc_id, overall, error): one JSON a document, from its texts joined in order, cleaned by
     the markdown, brace and JSON rules."""
     joined = document_concat(rows, column, config.overall_chars, order)
-    answer = model_column(factory, prompt(config.system_prompt, F.col("combined"), config.overall_task), F.col("combined"), 1200)
+    out = ask(joined, factory, prompt(config.system_prompt, F.col("combined"), config.overall_task), F.col("combined"), 1200)
     raw = strip_markdown(F.col("_model.answer"))
-    out = joined.withColumn("_model", answer)
     return out.select("doc_id", F.when(F.col("_model.error").isNull(), repaired(longest_block(raw))).alias("overall"), F.col("_model.error").alias("error"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bound
+from .embedders import Embedder, embedded, register
 
 TOKEN = r"[A-Za-z0-9]+"
 
@@ -85,13 +86,21 @@ def with_similarity(rows: DataFrame, reference: list[float] | Column, vector_col
     return rows.withColumn("similarity", cosine(F.col(vector_col), vector))
 
 
-def embed_and_compare(rows: DataFrame, reference_text: str, text_col: str = "content", width: int = 64) -> DataFrame:
+HASHED = register(Embedder("hash", 64, expression=hashed_embedding))
+
+
+def embed_and_compare(rows: DataFrame, reference_text: str, text_col: str = "content", width: int = 64, embedder: Embedder = HASHED) -> DataFrame:
     """Adds ``content_embedding`` and ``similarity`` to the reference text, whose vector is one
-    broadcast row. The similarity does not read the embedding column, so that is made only where
-    a later stage selects it."""
-    reference = rows.sparkSession.range(1).select(hashed_embedding(F.lit(reference_text), width).alias("_reference"))
-    out = rows.withColumn("content_embedding", hashed_embedding(F.col(text_col), width)).crossJoin(F.broadcast(reference))
-    return out.withColumn("similarity", hashed_similarity(F.col(text_col), F.col("_reference"), width)).drop("_reference")
+    broadcast row, made where all others are. The similarity of the hashed embedding does not read
+    the embedding column, so that is made only where a later stage selects it."""
+    spark = rows.sparkSession
+    if embedder is HASHED:
+        reference = spark.range(1).select(hashed_embedding(F.lit(reference_text), width).alias("_reference"))
+        out = rows.withColumn("content_embedding", hashed_embedding(F.col(text_col), width)).crossJoin(F.broadcast(reference))
+        return out.withColumn("similarity", hashed_similarity(F.col(text_col), F.col("_reference"), width)).drop("_reference")
+    reference = embedded(spark.range(1).select(F.lit(reference_text).alias("_text")), embedder, "_text", "_reference").select("_reference")
+    out = embedded(rows, embedder, text_col).crossJoin(F.broadcast(reference))
+    return out.withColumn("similarity", cosine(F.col("content_embedding"), F.col("_reference"))).drop("_reference")
 
 
 def _order(similarity: str, ties: tuple[str, ...]) -> list[Column]:
@@ -108,3 +117,15 @@ def top_by_group(rows: DataFrame, n: int, keys: tuple[str, ...] = ("doc_id",), s
 def top_rows(rows: DataFrame, n: int, similarity: str = "similarity", ties: tuple[str, ...] = ("pos",)) -> DataFrame:
     """The n most similar rows of all, in that order."""
     return rows.orderBy(*_order(similarity, ties)).limit(n)
+
+
+def top_by_references(rows: DataFrame, similarities: dict[str, Column], n: int, keys: tuple[str, ...] = ("doc_id",), ties: tuple[str, ...] = ("pos",)) -> DataFrame:
+    """The n rows of each group that are most similar to each of several references: adds
+    ``reference``, ``similarity`` and ``rank``.
+
+    One pass for all references: a row gets an entry for each, and every task keeps the best n of a
+    group and reference before the shuffle, so what moves does not grow with the rows of a group.
+    """
+    entries = F.array(*[F.struct(F.lit(name).alias("reference"), value.cast("double").alias("similarity")) for name, value in similarities.items()])
+    each = rows.select("*", F.explode(entries).alias("_entry")).select(*[F.col(f"`{c}`") for c in rows.columns], "_entry.reference", "_entry.similarity")
+    return top_by_group(each, n, (*keys, "reference"), ties=ties)

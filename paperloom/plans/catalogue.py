@@ -14,15 +14,18 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import json as J
 from ..functions import text as T
-from ..operators import backends, metrics, models
+from ..operators import backends, embedders, metrics, models
+from ..operators.answers import AnswerStore
 from ..operators import pages as P
 from ..operators.clean import truncated
 from ..operators.sections import assign_sections, priority_content, section_counts
 from ..operators.segment import packed
-from ..operators.similarity import cosine, embed_and_compare, term_similarity, top_by_group, top_rows
+from ..operators.sentences import abbreviations, scored, split_sentences, stop_counts
+from ..operators.similarity import cosine, embed_and_compare, term_similarity, top_by_group, top_by_references, top_rows
 from ..sources.readers import html_to_text, markdown_tables
 from ..sources.sinks import output_name, remaining
 from .pipeline import Pipeline
+from .shared import shared_path
 
 MARKERS = ("the", "nicht", "avec", "para")
 KEYWORDS = (("abstract", ("tion",)), ("conclusion", ("nicht",)), ("results", ("the",)), ("methods", ("DoE",)), ("setup", ("que",)))
@@ -164,6 +167,35 @@ def pack_chunks(spark, sf_dir):
     return chunks.select("doc_id", "chunk_no", F.col("chunk.n_tokens").alias("n_tokens"))
 
 
+_WORDS = r"""
+words AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_extract_all(lower(coalesce(text, '')), '\S+'), lambda w: regexp_replace(regexp_replace(w, '^[^\p{L}\p{N}]+', ''), '[^\p{L}\p{N}.]+$', '')), lambda w: regexp_matches(w, '\p{L}'))) AS w FROM documents),
+stops AS (SELECT CASE WHEN w LIKE '%.' THEN w[:length(w) - 1] ELSE w END AS word, count(*) FILTER (w LIKE '%.') AS n_stop, count(*) FILTER (w NOT LIKE '%.') AS n_plain FROM words GROUP BY 1),
+shares AS (SELECT *, length(word) - length(replace(word, '.', '')) AS inside, (sum(n_stop) OVER ()) / (sum(n_stop + n_plain) OVER ())::DOUBLE AS share FROM stops),
+weighed AS (SELECT word, n_stop, n_plain, 2 * (n_stop * (ln(0.99::DOUBLE) - ln(share)) + n_plain * (ln(1 - 0.99::DOUBLE) - ln(1 - share)))
+  * exp(-(length(word) - inside)::DOUBLE) * (inside + 1) * pow((length(word) - inside)::DOUBLE, -n_plain::DOUBLE) AS score FROM shares),
+short AS (SELECT word, n_stop, n_plain, round(score, 6) AS score FROM weighed WHERE score >= 0.3 AND n_stop > 0)"""
+
+
+@query(f"WITH {_WORDS} SELECT word, n_stop, n_plain, score >= 0.3 AND n_stop > 0 AS short FROM weighed")
+def learned_abbreviations(spark, sf_dir):
+    """Every word with its counts, and whether its full stop is its own."""
+    rows = scored(stop_counts(_table(spark, sf_dir, "documents")))
+    return rows.select("word", "n_stop", "n_plain", ((F.col("score") >= 0.3) & (F.col("n_stop") > 0)).alias("short"))
+
+
+@query(rf"""WITH {_WORDS},
+pieces AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') AS p FROM documents),
+tails AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM pieces),
+starts AS (SELECT *, lag(regexp_replace(lower(regexp_extract(piece, '(\S+)\.$', 1)), '^[^\p{{L}}\p{{N}}]+', '')) OVER (PARTITION BY doc_id ORDER BY i) AS word FROM tails)
+SELECT doc_id, count(*) FILTER (i = 1 OR word NOT IN (SELECT word FROM short)) AS n_sentences, sum(length(piece))::BIGINT AS n_chars FROM starts GROUP BY doc_id""")
+def sentence_borders(spark, sf_dir):
+    """Sentences of each text, not cut after the abbreviations that the texts themselves show."""
+    docs = _table(spark, sf_dir, "documents")
+    rows = split_sentences(docs, abbreviations(docs)).select("doc_id", F.explode("sentences").alias("s"))
+    pieces = F.size(F.split("s", r"(?<=[.!?])\s+"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), (F.sum(F.char_length("s")) - F.sum(pieces - 1)).alias("n_chars"))
+
+
 def _compared(spark, sf_dir):
     rows = _table(spark, sf_dir, "embeddings")
     reference = rows.filter("vec_id = 0").select(F.col("embedding").alias("reference"))  # one row
@@ -192,17 +224,48 @@ scored AS (
     (2 * len(list_filter(t, lambda x: x = 'the')) + len(list_filter(t, lambda x: x IN ('and', 'of', 'in', 'tion', 'nicht', 'und', 'que', 'la', 'de'))))
     / (sqrt(list_sum(list_transform(map_values(list_histogram(t)), lambda c: c::DOUBLE * c))) * sqrt(13.0)) END, 9) AS similarity FROM terms)
 SELECT doc_id, pos, similarity, rank FROM
-(SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, pos)::INT AS rank FROM scored) WHERE rank <= 3""")
+(SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, pos)::INT AS rank FROM scored) WHERE rank <= 10""")
 def text_similarity_topn(spark, sf_dir):
     rows = _paragraphs(spark, sf_dir).withColumn("similarity", F.round(term_similarity(F.col("content"), REFERENCE), 9))
-    return top_by_group(rows, 3).select("doc_id", "pos", "similarity", "rank")
+    return top_by_group(rows, 10).select("doc_id", "pos", "similarity", "rank")
 
 
 @query()
 def hashed_similarity_topn(spark, sf_dir):
     """Top N by the hashed embedding; its hash function has no equal in DuckDB."""
     rows = embed_and_compare(_paragraphs(spark, sf_dir), REFERENCE)
-    return top_by_group(rows, 3).select("doc_id", "pos", F.round("similarity", 9).alias("similarity"), "rank")
+    return top_by_group(rows, 10).select("doc_id", "pos", F.round("similarity", 9).alias("similarity"), "rank")
+
+
+_LETTERS = "list_transform(range(26), lambda i: (length({0}) - length(replace(replace({0}, chr(97 + i::INT), ''), chr(65 + i::INT), '')))::DOUBLE)"
+
+
+@query(rf"""WITH {_SEGMENTS},
+scored AS (SELECT doc_id, pos, round(coalesce(CASE WHEN list_sum({_LETTERS.format("content")}) > 0 THEN list_cosine_similarity({_LETTERS.format("content")}, {_LETTERS.format(f"'{REFERENCE}'")}) END, 0), 9) AS similarity FROM paragraphs)
+SELECT doc_id, pos, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, pos)::INT AS rank FROM scored) WHERE rank <= 10""")
+def model_similarity_topn(spark, sf_dir):
+    """Top N by an embedder that runs as a model: letter counts, whose arithmetic SQL has too."""
+    rows = embed_and_compare(_paragraphs(spark, sf_dir), REFERENCE, embedder=embedders.resolve("letters"))
+    return top_by_group(rows.withColumn("similarity", F.round("similarity", 9)), 10).select("doc_id", "pos", "similarity", "rank")
+
+
+SECOND = "der die das und nicht la de que"
+_TERM_SCORE = r"""round(CASE WHEN len(t) = 0 THEN 0 ELSE {0} / (sqrt(list_sum(list_transform(map_values(list_histogram(t)), lambda c: c::DOUBLE * c))) * sqrt({1})) END, 9)"""
+
+
+@query(rf"""WITH {_SEGMENTS},
+terms AS (SELECT doc_id, pos, regexp_extract_all(lower(content), '[a-z0-9]+') AS t FROM paragraphs),
+scored AS (
+  SELECT doc_id, pos, 'first' AS reference, {_TERM_SCORE.format("(2 * len(list_filter(t, lambda x: x = 'the')) + len(list_filter(t, lambda x: x IN ('and', 'of', 'in', 'tion', 'nicht', 'und', 'que', 'la', 'de'))))", "13.0")} AS similarity FROM terms
+  UNION ALL
+  SELECT doc_id, pos, 'second', {_TERM_SCORE.format("len(list_filter(t, lambda x: x IN ('der', 'die', 'das', 'und', 'nicht', 'la', 'de', 'que')))", "8.0")} FROM terms)
+SELECT doc_id, pos, reference, similarity, rank FROM
+(SELECT *, row_number() OVER (PARTITION BY doc_id, reference ORDER BY similarity DESC, pos)::INT AS rank FROM scored) WHERE rank <= 10""")
+def two_references_topn(spark, sf_dir):
+    """The top N of each document for two references, in one pass."""
+    rows = _paragraphs(spark, sf_dir)
+    by = {name: F.round(term_similarity(F.col("content"), text), 9) for name, text in (("first", REFERENCE), ("second", SECOND))}
+    return top_by_references(rows, by, 10).select("doc_id", "pos", "reference", "similarity", "rank")
 
 
 _GATED = "(contains(lower(content), 'tion') OR contains(lower(content), 'mL/min') OR contains(lower(content), 'que'))"
@@ -220,19 +283,20 @@ def gate_or_model_filter(spark, sf_dir):
     return models.relevant(_paragraphs(spark, sf_dir), factory, CONFIG).select("doc_id", "pos")
 
 
-@query(f"""WITH {_SEGMENTS}, kept AS (SELECT doc_id, pos FROM paragraphs WHERE {_GATED})
-SELECT doc_id, pos FROM kept UNION ALL SELECT doc_id, pos FROM paragraphs WHERE pos < 2 AND doc_id NOT IN (SELECT doc_id FROM kept)""")
+@query(f"""WITH {_SEGMENTS}, ranked AS (SELECT doc_id, pos, content FROM paragraphs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(content) DESC, pos) <= 10),
+judged AS (SELECT *, {_GATED} AS yes, bool_or({_GATED}) OVER (PARTITION BY doc_id) AS found FROM ranked) SELECT doc_id, pos FROM judged WHERE yes OR NOT found""")
 def filter_fallback_topn(spark, sf_dir):
-    rows = _paragraphs(spark, sf_dir)
-    kept = models.keyword_gate(rows, GATE).filter("gated").select("doc_id", "pos")
-    return models.or_fallback(kept, rows.filter("pos < 2").select("doc_id", "pos"))
+    """The gated ones of each document's ten longest paragraphs, or all ten where none is."""
+    rows = top_by_group(_paragraphs(spark, sf_dir).withColumn("similarity", F.char_length("content").cast("double")), 10)
+    yes = models.keyword_gate(rows, GATE).withColumn("classification", F.when(F.col("gated"), "Yes").otherwise("No"))
+    return models.relevant_or_all(yes).select("doc_id", "pos")
 
 
-@query("""SELECT conv_id AS doc_id, substring(string_agg(text, chr(10) || chr(10) ORDER BY turn, text), 1, 1200) AS combined
+@query("""SELECT conv_id AS doc_id, substring(string_agg(text, chr(10) || chr(10) ORDER BY turn, text), 1, 12000) AS combined
 FROM conversations WHERE trim(text, ' \t\n\r') <> '' GROUP BY conv_id""")
 def document_concat(spark, sf_dir):
     rows = _table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "doc_id")
-    return models.document_concat(rows, "text", 1200, ("turn", "text"))
+    return models.document_concat(rows, "text", 12_000, ("turn", "text"))
 
 
 @query(f"""SELECT item_id, '{CONFIG.system_prompt}' || chr(10) || chr(10) || '### Paragraph to Analyze ###' || chr(10) || coalesce(text, '')
@@ -296,6 +360,16 @@ def page_blocks(spark, sf_dir):
     return rows.groupBy("doc_id", "content").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {_SEGMENTS}, asked AS (SELECT count(DISTINCT content) AS n FROM paragraphs)
+SELECT doc_id, pos, CASE WHEN regexp_matches(content, '{_FACT}') THEN 'Yes' ELSE 'No' END AS answer, n AS n_asked FROM paragraphs, asked""")
+def stored_answers(spark, sf_dir):
+    """Every paragraph classified through a store of answers: each different one is asked once."""
+    store = AnswerStore(spark, shared_path(spark, "answers"))
+    prompts = models.prompt(CONFIG.system_prompt, F.col("content"), CONFIG.classify_task)
+    rows = store.ask(_paragraphs(spark, sf_dir), backends.resolve("classify", "rules"), prompts, F.col("content"), 5, "rules")
+    return rows.select("doc_id", "pos", F.col("_model.answer").alias("answer"), F.lit(store.rows().count()).alias("n_asked"))
+
+
 @query()
 def abstract_paragraphs(spark, sf_dir):
     """The rule backend's leading sentences, capped by characters; checked in tests."""

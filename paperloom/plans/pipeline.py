@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.json import parsed_summary
 from ..functions.text import page_blocks, segments
-from ..operators import backends, models
+from ..operators import backends, embedders, models
+from ..operators.answers import AnswerStore
 from ..operators.clean import truncated
 from ..operators.metrics import retention, stage_metrics
 from ..operators.pages import process_pages
 from ..operators.sections import assign_sections, priority_content
 from ..operators.segment import pack_chunks
-from ..operators.similarity import embed_and_compare, top_by_group
+from ..operators.similarity import embed_and_compare, top_by_group, top_by_references
 
 MODES = ("filter", "abstract", "summarize", "comprehensive")
 
@@ -27,10 +28,16 @@ MODES = ("filter", "abstract", "summarize", "comprehensive")
 class Pipeline:
     """The stages with one configuration. ``process`` runs a mode and returns its DataFrames."""
 
-    def __init__(self, config: Config | None = None):
-        self.config = config or Config.from_environment()
+    def __init__(self, config: Config | None = None, store: AnswerStore | None = None):
+        """With a store, answers are kept in it and no prompt is asked twice; stages then run when
+        they are called for, as each asks what the store lacks."""
+        self.config, self.store = config or Config.from_environment(), store
+        self._embedder = embedders.resolve(self.config.backends["embed"], self.config.strict)
         self._backends = {s: backends.resolve(s, self.config.backends[s], self.config.model_dir, self.config.strict) for s in ("classify", "abstract", "summary", "overall")}
 
+    def _ask(self, stage: str) -> models.Ask:
+        return self.store.under(f"{stage}/{self.config.backends[stage]}") if self.store else models.asked
+
     def warm_up(self) -> dict[str, str]:
         """Ask each backend once; the failures by stage, which are warnings only."""
         return {s: error for s, factory in self._backends.items() if (error := models.warm_up(factory))}
@@ -62,20 +69,30 @@ class Pipeline:
         return docs.select("doc_id", F.posexplode(kept).alias("pos", "content"))
 
     def top(self, rows: DataFrame) -> DataFrame:
-        return top_by_group(embed_and_compare(rows, self.config.embedding_reference).drop("content_embedding"), self.config.top_n)
+        compared = embed_and_compare(rows, self.config.embedding_reference, embedder=self._embedder)
+        return top_by_group(compared.drop("content_embedding"), self.config.top_n)
+
+    def top_by_references(self, rows: DataFrame) -> DataFrame:
+        """The top N rows of each document for both references, of the experiment and of abstracts and
+        conclusions, with ``reference`` and ``rank``, in one pass."""
+        named = {"experiment": self.config.embedding_reference, "abstract": self.config.abstract_reference}
+        for name, text in named.items():
+            compared = embed_and_compare(rows, text, embedder=self._embedder).drop("content_embedding")
+            rows = compared.withColumnRenamed("similarity", f"_{name}")
+        return top_by_references(rows, {name: F.col(f"_{name}") for name in named}, self.config.top_n).drop(*[f"_{name}" for name in named])
 
     def filter(self, rows: DataFrame) -> DataFrame:
-        return models.relevant(rows, self._backends["classify"], self.config)
+        return models.relevant(rows, self._backends["classify"], self.config, self._ask("classify"))
 
     def abstract(self, rows: DataFrame) -> DataFrame:
-        return models.abstracts(rows, self._backends["abstract"], self.config)
+        return models.abstracts(rows, self._backends["abstract"], self.config, self._ask("abstract"))
 
     def summarize(self, rows: DataFrame, input_col: str = "abstract") -> DataFrame:
-        return models.summaries(rows, self._backends["summary"], self.config, input_col)
+        return models.summaries(rows, self._backends["summary"], self.config, input_col, self._ask("summary"))
 
     def overall(self, rows: DataFrame, column: str = "abstract") -> DataFrame:
         """One row a document with ``overall`` (JSON text) and ``summary`` (typed)."""
-        found = models.document_summaries(rows, self._backends["overall"], self.config, column, ("rank",))
+        found = models.document_summaries(rows, self._backends["overall"], self.config, column, ("rank",), self._ask("overall"))
         return found.withColumn("summary", parsed_summary(F.col("overall")))
 
     def process(self, docs: DataFrame, mode: str = "comprehensive") -> dict[str, DataFrame]:
@@ -83,7 +100,7 @@ class Pipeline:
             raise ValueError(f"mode must be one of {', '.join(MODES)}")
         out = {"processed": self.preprocess(docs)}
         out["embedded"] = self.top(out["processed"])
-        out["filtered"] = models.relevant_or_all(models.classify(out["embedded"], self._backends["classify"], self.config))
+        out["filtered"] = models.relevant_or_all(models.classify(out["embedded"], self._backends["classify"], self.config, self._ask("classify")))
         if mode != "filter":
             out["abstract"] = self.abstract(out["filtered"])
         if mode in ("summarize", "comprehensive"):

@@ -120,8 +120,8 @@ def test_document_concat_and_merge(spark):
 
 
 def test_fallback(spark):
-    kept, every = rows_of(spark, {"a": ["x"]}), rows_of(spark, {"a": ["x", "y"], "b": ["z"]})
-    assert sorted((r.doc_id, r.pos) for r in models.or_fallback(kept, every).collect()) == [("a", 0), ("b", 0)]
+    rows = rows_of(spark, {"a": ["x", "y"], "b": ["z"]}).withColumn("classification", F.when(F.col("content") == "x", "Yes").otherwise("No"))
+    assert sorted((r.doc_id, r.pos) for r in models.relevant_or_all(rows).collect()) == [("a", 0), ("b", 0)]
 
 
 def test_extractor_example():
