@@ -22,6 +22,7 @@ from ..operators.sections import assign_sections, priority_content, section_coun
 from ..operators.segment import packed
 from ..operators.sentences import abbreviations, scored, split_sentences, stop_counts
 from ..operators.similarity import cosine, embed_and_compare, term_similarity, top_by_group, top_by_references, top_rows
+from ..sources.files import priority_files, section_files, write_files
 from ..sources.readers import html_to_text, markdown_tables
 from ..sources.sinks import output_name, remaining
 from .pipeline import Pipeline
@@ -424,6 +425,23 @@ def retention_ratio(spark, sf_dir):
     return metrics.retention(stages["processed"], stages["filtered"])
 
 
+@query(f"""WITH {_PAGED},
+parts AS (
+  SELECT doc_id || '/' || doc_id || '_' || section || '.txt' AS file, 0 AS part, page_no, pos, content FROM on_pages
+  UNION ALL SELECT doc_id || '/' || doc_id || '_priority.txt', CASE section WHEN 'abstract' THEN 0 WHEN 'conclusion' THEN 1 ELSE 2 END, page_no, pos, content FROM on_pages WHERE section IN ('abstract', 'conclusion', 'results')),
+files AS (SELECT file, string_agg(content || chr(10) || chr(10), '' ORDER BY part, page_no, pos) AS text FROM parts GROUP BY file)
+SELECT file, strlen(text)::BIGINT AS n_bytes, sha256(text) AS digest FROM files""")
+def written_files(spark, sf_dir):
+    """The section and priority files of all documents, written and read back as bytes."""
+    path = shared_path(spark, "files")
+    rows = P.section_rows(P.page_sections(_pages(spark, sf_dir), KEYWORDS))
+    order = ("page_no", "pos")
+    sections = section_files(rows, order).withColumn("part", F.lit(0))
+    write_files(sections.unionByName(priority_files(rows, order=order)), path, ("part", *order))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
+    return files.select(F.regexp_extract("path", "[^/]+/[^/]+$", 0).alias("file"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("digest"))
+
+
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def resume_left_anti(spark, sf_dir):
     return remaining(_table(spark, sf_dir, "documents").select("doc_id", "source"), _table(spark, sf_dir, "labels"))

@@ -21,6 +21,7 @@ from ..operators.pages import process_pages
 from ..operators.sections import assign_sections, priority_content
 from ..operators.segment import pack_chunks
 from ..operators.similarity import embed_and_compare, top_by_group, top_by_references
+from .runs import Run, Stage
 
 MODES = ("filter", "abstract", "summarize", "comprehensive")
 
@@ -108,6 +109,22 @@ class Pipeline:
             out["overall"] = self.overall(out["abstract"])
         return out
 
+    def run(self, docs: DataFrame, path: str, mode: str = "comprehensive", keep: tuple[str, ...] = ("summarized", "overall")) -> Run:
+        """Run a mode stage by stage under ``path`` and return the run, with its results and the counts
+        of every stage. Only ``keep`` stays; calling it again goes on where a run was broken off."""
+        if mode not in MODES:
+            raise ValueError(f"mode must be one of {', '.join(MODES)}")
+        classify = lambda rows: models.relevant_or_all(models.classify(rows, self._backends["classify"], self.config, self._ask("classify")))
+        stages = [Stage("processed", ("documents",), self.preprocess), Stage("embedded", ("processed",), self.top), Stage("filtered", ("embedded",), classify)]
+        if mode != "filter":
+            stages.append(Stage("abstract", ("filtered",), self.abstract, "abstract"))
+        if mode in ("summarize", "comprehensive"):
+            stages += [Stage("summarized", ("abstract",), self.summarize, "summarized"), Stage("overall", ("abstract",), self.overall, "overall")]
+        kept = [s.name for s in stages if s.name in keep] or [stages[-1].name]
+        run = Run(docs.sparkSession, path, stages, kept)
+        run.go(documents=docs)
+        return run
+
     def report(self, docs: DataFrame, stages: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
         """Stage sizes a document, and the share of the processed rows that the filter kept."""
         rows = {k: v for k, v in stages.items() if k in ("processed", "embedded", "filtered")}
