@@ -460,9 +460,11 @@ def window_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = _texts(docs, id_col, text_col)
     long = texts.filter("digest IS NOT NULL")
-    # copies are folded a task at a time before they meet
-    firsts = long.groupBy("digest").agg(F.min("key").alias("key"), F.count("*").alias("n")).filter("n > 1").select("digest", F.col("key").alias("first"))
-    copies = long.select("key", "digest").join(firsts, "digest").select("key", (F.col("key") == F.col("first")).alias("goes_on"))
+    # the keys of a word sequence are gathered a part of the table at a time, so that a sequence which
+    # very many rows have comes to a task with one row a part
+    some = long.groupBy("digest", F.shiftright("key", 33).alias("part")).agg(F.collect_list("key").alias("keys"), F.min("key").alias("first"), F.count("*").alias("n"))
+    firsts = some.groupBy("digest").agg(F.min("first").alias("least"), F.sum("n").alias("n")).filter("n > 1").select("digest", "least")
+    copies = some.join(firsts, "digest").select(F.explode("keys").alias("key"), "least").select("key", (F.col("key") == F.col("least")).alias("goes_on"))
     copies = stored(copies.repartition(parts, "key"), "copies")
     marked = long.select("key", "text").join(copies.hint("shuffle_hash"), "key", "left").filter("goes_on IS NULL OR goes_on")
     marked = marked.select("key", F.col("goes_on").isNotNull().alias("twice"), "text")
