@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import discard, stored
+from .frames import bucketed, discard, stored
 from .text import Block, Fingerprints, blocks, mix
 
 SHINGLE = 5
@@ -34,8 +34,6 @@ SKETCHES = 80
 SIMILARITY = 0.8
 #: Texts of fewer words have sketches of shorter shingles; of at least the share SIMILARITY of as many, of SHINGLE words.
 SHORT, SHORT_SHINGLE, SHORT_SKETCHES = 40, 2, 32
-#: Node ids are broadcast up to this many (16 bytes each); beyond, the join shuffles.
-BROADCAST_NODES = 1_000_000
 #: Buckets of a text's word counts (first compared in COARSE sums), and nodes of a crowded sketch value
 #: that are compared at a time.
 BAG, COARSE = 512, 64
@@ -372,11 +370,11 @@ def _crowded(members: DataFrame, labels: DataFrame, nodes: DataFrame, parts: int
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
-    """The pairs whose texts align. Only texts that a pair names are read past the scan."""
-    ids = stored(pairs.select(F.col("low").alias("doc")).union(pairs.select("high")).distinct(), "named", 2 * pairs.count())
-    named = F.broadcast(ids) if ids.count() <= BROADCAST_NODES else ids
-    texts = rows.withColumnRenamed("key", "doc").join(named, "doc")
-    both = pairs.select("low", "high").join(texts.withColumnsRenamed({"doc": "low", "text": "one"}), "low").join(texts.withColumnsRenamed({"doc": "high", "text": "two"}), "high")
+    """The pairs whose texts align. rows are bucketed by key: pairs go to the texts, and of the two
+    texts of a pair one moves, once it is known to be in a pair."""
+    one, two = (rows.select(F.col("key").alias(k), F.col("text").alias(t)) for k, t in (("low", "one"), ("high", "two")))
+    both = one.join(pairs.select("low", "high").hint("shuffle_hash"), "low")
+    both = two.join(both.hint("shuffle_hash"), "high")
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -429,7 +427,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _classes(texts: DataFrame, least: float, sketches: int, first_pairs: int) -> DataFrame:
-    """(key, doc, n, class_id) of the stored rows (key, doc, text)."""
+    """(key, doc, n, class_id) of the rows (key, doc, text), which are stored bucketed by key."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = texts.select("key", "text")
     whole = stored(_signatures(texts, sketches), "sketches")
@@ -478,7 +476,7 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKET
     """
     id_, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
     rows = docs.select(id_.alias("doc"), text.alias("text"))
-    known = stored(rows.filter("doc IS NOT NULL").select(F.monotonically_increasing_id().alias("key"), "doc", "text"), "texts")
+    known = bucketed(rows.filter("doc IS NOT NULL").select(F.monotonically_increasing_id().alias("key"), "doc", "text"), "key", "texts")
     out = _classes(known, least, sketches, first_pairs).select("doc", "n", "class_id")
     discard(known)
     out = out.unionByName(rows.filter("doc IS NULL").select("doc", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("class_id")))
@@ -495,9 +493,8 @@ def drop_near_copies(docs: DataFrame, least: float = SIMILARITY, sketches: int =
     columns are carried inside one of their own, so no name can clash.
     """
     kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = stored(docs.select(F.monotonically_increasing_id().alias("key"), kept.alias("row")), "rows")
+    rows = bucketed(docs.select(F.monotonically_increasing_id().alias("key"), kept.alias("row")), "key", "rows")
     texts = rows.select("key", F.col("row")[id_col].cast("long").alias("doc"), F.col("row")[text_col].alias("text")).filter("doc IS NOT NULL")
     copies = _classes(texts, least, sketches, first_pairs).filter("doc > class_id").select("key")
-    # up to a checked number of keys the texts need not move
-    gone = F.broadcast(copies) if copies.count() <= BROADCAST_NODES else copies
-    return rows.join(gone, "key", "left_anti").select("row.*")
+    # keys go to the buckets of the rows, at any number of them
+    return rows.join(copies.hint("shuffle_hash"), "key", "left_anti").select("row.*")

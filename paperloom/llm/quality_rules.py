@@ -249,4 +249,5 @@ def keep_quality(docs: DataFrame, model: QualityModel, text_col: str = "text") -
                 kept = ~base_failed(stats.counts) & (shared.value.scores(stats) <= 1)
                 yield batch.slice(block.lo, block.hi - block.lo).filter(pa.array(kept))
 
-    return docs.mapInArrow(sifted, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names that need no quoting
+    return plain.mapInArrow(sifted, plain.schema).toDF(*docs.columns)

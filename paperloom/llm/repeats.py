@@ -28,17 +28,17 @@ sort brings equal ones next to each other.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .frames import discard, own_settings, shared_dir, stored
+from .frames import bucketed, discard, stored
 from .text import Block, blocks, mix
 
 LENGTH = 50
@@ -52,8 +52,6 @@ CROWD = 65_536
 SOLVED = 4_096
 #: Bytes of text whose anchors form a range of the hash space (about as many bytes are held for it).
 RANGE_BYTES = 1 << 20
-#: Files that the table of texts may be written to without dealing rows out first.
-FILES = 5_000
 _ENTRY = np.dtype([("place", "<u4"), ("a", "u1"), ("b", "u1")])  # an anchor; its strings start b to a bytes before it
 _SPAN = np.dtype([("first", "<u4"), ("last", "<u4")])  # removed string starts
 _LEAD = 0xFFFFFFFF
@@ -516,25 +514,16 @@ def _alone(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
             yield _dealt(keys[gone], values, buckets)
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(key, doc, text, digest, size, row): a table bucketed by key, a number of the row's own, so that
-    each step joins its small lists without moving the texts again. Where writing straight would
-    leave too many files, rows are dealt out first."""
-    spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    each step joins its small lists without moving the texts again."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(
-        F.monotonically_increasing_id().alias("key"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), text.alias("text"),
+        F.monotonically_increasing_id().alias("key"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID)).alias("doc"), text.alias("text"),
         F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), F.octet_length(text).cast("long").alias("size"),
         F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"),
     )
-    if docs.rdd.getNumPartitions() * parts > FILES:
-        rows = rows.repartition(parts, "key")
-    name = f"paperloom_texts_{uuid.uuid4().hex}"
-    with own_settings(spark):
-        rows.write.bucketBy(parts, "key").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").format("parquet").saveAsTable(name)
-    table = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")  # the entry only: the files stay, and the frame reads them
-    return table
+    return bucketed(rows, "key", "texts")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -542,7 +531,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stands in a smaller document and, if not, the starts of its repeated strings as packed ranges;
     its columns but the text are the struct ``row``. See ``cut_repeats``."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = _texts(docs, id_col, text_col, parts)
+    texts = _texts(docs, id_col, text_col)
     long = texts.filter(F.col("size") >= LENGTH)
     firsts = long.groupBy("digest").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("most > least").select("digest", "least")
     copies = stored(long.select("key", "doc", "digest").join(firsts, "digest").filter("doc > least").select("key"), "copies")
@@ -577,10 +566,9 @@ def removed(block: Block, copies: np.ndarray, column: pa.Array) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _cut(found: DataFrame, row: bool) -> DataFrame:
-    """(row or id, n_bytes, n_removed, n_spans, kept_sha256, text) with the repeated bytes out."""
-    carried = "row" if row else "doc"
-    found = found.select(carried, "text", "copy", "spans")
+def _cut(found: DataFrame, carried: Column, row: bool) -> DataFrame:
+    """(carried, n_bytes, n_removed, n_spans, kept_sha256, text) with the repeated bytes out."""
+    found = found.select(carried.alias("carried"), "text", "copy", "spans")
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -597,8 +585,9 @@ def _cut(found: DataFrame, row: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, block.hi - block.lo), *columns], ["carried", *schema.names])
 
     schema = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
-    kind = found.schema[carried].dataType.simpleString()
-    return found.mapInArrow(finished, f"carried {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
+    numbers = [T.StructField(name, T.LongType()) for name in ("n_bytes", "n_removed", "n_spans")]
+    texts = [T.StructField(name, T.StringType()) for name in ("kept_sha256", "text")]
+    return found.mapInArrow(finished, T.StructType([found.schema["carried"], *numbers, *texts]))
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -607,21 +596,25 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Removed is each byte covered by a 50-byte string of the row's UTF-8 text that also starts in a
     row of smaller id. Strings are judged on the input, overlaps count, and none crosses rows.
 
-    Ids are whole numbers. A null id counts as larger than any; null text is empty; a text under
+    Ids are whole numbers. A null id counts as 2**63 - 1, the largest; null text is empty; a text under
     50 bytes keeps all; a very long one is handled whole (a task holds it, and about ten times its
     size for its anchors). Rows that repeat an id do not remove from each other; repeated rows get
     the same result. An empty table gives an empty result; other columns are left out.
     """
-    out = _cut(repeated_spans(docs.select(id_col, text_col), id_col, text_col), row=False)
-    id_ = F.when(F.col("carried") == LAST_ID, None).otherwise(F.col("carried"))
-    return out.select(id_.cast(docs.schema[id_col].dataType).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = repeated_spans(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text")
+    out = _cut(found, F.col("row")["id"], row=False)
+    return out.select(F.col("carried").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, with the repeated bytes cut from the text, and n_chars (if
     there) that of the text left. A character that a cut breaks is left out. Rows of which nothing
-    is left stay, with an empty text."""
-    out = _cut(repeated_spans(docs, id_col, text_col), row=True)
+    is left stay, with an empty text.
+
+    Null and repeated ids, ties, null and very long texts, repeated rows and an empty table as in
+    ``cut_repeats``: rows with one id do not cut each other, and each row comes back once. Other columns
+    travel in one of their own, whatever their names."""
+    out = _cut(repeated_spans(docs, id_col, text_col), F.col("row"), row=True)
     columns = {c: F.col("carried")[c] for c in docs.columns if c != text_col} | {text_col: F.col("text")}
     if "n_chars" in columns:
         columns["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)

@@ -47,4 +47,4 @@ def test_run_and_registry(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 0 and "ids" in out.columns
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 14))
