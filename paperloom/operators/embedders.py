@@ -81,9 +81,11 @@ def embedded(rows: DataFrame, embedder: Embedder, text_col: str = "content", out
             model = model or _model(embedder)
             found = vectors_of(model, batch.column(at).to_pylist(), embedder.width, embedder.batch)
             ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * embedder.width)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(found.ravel()))], [*batch.schema.names, out_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(found.ravel()))], [*batch.schema.names, "vector"])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out_col, T.ArrayType(T.FloatType()))]))
+    plain = kept.toDF(*[f"c{i}" for i in range(len(kept.columns))])  # names that need no quoting
+    out = plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))]))
+    return out.toDF(*kept.columns, out_col)
 
 
 def letter_counts() -> Model:
