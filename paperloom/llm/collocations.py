@@ -6,11 +6,12 @@ phrases and merges them there, so equal phrases stand next to each other and the
 the merged trie the first words of a phrase are its ancestors (a walk to the parents gives left
 counts) and its last words are reached by suffix links (right counts).
 
-Only phrases that occur ``least`` times matter, and no phrase occurs more often than a part of it.
-The trie is therefore grown in three passes: words, pairs of frequent words, and paths whose pairs
-are all frequent. What is frequent travels as a Bloom filter of at most MOST_BITS bits: a chance hit
-only lets a phrase be counted that the exact count then drops, and beyond that size the filter passes
-more and the counts stay right. All counts cover every document.
+Only phrases that occur ``least`` times matter, and no phrase occurs more often than a part of it, so a
+first pass counts words and pairs of words by 64-bit names, packed in ranges of their space, and the
+tries grow only along words and pairs that are frequent by that count. What is frequent travels as a
+Bloom filter of at most MOST_BITS bits. A chance agreement of names, or a chance hit of the filter, only
+lets a phrase be counted that its exact count then drops; beyond that size the filter passes more, and
+the counts stay right. All counts cover every document.
 """
 
 from __future__ import annotations
@@ -29,11 +30,15 @@ from .frames import discard, stored
 from .text import Block, Fingerprints, blocks, mix, word_ids
 
 DEPTH, LEAST, SCORE, SHARE, TOP = 4, 30, 2_000_000, 80, 2000
-#: Words whose trie a task grows before it serialises it.
-SHARD_WORDS = 2_000_000
+#: Words whose trie a task grows before it serialises it, and names that it folds before it sends them.
+SHARD_WORDS, FOLDED = 400_000, 1_000_000
+#: Bytes of text whose names form a range of their space.
+RANGE_BYTES = 2 << 20
 #: The filter: bits for each entry, and of all at most (64 MB); it travels in chunks of this many bits.
 ENTRY_BITS, MOST_BITS, CHUNK_BITS = 16, 1 << 29, 1 << 19
 _COUNTED = "lang string, phrase string, words int, f long"
+_NAMED = np.dtype([("low", "<u4"), ("high", "u1"), ("n", "<u2")])  # 40 bits of a name, and its count up to 65,535
+_MANY = 65_535
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -69,12 +74,73 @@ def named(langs: np.ndarray, *words: np.ndarray) -> np.ndarray:
     return name
 
 
-def hashes_of(texts: list[bytes]) -> np.ndarray:
-    """The hash that every task gives to a text."""
-    if not texts:
-        return np.zeros(0, np.uint64)
-    end = np.cumsum([len(t) for t in texts])
-    return Fingerprints(np.frombuffer(b"".join(texts), np.uint8)).spans(end - [len(t) for t in texts], end)
+def keys_of(names: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(range, 40 bits, key) of names: the key is made of the other two. Ranges follow the names' order."""
+    to = (names >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+    low = names & np.uint64((1 << 40) - 1)
+    return to, low, mix(to * np.uint64(0x9E3779B97F4A7C15) + low)
+
+
+class Spoken:
+    """The words of a block, with the names of each and of each with the next one of its piece."""
+
+    def __init__(self, block: Block, langs: list[str]):
+        self.data, self.start, self.end, piece, self.document = piece_words(block)
+        hashes = Fingerprints(self.data).spans(self.start, self.end)
+        text = "".join(langs).encode()
+        end = np.cumsum([len(x.encode()) for x in langs])
+        of = Fingerprints(np.frombuffer(text, np.uint8)).spans(np.append(0, end[:-1]), end)[self.document]
+        self.follows = np.zeros(len(hashes), bool)  # the next word is of the same piece
+        self.follows[:-1] = piece[1:] == piece[:-1]
+        at = np.flatnonzero(self.follows)
+        self.words, self.pairs = named(of, hashes), named(of[at], hashes[at], hashes[at + 1])
+
+
+def _named(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, text) to the counted names of their words and pairs, packed by range."""
+
+    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+        names, count = np.unique(np.concatenate(held), return_counts=True)
+        to, low, _ = keys_of(names, ranges)
+        packed = np.empty(len(names), _NAMED)
+        packed["low"], packed["high"], packed["n"] = low & np.uint64(0xFFFFFFFF), low >> np.uint64(32), np.minimum(count, _MANY)
+        cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
+        payloads = [packed[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(to[cuts[:-1]].astype(np.int64)), pa.array(payloads, pa.binary())], ["range", "payload"])
+
+    held: list[np.ndarray] = []
+    for batch in batches:
+        langs = batch.column(0).to_pylist()
+        for block in blocks(batch.column(1)):
+            spoken = Spoken(block, langs[block.lo : block.hi])
+            held += [spoken.words, spoken.pairs]
+            if sum(map(len, held)) >= FOLDED:
+                yield flush(held)
+                held = []
+    if sum(map(len, held)):
+        yield flush(held)
+
+
+def _frequent(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_named``, sorted by range, to the keys of the frequent names. One range is held."""
+
+    def done(at: int, held: list[bytes]) -> pa.RecordBatch:
+        packed = np.frombuffer(b"".join(held), _NAMED)
+        low, back = np.unique(packed["low"].astype(np.uint64) | packed["high"].astype(np.uint64) << np.uint64(32), return_inverse=True)
+        low = low[np.bincount(back, packed["n"]) >= min(least, _MANY)]
+        keys = mix(np.full(len(low), at, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + low)
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["key"])
+
+    at, held = None, []
+    for batch in batches:
+        for to, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if held and to != at:
+                yield done(at, held)
+                held = []
+            at = to
+            held.append(payload)
+    if held:
+        yield done(at, held)
 
 
 class Filter:
@@ -101,102 +167,91 @@ class Filter:
 
 
 class Trie:
-    """Counts of word paths of the levels low..high of a shard's documents."""
+    """Counts of the word paths of a shard's documents, along frequent words and pairs."""
+
+    def __init__(self, depth: int, filter_: Filter, ranges: int):
+        self.depth, self.filter, self.ranges = depth, filter_, ranges
+        self._clear()
 
-    def __init__(self, low: int, high: int, filter_: Filter | None):
-        self.low, self.high, self.filter = low, high, filter_
+    def _clear(self) -> None:
         self.words: dict[bytes, int] = {}
-        self.langs: dict[bytes, int] = {}
+        self.langs: dict[str, int] = {}
+        self.totals: list[int] = []
         self.held: list[tuple] = []
         self.size = 0
 
+    def _has(self, names: np.ndarray) -> np.ndarray:
+        return self.filter.has(keys_of(names, self.ranges)[2])
+
     def add(self, block: Block, langs: list[str]) -> None:
-        data, start, end, piece, document = piece_words(block)
-        own, texts = word_ids(data, start, end)
+        spoken = Spoken(block, langs)
+        of = np.array([self.langs.setdefault(x, len(self.langs)) for x in langs], np.int64)[spoken.document]
+        self.totals += [0] * (len(self.langs) - len(self.totals))
+        for i, n in enumerate(np.bincount(of, minlength=len(self.langs)).tolist()):
+            self.totals[i] += n
+        self.size += len(of)
+        known = self._has(spoken.words)
+        goes_on = spoken.follows.copy()
+        goes_on[goes_on] = self._has(spoken.pairs)
+        goes_on[:-1] &= known[1:]
+        at = np.flatnonzero(known)
+        own, texts = word_ids(spoken.data, spoken.start[at], spoken.end[at])
         ids = np.array([self.words.setdefault(t, len(self.words)) for t in texts], np.int64)
-        of = np.array([self.langs.setdefault(x.encode(), len(self.langs)) for x in langs], np.int64)
-        if len(start):
-            self.held.append((ids[own], of[document], piece))
-            self.size += len(start)
+        if len(at):
+            self.held.append((ids[own], of[at], goes_on[at]))
 
     def paths(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(language, word ids a level, count) of the nodes, level by level. A node is its parent's
-        number and its last word."""
-        words, langs, pieces = [], [], []
-        shift = 0
-        for ids, of, piece in self.held:
-            words.append(ids), langs.append(of), pieces.append(piece + shift)
-            shift += int(piece[-1]) + 1
-        word, lang, piece = (np.concatenate(x) for x in (words, langs, pieces))
-        if self.filter is None:
-            follows = piece[1:] == piece[:-1]
-        else:
-            names = [hashes_of(list(x)) for x in (self.words, self.langs)]
-            follows = piece[1:] == piece[:-1]
-            at = np.flatnonzero(follows)
-            hashed, of = names[0][word], names[1][lang]
-            if self.low == 2:  # both words are frequent
-                known = np.zeros(len(word), bool)
-                some, back = np.unique(lang * len(self.words) + word, return_inverse=True)
-                known = self.filter.has(named(names[1][some // len(self.words)], names[0][some % len(self.words)]))[back]
-                follows &= known[1:] & known[:-1]
-            else:  # the pair is frequent
-                follows[at] = self.filter.has(named(of[at], hashed[at], hashed[at + 1]))
-        node, at = lang, np.arange(len(word))  # the nodes at depth 0 are the languages
-        path = np.zeros((len(self.langs), 0), np.int64)
-        of = np.arange(len(self.langs))
-        for depth in range(1, self.high + 1):
-            if depth > 1:  # go on where the next word follows
-                on = at + depth - 2 < len(follows)
-                on[on] = follows[at[on] + depth - 2]
+        number and its last word; the root's children are the languages."""
+        word, lang, goes_on = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        node, at = lang, np.arange(len(word))
+        path, of = np.zeros((len(self.langs), 0), np.int64), np.arange(len(self.langs))
+        for depth in range(1, self.depth + 1):
+            if depth > 1:  # where the next word follows, it is the next one kept
+                on = goes_on[at + depth - 2]
                 node, at = node[on], at[on]
+            if not len(at):
+                return
             key, node, count = np.unique(node * len(self.words) + word[at + depth - 1], return_inverse=True, return_counts=True)
             parent = key // len(self.words)
             path, of = np.concatenate([path[parent], (key % len(self.words))[:, None]], axis=1), of[parent]
-            if depth >= self.low and len(key):
-                yield of, path, count
+            yield of, path, count
 
     def serialised(self) -> Iterator[pa.RecordBatch]:
-        """The nodes in the order of (language, phrase)."""
-        if not self.size:
-            return
-        words, langs = (pa.array([x.decode() for x in known], pa.large_string()) for known in (self.words, self.langs))
-        parts = []
-        for of, path, count in self.paths():
+        """The nodes in the order of (language, phrase); a language's own node counts all its words."""
+        langs = pa.array(list(self.langs), pa.large_string())
+        parts = [pa.table([langs, pa.array([""] * len(langs), pa.large_string()), pa.array(np.zeros(len(langs), np.int32)), pa.array(self.totals, pa.int64())], ["lang", "phrase", "words", "f"])]
+        words = pa.array([x.decode() for x in self.words], pa.large_string())
+        for of, path, count in self.paths() if self.held else ():
             phrase = words.take(pa.array(path[:, 0]))
             for i in range(1, path.shape[1]):
                 phrase = pc.binary_join_element_wise(phrase, words.take(pa.array(path[:, i])), pa.scalar(" ", pa.large_string()))
             parts.append(pa.table([langs.take(pa.array(of)), phrase, pa.array(np.full(len(of), path.shape[1], np.int32)), pa.array(count.astype(np.int64))], ["lang", "phrase", "words", "f"]))
-        if parts:
-            whole = pa.concat_tables(parts)
-            whole = whole.take(pc.sort_indices(whole, [("lang", "ascending"), ("phrase", "ascending")]))
-            for batch in whole.to_batches(max_chunksize=10_000):
-                yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(batch.columns, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=whole.column_names)
-        self.words, self.langs, self.held, self.size = {}, {}, [], 0
+        whole = pa.concat_tables(parts)
+        whole = whole.take(pc.sort_indices(whole, [("lang", "ascending"), ("phrase", "ascending")]))
+        for batch in whole.to_batches(max_chunksize=10_000):
+            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(batch.columns, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=whole.column_names)
+        self._clear()
 
 
-def _shards(batches: Iterator[pa.RecordBatch], low: int, high: int, filter_: Broadcast | None) -> Iterator[pa.RecordBatch]:
+def _shards(batches: Iterator[pa.RecordBatch], depth: int, filter_: Broadcast, ranges: int) -> Iterator[pa.RecordBatch]:
     """Rows (lang, text) to the serialised tries of the task."""
-    trie = Trie(low, high, filter_ and Filter(*filter_.value))
+    trie = Trie(depth, Filter(*filter_.value), ranges)
     for batch in batches:
         langs = batch.column(0).to_pylist()
         for block in blocks(batch.column(1)):
             trie.add(block, langs[block.lo : block.hi])
             if trie.size >= SHARD_WORDS:
                 yield from trie.serialised()
-    yield from trie.serialised()
+    if trie.size:
+        yield from trie.serialised()
 
 
 def _bits(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Phrases to (chunk, one, two), the bits of their names."""
+    """Keys to (chunk, one, two), their bits."""
     for batch in batches:
-        phrases = [p.encode().split(b" ") for p in batch.column(1).to_pylist()]
-        langs = hashes_of([x.encode() for x in batch.column(0).to_pylist()])
-        if not phrases:
-            continue
-        depth = len(phrases[0])
-        columns = [hashes_of([p[i] for p in phrases]) for i in range(depth)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in Filter.places(named(langs, *columns), bits)], ["chunk", "one", "two"])
+        keys = np.asarray(batch.column(0)).view(np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in Filter.places(keys, bits)], ["chunk", "one", "two"])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,40 +274,38 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def frequent(counted: DataFrame) -> Broadcast:
-    """The filter of the phrases (all of as many words), as a broadcast of at most MOST_BITS bits."""
-    spark = counted.sparkSession
-    bits = CHUNK_BITS
-    n = counted.count()
+def frequent(texts: DataFrame, least: int, ranges: int) -> Broadcast:
+    """The filter of the words and pairs of words that are frequent by their names' count, as a
+    broadcast of at most MOST_BITS bits."""
+    spark = texts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed = texts.mapInArrow(partial(_named, ranges=ranges), "range long, payload binary")
+    keys = packed.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(partial(_frequent, least=least), "key long")
+    keys = stored(keys, "frequent")
+    bits, n = CHUNK_BITS, keys.count()
     while bits < min(n * ENTRY_BITS, MOST_BITS):
         bits *= 2
-    places = counted.select("lang", "phrase").mapInArrow(partial(_bits, bits=bits), "chunk long, one long, two long")
+    places = keys.mapInArrow(partial(_bits, bits=bits), "chunk long, one long, two long")
     rows = places.repartition(F.col("chunk")).sortWithinPartitions("chunk").mapInArrow(_chunks, "chunk long, bytes binary")
-    return spark.sparkContext.broadcast((bits, {r.chunk: bytes(r.bytes) for r in rows.collect()}))
+    found = spark.sparkContext.broadcast((bits, {r.chunk: bytes(r.bytes) for r in rows.collect()}))
+    discard(keys)
+    return found
 
 
 def merged_tries(texts: DataFrame, least: int = LEAST, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, words, f) of the phrases that occur ``least`` times or more, (lang, n words))
     of rows (lang, text)."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found, totals, filter_ = [], None, None
-    for low, high in ((1, 1), (2, 2), (3, depth)):
-        if low > depth:
-            break
-        tries = stored(texts.mapInArrow(partial(_shards, low=low, high=min(high, depth), filter_=filter_), _COUNTED), "tries")
-        # a range of phrases takes its part of every trie; sorted together, equal phrases are neighbours
-        merged = tries.repartitionByRange(parts, "lang", "phrase").sortWithinPartitions("lang", "phrase")
-        merged = merged.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
-        if low == 1:
-            totals = stored(tries.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
-        kept = stored(merged.filter(F.col("f") >= least), "phrases")
-        discard(tries)
-        found.append(kept)
-        filter_ = frequent(kept) if high < depth else None
-    nodes = found[0]
-    for more in found[1:]:
-        nodes = nodes.unionByName(more)
-    return nodes, totals
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(64, size // RANGE_BYTES)
+    shards = texts.mapInArrow(partial(_shards, depth=depth, filter_=frequent(texts, least, ranges), ranges=ranges), _COUNTED)
+    tries = stored(shards, "tries")
+    # a range of phrases takes its part of every trie; sorted together, equal phrases are neighbours
+    merged = tries.repartitionByRange(parts, "lang", "phrase").sortWithinPartitions("lang", "phrase")
+    merged = merged.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
+    kept = stored(merged.filter((F.col("f") >= least) | (F.col("words") == 0)), "phrases")
+    discard(tries)
+    return kept.filter("words > 0"), kept.filter("words = 0").select("lang", F.col("f").alias("n"))
 
 
 def _counts_of_parts(nodes: DataFrame, depth: int) -> DataFrame:

@@ -71,6 +71,8 @@ def test_equals_plain_counting(spark, seed):
 
 def test_many_small_tries(spark, monkeypatch):
     monkeypatch.setattr(C, "SHARD_WORDS", 40)
+    monkeypatch.setattr(C, "FOLDED", 60)
+    monkeypatch.setattr(C, "RANGE_BYTES", 100)
     monkeypatch.setattr(C, "blocks", lambda column: __import__("paperloom.llm.text", fromlist=["blocks"]).blocks(column, 200))
     rows = rows_of(7)
     assert found(C.collocations(frame(spark, rows).repartition(5), least=5)) == sorted(brute(rows, 5))
