@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import kilobytes, megabytes, not_blank, or_empty, percent
+from ..functions.text import bound, kilobytes, megabytes, not_blank, or_empty, percent, segments
 
 
 def row_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_rows"))
 
 
-def segmentation_stats(docs: DataFrame, segmented: DataFrame) -> DataFrame:
-    """(doc_id, n_lines, n_blank, n_paragraphs, mean_chars); the mean is null without paragraphs."""
-    lines = F.split(F.regexp_replace(or_empty(F.col("text")), r"\r\n?", "\n"), "\n")
-    per = docs.select("doc_id", F.size(lines).alias("n_lines"), F.size(F.filter(lines, lambda x: ~not_blank(x))).alias("n_blank"))
-    found = segmented.groupBy("doc_id").agg(F.count("*").alias("n_paragraphs"), F.avg(F.char_length("content")).alias("mean_chars"))
-    return per.join(found, "doc_id", "left").select("doc_id", "n_lines", "n_blank", F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"), F.round("mean_chars", 6).alias("mean_chars"))
+def segmentation_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(doc_id, n_lines, n_blank, n_paragraphs, mean_chars), all on the document's own row; the mean is
+    null without paragraphs."""
+    lines = F.split(F.regexp_replace(or_empty(F.col(text_col)), r"\r\n?", "\n"), "\n")
+    of_lines = bound(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.filter(x, lambda line: ~not_blank(line))).alias("blank")))
+    sizes = F.transform(segments(F.col(text_col)), F.char_length)
+    mean = bound(sizes, lambda x: F.struct(F.size(x).alias("n"), F.try_divide(F.aggregate(x, F.lit(0).cast("long"), lambda s, n: s + n).cast("double"), F.size(x).cast("double")).alias("mean")))
+    rows = docs.select("doc_id", of_lines.alias("lines"), mean.alias("parts"))
+    return rows.select("doc_id", F.col("lines.n").alias("n_lines"), F.col("lines.blank").alias("n_blank"), F.col("parts.n").cast("long").alias("n_paragraphs"), F.round("parts.mean", 6).alias("mean_chars"))
 
 
 def stage_metrics(documents: DataFrame, stages: dict[str, DataFrame], column: str = "content") -> DataFrame:
@@ -43,5 +46,10 @@ def retention(before: DataFrame, after: DataFrame) -> DataFrame:
     """(doc_id, n_before, n_after, percent), and a total row whose doc_id is null. A document with
     nothing before has a null percent."""
     both = before.select("doc_id", F.lit(1).alias("b"), F.lit(0).alias("a")).unionByName(after.select("doc_id", F.lit(0).alias("b"), F.lit(1).alias("a")))
-    sums = both.rollup("doc_id").agg(F.sum("b").alias("n_before"), F.sum("a").alias("n_after"))
+    return retention_of(both.groupBy("doc_id").agg(F.sum("b").alias("n_before"), F.sum("a").alias("n_after")))
+
+
+def retention_of(counts: DataFrame) -> DataFrame:
+    """``retention`` from rows (doc_id, n_before, n_after), such as a document's own row has them."""
+    sums = counts.rollup("doc_id").agg(F.sum("n_before").alias("n_before"), F.sum("n_after").alias("n_after"))
     return sums.withColumn("percent", F.round(percent(F.col("n_after"), F.col("n_before")), 4))

@@ -158,12 +158,12 @@ def page_outputs(spark, sf_dir):
 
 
 @query(r"""WITH counts AS (
-  SELECT doc_id, list_transform(list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> ''), lambda s: length(regexp_extract_all(s, '\S+'))::INT) AS n FROM documents),
+  SELECT doc_id, list_transform(list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> ''), lambda s: length(regexp_extract_all(s, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'))::INT) AS n FROM documents),
 packed AS (
   SELECT doc_id, list_reduce(n, lambda acc, x: CASE WHEN len(acc) = 0 THEN [x] WHEN acc[-1] + x > 200 THEN acc || [x] ELSE acc[:len(acc) - 1] || [acc[-1] + x] END, []::INT[]) AS sizes FROM counts)
 SELECT doc_id, (generate_subscripts(sizes, 1) - 1)::INT AS chunk_no, unnest(sizes) AS n_tokens FROM packed""")
 def pack_chunks(spark, sf_dir):
-    pairs = F.transform(T.sentences(F.col("text")), lambda s: F.struct(s.alias("text"), T.word_count(s).alias("n")))
+    pairs = F.transform(T.sentences(F.col("text")), lambda s: F.struct(s.alias("text"), T.token_count(s).alias("n")))
     chunks = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(packed(pairs, 200)).alias("chunk_no", "chunk"))
     return chunks.select("doc_id", "chunk_no", F.col("chunk.n_tokens").alias("n_tokens"))
 
@@ -338,12 +338,11 @@ def validate_json(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", J.valid(broken).alias("valid_before"), J.valid(J.sanitize(broken)).alias("valid_after"))
 
 
-@query("""SELECT event_id, CASE WHEN length(props) >= length(event_type) + 4 THEN props ELSE '{"' || event_type || '"}' END AS block
-FROM events WHERE props NOT LIKE '%{%{%'""")
+@query("""SELECT event_id, CASE WHEN length(props) >= length(event_type) + 4 THEN props ELSE '{"' || event_type || '"}' END AS block FROM events""")
 def longest_json_block(spark, sf_dir):
-    """The longest balanced block of a text with two of them (nested props are tested apart)."""
+    """The longest balanced block of a text with two of them; props that hold braces are one block."""
     text = "'one ' || props || ' two {\"' || event_type || '\"} }'"
-    return _table(spark, sf_dir, "events").filter("props NOT LIKE '%{%{%'").select("event_id", J.longest_block(F.expr(text)).alias("block"))
+    return _table(spark, sf_dir, "events").select("event_id", J.longest_block(F.expr(text)).alias("block"))
 
 
 @query("""SELECT event_id, unnest([0, 1])::INT AS no, unnest(['temperature', 'pressure']) AS type, unnest([(user_id || ' K'), NULL]) AS value FROM events""")
@@ -397,8 +396,7 @@ lines AS (SELECT doc_id, string_split(replace(text, chr(10), chr(10) || chr(10))
 SELECT doc_id, len(l)::INT AS n_lines, len(list_filter(l, lambda x: NOT regexp_matches(x, '\S')))::INT AS n_blank, coalesce(n, 0) AS n_paragraphs, mean_chars
 FROM lines LEFT JOIN found USING (doc_id)""")
 def segmentation_stats(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    return metrics.segmentation_stats(docs, _paragraphs(spark, sf_dir))
+    return metrics.segmentation_stats(_docs(spark, sf_dir))
 
 
 def _stages(spark, sf_dir):
@@ -421,8 +419,13 @@ def stage_metrics(spark, sf_dir):
 SELECT doc_id, count(*) AS n_before, count(*) FILTER ({_GATED}) AS n_after, round(count(*) FILTER ({_GATED}) * 100.0::DOUBLE / count(*), 4) AS percent
 FROM paragraphs GROUP BY ROLLUP (doc_id)""")
 def retention_ratio(spark, sf_dir):
-    stages = _stages(spark, sf_dir)
-    return metrics.retention(stages["processed"], stages["filtered"])
+    """Counted over the paragraphs on the document's own row."""
+    def counts(parts):
+        gated = F.filter(parts, lambda p: T.contains_any(p, GATE))
+        return F.struct(F.size(parts).cast("long").alias("n_before"), F.size(gated).cast("long").alias("n_after"))
+
+    rows = _docs(spark, sf_dir).select("doc_id", T.bound(T.segments(F.col("text")), counts).alias("n")).select("doc_id", "n.*")
+    return metrics.retention_of(rows.filter("n_before > 0"))
 
 
 @query(f"""WITH {_PAGED},
