@@ -450,9 +450,13 @@ def resume_left_anti(spark, sf_dir):
     return remaining(_table(spark, sf_dir, "documents").select("doc_id", "source"), _table(spark, sf_dir, "labels"))
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(
-regexp_replace(regexp_replace(html, '(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),
-'&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages""")
+_TAG = r"""(?:[^>"']|"[^"]*(?:"|\z)|'[^']*(?:'|\z))*>?"""
+_MARKUP = rf"""(?i)<!--(?s:.*?)(?:-->|\z)|<script(?:[\s/]{_TAG}|>)(?s:.*?)(?:</script(?:[\s/][^>]*)?>|\z)|<style(?:[\s/]{_TAG}|>)(?s:.*?)(?:</style(?:[\s/][^>]*)?>|\z)|<[!?][^>]*>?|</?[a-z][^\s/>]*{_TAG}""".replace("'", "''")
+
+
+@query(rf"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(
+regexp_replace(html, '{_MARKUP}', ' ', 'g'),
+'&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&nbsp;', ' '), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages""")
 def html_text(spark, sf_dir):
     return html_to_text(_table(spark, sf_dir, "pages"))
 
