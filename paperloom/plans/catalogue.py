@@ -24,6 +24,7 @@ from ..operators.sentences import abbreviations, scored, split_sentences, stop_c
 from ..operators.similarity import cosine, embed_and_compare, term_similarity, top_by_group, top_by_references, top_rows
 from ..sources.files import priority_files, section_files, write_files
 from ..sources.readers import html_to_text, markdown_tables
+from ..sources.texts import read_texts
 from ..sources.sinks import output_name, remaining
 from .pipeline import Pipeline
 from .shared import shared_path
@@ -445,6 +446,15 @@ def written_files(spark, sf_dir):
     return files.select(F.regexp_extract("path", "[^/]+/[^/]+$", 0).alias("file"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("digest"))
 
 
+@query("SELECT source || '/' || doc_id AS doc_id, strlen(text)::BIGINT AS size, sha256(text) AS digest FROM documents")
+def text_files(spark, sf_dir):
+    """Every text written to a file in its source's folder, and read by the text source."""
+    path = shared_path(spark, "texts")
+    rows = _table(spark, sf_dir, "documents")
+    write_files(rows.select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("name"), "text").select(F.concat("name", F.lit(".txt")).alias("file"), F.lit(0).alias("pos"), F.col("text").alias("value")), path)
+    return read_texts(spark, path).select("doc_id", "size", F.sha2("text", 256).alias("digest"))
+
+
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def resume_left_anti(spark, sf_dir):
     return remaining(_table(spark, sf_dir, "documents").select("doc_id", "source"), _table(spark, sf_dir, "labels"))
