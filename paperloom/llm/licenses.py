@@ -1,11 +1,14 @@
 """License scans by conditional compression.
 
-A document's candidate blocks are the words around its license words, as far as a notice may reach.
-A block is compressed once alone and once with each template as a raw dictionary, and templates are
-ranked by the bytes that the dictionary saves. A template is left out only if the block lacks one of
-its words that no notice may lack; all others are confirmed by exact wording, the highest rank first:
-the template's words are aligned, and what differs decides. Names, numbers and negations must be as
-in the template. Of places that overlap the longer one stays, of equal ones that of the higher rank.
+A document's candidate blocks are the words around its license words, as far as a notice may reach. In
+a block, the windows where a template may stand are those about its rarest word. A window's words,
+lower-cased and with one space between, are compressed once alone and once with the template's as a
+raw dictionary. Templates are ranked by the bytes that the dictionary saves, and a window goes on only
+if it saves at least SAVES of the template's own size: one that holds the notice, with no more other
+words than a notice may have, saves far more. What goes on is confirmed by exact wording: the words are
+aligned, and what differs decides. Names, numbers and negations must be as in the template. A hole
+({}) stands for up to HOLE words, such as the name of a holder. Of places that overlap the longer one
+stays, of equal ones that of the higher rank. SPDX tags are read as expressions, every license of them.
 """
 
 from __future__ import annotations
@@ -22,17 +25,28 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_FSF = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License"
-# Notices and telling sentences of well-known licenses, by SPDX identifier.
+_FSF = "free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License"
+_NAME = "endorse or promote products derived from this software without specific prior written permission"
+
+
+def _named(*names: str) -> tuple[str, ...]:
+    """The short notices of a license by name."""
+    ways = ("Licensed under the {}", "Released under the {}", "distributed under the {}", "available under the {}", "under the terms of the {}")
+    return tuple(way.format(name) for name in names for way in ways)
+
+
+# Notices and telling sentences of well-known licenses, by SPDX identifier; [*] is a hole.
 TEMPLATES = {
     "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.", _FSF.format("Affero General Public License", "3"), "GNU AGPL v3", "AGPLv3"),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+        *_named("Apache License 2.0", "Apache 2.0 License"), "Licensed under Apache 2.0", "Apache License Version 2.0, January 2004",
     ),
-    "BSD-2-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
+    "BSD-2-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", *_named("BSD 2-Clause License")),
     "BSD-3-Clause": (
-        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        f"Neither the name of [*] nor the names of its contributors may be used to {_NAME}", f"The name of [*] may not be used to {_NAME}",
+        f"The names of [*] contributors may not be used to {_NAME}", *_named("BSD 3-Clause License"),
     ),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "Licensed under a Creative Commons Attribution 4.0 International License"),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
@@ -40,18 +54,24 @@ TEMPLATES = {
     "CC0-1.0": ("Dedicated to the public domain under CC0 1.0.",),
     "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", _FSF.format("General Public License", "2"), "GNU GPL v2", "GPLv2"),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", _FSF.format("General Public License", "3"), "GNU GPL v3", "GPLv3"),
-    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", *_named("ISC License")),
     "LGPL-2.1": ("This work is licensed under the GNU Lesser General Public License, version 2.1.", _FSF.format("Lesser General Public License", "2.1"), "GNU LGPL v2.1"),
     "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.", _FSF.format("Lesser General Public License", "3"), "GNU LGPL v3", "LGPLv3"),
-    "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "MIT": (
+        *_named("MIT License"), "MIT License Copyright",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    ),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", *_named("Mozilla Public License 2.0")),
     "Unlicense": ("This is free and unencumbered software released into the public domain",),
-}
+}
+#: Words that a hole may stand for, at most; and the share of a template's bytes that a window must save.
+HOLE, SAVES, SHORT = 12, 0.15, 60  # templates of fewer bytes than SHORT are always aligned
 #: An SPDX tag is one more template of each license, with or without one of these endings.
 TAG, ENDINGS = "SPDX-License-Identifier: {}", ("", "-only", "-or-later")
 #: A notice that two licenses share stands for the first only where no sentence of the second follows within so many characters.
 SHARED, FOLLOWS = {"BSD-2-Clause": "BSD-3-Clause"}, 2000
-TRIGGER = re.compile(r"licen[cs]e|released\s+under|hereby\s+granted|permission\s+is\s+hereby|public\s+domain|redistribution\s+and\s+use|neither\s+the\s+name|SPDX|\b[AL]?GPL", re.IGNORECASE)
+EXPRESSION = re.compile(r"SPDX-License-Identifier:[ \t]*([^\r\n]*)")
+TRIGGER = re.compile(r"licen[cs]e|free\s+software|released\s+under|hereby\s+granted|permission\s+is\s+hereby|public\s+domain|redistribution\s+and\s+use|neither\s+the\s+name|names?\s+of|SPDX|\b[AL]?GPL", re.IGNORECASE)
 WORD = re.compile(r"[A-Za-z0-9]+(?:[.\-][A-Za-z0-9]+)*")
 # Words that may differ from a template without making it another license.
 LOOSE = frozenset("a an and are as at be by file for in is it of on or released software source that the these this to under was with work works".split())
@@ -68,11 +88,20 @@ class Finding(NamedTuple):
     differences: int  # words
 
 
+class Part(NamedTuple):
+    """The words of a template between two holes."""
+
+    words: list[str]
+    needed: frozenset[str]
+
+
 class Template(NamedTuple):
     license: str
     words: list[str]
     needed: frozenset[str]
     with_it: zstandard.ZstdCompressor
+    size: int  # bytes of its words, joined by spaces
+    parts: list[Part]
 
 
 def words_of(text: str) -> list[tuple[str, int, int]]:
@@ -89,44 +118,70 @@ class Scanner:
         self.alone = zstandard.ZstdCompressor(level=level)
         self.templates = []
         for key, text in every_text(templates):
-            words = [w for w, _, _ in words_of(text)]
-            raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.templates.append(Template(key, words, frozenset(words) - LOOSE, zstandard.ZstdCompressor(level=level, dict_data=raw)))
+            parts = [Part(p, frozenset(p) - LOOSE) for p in ([w for w, _, _ in words_of(t)] for t in text.split("[*]"))]
+            words = [w for p in parts for w in p.words]
+            plain = " ".join(words).encode()
+            raw = zstandard.ZstdCompressionDict(plain, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            self.templates.append(Template(key, words, frozenset(words) - LOOSE, zstandard.ZstdCompressor(level=level, dict_data=raw), len(plain), parts))
         self.reach = 2 * max((len(t.words) for t in self.templates), default=0)  # words of a notice about a trigger, at most
         self.loose = loose
+        self.known = set(templates)
 
     def ranked(self, block: str, templates: list[Template] | None = None) -> list[tuple[int, Template]]:
-        """Templates by the bytes their dictionary saves, largest first."""
-        raw = block.encode()
+        """Templates by the bytes their dictionary saves in a block's words, largest first."""
+        return self._ranked([w for w, _, _ in words_of(block)], self.templates if templates is None else templates)
+
+    def _ranked(self, words: list[str], templates: list[Template]) -> list[tuple[int, Template]]:
+        raw = " ".join(words).encode()
         base = len(self.alone.compress(raw))
-        found = [(base - len(t.with_it.compress(raw)), t) for t in (self.templates if templates is None else templates)]
-        return sorted(found, key=lambda x: (-x[0], x[1].license))
+        return sorted(((base - len(t.with_it.compress(raw)), t) for t in templates), key=lambda x: (-x[0], x[1].license))
+
+    def candidate(self, words: list[str], template: Template) -> bool:
+        """Whether a window saves enough under the template's dictionary to be aligned with it."""
+        return template.size < SHORT or self._ranked(words, [template])[0][0] >= SAVES * template.size
 
     def confirmed(self, words: list[tuple[str, int, int]], index: dict[str, list[int]], template: Template) -> list[tuple[int, int, int]]:
-        """(first word, word after the last, differing words) of the places that state the template.
+        """(first word, word after the last, differing words) of the places that state the template:
+        each part's places, and of these the first ones that follow on one another over holes."""
+        chains = [(a, b, d) for a, b, d in self._places(words, index, template, template.parts[0])]
+        for part in template.parts[1:]:
+            places = self._places(words, index, template, part)
+            starts = [a for a, _, _ in places]
+            longer = []
+            for begin, end, differ in chains:
+                i = bisect_left(starts, end)
+                if i < len(places) and starts[i] - end <= HOLE:
+                    longer.append((begin, places[i][1], differ + places[i][2]))
+            chains = longer
+        return chains
+
+    def _places(self, words: list[tuple[str, int, int]], index: dict[str, list[int]], template: Template, part: Part) -> list[tuple[int, int, int]]:
+        """A part's places, from left to right.
 
         A place has all words that are not loose, so each is sought about the occurrences of the
-        rarest of them, from left to right: the template's words are aligned at the cheapest place
-        near one, with free ends. A difference in a word that is not loose, or in more than a tenth
-        of the words, is another wording.
+        rarest of them: the part's words are aligned at the cheapest place near one, with free ends. A
+        difference in a word that is not loose, or in more than a tenth of the words, is another wording.
         """
         out, at = [], 0
-        near = len(template.words) + int(self.loose * len(template.words)) + 1
-        for hit in min((index[w] for w in template.needed), key=len):
+        near = len(part.words) + int(self.loose * len(part.words)) + 1
+        whole = len(template.words) + int(self.loose * len(template.words)) + 1 + HOLE * (len(template.parts) - 1)
+        for hit in min((index[w] for w in part.needed), key=len):
+            if hit < at or not self.candidate([w for w, _, _ in words[max(0, hit - whole) : hit + whole + 1]], template):
+                continue
             while hit >= at:
                 lo, hi = max(at, hit - near), min(len(words), hit + near + 1)
-                begin, end, cost = _best_place(template.words, [w for w, _, _ in words[lo:hi]])
+                begin, end, cost = _best_place(part.words, [w for w, _, _ in words[lo:hi]])
                 begin, end = lo + begin, lo + end
-                if begin == end or cost > self.loose * len(template.words):
+                if begin == end or cost > self.loose * len(part.words):
                     break
                 there = [w for w, _, _ in words[begin:end]]
                 differ = 0
-                sound = not (begin and words[begin - 1][0] in NEGATIONS)
-                for kind, a, b, c, d in difflib.SequenceMatcher(None, template.words, there, autojunk=False).get_opcodes():
+                sound = not (begin and words[begin - 1][0] in NEGATIONS and part is template.parts[0])
+                for kind, a, b, c, d in difflib.SequenceMatcher(None, part.words, there, autojunk=False).get_opcodes():
                     if kind != "equal":
                         differ += max(b - a, d - c)
-                        sound &= LOOSE.issuperset(template.words[a:b]) and LOOSE.issuperset(there[c:d])
-                if sound and differ <= self.loose * len(template.words):
+                        sound &= LOOSE.issuperset(part.words[a:b]) and LOOSE.issuperset(there[c:d])
+                if sound and differ <= self.loose * len(part.words):
                     out.append((begin, end, differ))
                 at = end
         return out
@@ -136,19 +191,27 @@ class Scanner:
         index: dict[str, list[int]] = {}
         for i, (word, _, _) in enumerate(words):
             index.setdefault(word, []).append(i)
-        open_ = [t for t in self.templates if all(w in index for w in t.needed)]
-        if not open_:
-            return []
         found = []
-        # a longer block would only tell how much of it is no notice: its places are ranked instead
-        order = [t for _, t in self.ranked(text[words[0][1] : words[-1][2]], open_)] if len(words) <= 2 * self.reach else open_
-        for template in order:
+        for template in (t for t in self.templates if all(w in index for w in t.needed)):
             for a, b, differ in self.confirmed(words, index, template):
                 start, end = words[a][1], words[b - 1][2]
-                saved = self.ranked(text[max(0, start - 200) : end + 200], [template])[0][0]
-                found.append(Finding(template.license, start, end, saved, differ))
+                found.append(Finding(template.license, start, end, self.ranked(text[max(0, start - 200) : end + 200], [template])[0][0], differ))
         return found
 
+    def expressions(self, text: str) -> list[Finding]:
+        """Every known license that an SPDX tag names besides its first; what follows WITH is none."""
+        out = []
+        for m in EXPRESSION.finditer(text):
+            names = list(re.finditer(r"[A-Za-z0-9][A-Za-z0-9.+-]*", m[1]))
+            plain = [re.sub(r"(-only|-or-later|\+)$", "", n[0]) for n in names]
+            for i, (n, name) in enumerate(zip(names, plain, strict=True)):
+                joined = not i or n[0].upper() in ("OR", "AND", "WITH") or names[i - 1][0].upper() in ("OR", "AND", "WITH")
+                if not joined:
+                    break  # the tag's line goes on with something else
+                if i and names[i - 1][0].upper() in ("OR", "AND") and name in self.known:
+                    out.append(Finding(name, m.start(1) + n.start(), m.start(1) + n.end(), 0, 0))
+        return out
+
     def document(self, text: str) -> tuple[int, list[Finding]]:
         """Number of candidate blocks, and findings with places into the whole text."""
         if not TRIGGER.search(text):
@@ -163,7 +226,7 @@ class Scanner:
                 blocks[-1][1] = hi
             else:
                 blocks.append([lo, hi])
-        found = [f for lo, hi in blocks for f in self.block(text, words[lo:hi])]
+        found = [f for lo, hi in blocks for f in self.block(text, words[lo:hi])] + self.expressions(text)
         kept: list[Finding] = []  # by place
         for f in sorted(found, key=lambda f: (f.start - f.end, -f.saved, f.license, f.start)):
             i = bisect_left(kept, f.start, key=lambda g: g.start)
