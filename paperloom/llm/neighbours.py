@@ -166,7 +166,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.ldexp(rows, -exponent[:, None])
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, dims: int = 8, certainty: float = 0.98, cell_rows: int = 8192, sample: int = 50_000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, dims: int = 24, certainty: float = 0.93, cell_rows: int = 8192, sample: int = 50_000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Return query_id, rank (from 1), vec_id and score (cosine, in double precision): the k
     nearest rows found for each query, without rows of its own id.
 

@@ -42,6 +42,27 @@ def test_recall(spark, sf, cell_rows):
     assert total == 5 * (ids % 10 == 0).sum() and hit / total >= 0.9
 
 
+def test_share_of_rows_that_are_verified(spark, monkeypatch):
+    """With the query's own parameters the stop spares half of the rows, at a recall of over 0.9."""
+    import inspect
+
+    from paperloom.llm import neighbours
+
+    given = {k: p.default for k, p in inspect.signature(nearest).parameters.items()}
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    ids, vectors = table.vec_id.to_numpy(), np.array(table.embedding.tolist(), float)
+    units = vectors / np.sqrt((vectors * vectors).sum(1, keepdims=True))
+    points = units @ neighbours.directions(vectors.shape[1], given["dims"])
+    asked = np.flatnonzero(ids % 50 == 0)
+    seen, inner = [], neighbours._cosines
+    monkeypatch.setattr(neighbours, "_cosines", lambda q, r, a, b: (seen.append(len(q)), inner(q, r, a, b))[1])
+    scores, found = neighbours.search(Tree(points), ids, vectors, vectors[asked], points[asked], ids[asked], np.full(len(asked), np.inf), 5, stop_ratio(given["certainty"], given["dims"]))
+    share = sum(seen) / (len(asked) * len(ids))
+    hit = sum(len({v for v, _ in brute(ids, vectors, q)} & set(f)) for q, f in zip(ids[asked].tolist(), found.tolist(), strict=True))
+    print(f"share {share:.3f}, recall {hit / (5 * len(asked)):.3f}")
+    assert share < 0.6 and hit / (5 * len(asked)) >= 0.9
+
+
 def test_edges(spark):
     one = [0.0, 1.0]
     rows = [(1, one, 0), (2, one, 0), (3, None, 0), (4, [0.0, 0.0], 0), (5, [None, 1.0], 0), (6, [float("nan"), 1.0], 0), (7, [float("inf"), 1.0], 0), (8, [1.0], 0), (None, one, 0), (9, [1.0, 1.0], 0), (2, one, 0)]
