@@ -371,19 +371,74 @@ def stored_answers(spark, sf_dir):
     return rows.select("doc_id", "pos", F.col("_model.answer").alias("answer"), F.lit(store.rows().count()).alias("n_asked"))
 
 
-@query()
+def _abstract(source: str) -> str:
+    """(.., content, abstract) of the rule backend: leading sentences up to 1,200 characters."""
+    return rf"""
+parted AS (SELECT *, string_split(regexp_replace(content, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM {source}),
+measured AS (SELECT *, list_transform(range(1, len(s) + 1), lambda i: list_sum(list_transform(s[:i], lambda x: length(x))) + i - 1) AS upto FROM parted),
+answered AS (SELECT * EXCLUDE (s, upto), regexp_replace(array_to_string(s[:greatest(1, len(list_filter(upto, lambda n: n <= 1200)))], ' '), '^\s+|\s+$', '', 'g') AS answer FROM measured),
+abstracted AS (SELECT * EXCLUDE (answer), CASE WHEN answer = '' THEN left(content, 400) ELSE answer END AS abstract FROM answered)"""
+
+
+def _summary(source: str, column: str) -> str:
+    """(.., summary) of the rule backend: what plain patterns find in a column, as JSON."""
+    number = r"[-+]?\d+(?:\.\d+)?"
+    patterns = {
+        "temperature": rf"({number}\s?(?:°\s?C|K\b))", "residence_time": rf"(?i)residence times?\D{{0,20}}?({number}\s?(?:min|s|h)\b)",
+        "flow_rate_total": rf"({number}\s?(?:mL/min|uL/min|L/h|mL·min−1|mL min-1))", "pressure": rf"({number}\s?(?:bar|MPa|kPa|psi)\b)",
+    }
+    conditions = ", ".join(f"""'{{"type": "{k}", "value": "' || nullif(regexp_extract(replace(t, 'µL/min', 'uL/min'), '{v}', 1), '') || '"}}'""" for k, v in patterns.items())
+    measure = lambda k: rf"""coalesce(nullif(regexp_extract(t, '(?i)\b{k}s?\b\D{{0,20}}?({number})\s?%|({number})\s?%\s+{k}\b', 1), ''), nullif(regexp_extract(t, '(?i)\b{k}s?\b\D{{0,20}}?({number})\s?%|({number})\s?%\s+{k}\b', 2), ''))::DOUBLE AS m_{k}"""
+    shown = lambda m: f"CASE WHEN {m} IS NULL THEN 'null' WHEN {m} = floor({m}) THEN {m}::BIGINT::VARCHAR ELSE {m}::VARCHAR END"
+    quoted = lambda x: f"""CASE WHEN {x} = '' THEN 'null' ELSE '"' || {x} || '"' END"""
+    return rf"""
+plain AS (SELECT *, replace(replace(replace({column}, 'μ', 'µ'), '−', '-'), '⋅', '·') AS t FROM {source}),
+told AS (SELECT *, list_filter([{conditions}], lambda c: c IS NOT NULL) AS conditions, {", ".join(map(measure, ("conversion", "yield", "selectivity")))},
+  lower(regexp_extract(t, '(?i)\b(microreactor|tubular reactor|packed[- ]bed reactor|coil|microchannel|chip)\b', 1)) AS reactor, regexp_extract(t, '({number}\s?(?:mm|µm|um)\b)', 1) AS inner_size FROM plain),
+summed AS (SELECT * EXCLUDE (t, conditions, m_conversion, m_yield, m_selectivity, reactor, inner_size),
+  '{{"reaction_summary": {{"reaction_type": null, "reactants": [], "products": [' || CASE WHEN m_yield IS NULL THEN '' ELSE '{{"name": null, "yield_optimal": ' || {shown("m_yield")} || ', "unit": "%"}}' END
+  || '], "conditions": [' || array_to_string(conditions, ', ') || '], "reactor": {{"type": ' || {quoted("reactor")} || ', "inner_diameter": ' || {quoted("inner_size")}
+  || '}}, "metrics": {{"conversion": ' || {shown("m_conversion")} || ', "yield": ' || {shown("m_yield")} || ', "selectivity": ' || {shown("m_selectivity")} || ', "unit": "%"}}}}}}' AS summary FROM told)"""
+
+
+@query(f"WITH {_SEGMENTS}, {_abstract('paragraphs')} SELECT doc_id, pos, abstract, NULL AS error FROM abstracted")
 def abstract_paragraphs(spark, sf_dir):
-    """The rule backend's leading sentences, capped by characters; checked in tests."""
+    """The rule backend's leading sentences, capped by characters."""
     rows = _paragraphs(spark, sf_dir)
     return models.abstracts(rows, backends.resolve("abstract", "rules"), CONFIG).select("doc_id", "pos", "abstract", "error")
 
 
-@query()
+@query(f"WITH {_SEGMENTS}, {_summary('paragraphs', 'content')} SELECT doc_id, pos, summary AS summarized, NULL AS error FROM summed")
 def summarize_paragraphs(spark, sf_dir):
     rows = _paragraphs(spark, sf_dir)
     return models.summaries(rows, backends.resolve("summary", "rules"), CONFIG, "content").select("doc_id", "pos", "summarized", "error")
 
 
+_FACTS = """content || ' Flow at ' || pos || '.5 mL/min in a ' || (pos + 1) || ' mm coil, ' || doc_id || ' °C, 2 bar; conversion of ' || pos || '%, ' || doc_id || '.25% yield.'"""
+
+
+@query(f"WITH {_SEGMENTS}, facts AS (SELECT doc_id, pos, {_FACTS} AS content FROM paragraphs), {_summary('facts', 'content')} SELECT doc_id, pos, summary AS summarized, NULL AS error FROM summed")
+def summarize_facts(spark, sf_dir):
+    """Paragraphs that end with facts made of their numbers, summarized."""
+    rows = _paragraphs(spark, sf_dir).withColumn("content", F.expr(_FACTS))
+    return models.summaries(rows, backends.resolve("summary", "rules"), CONFIG, "content").select("doc_id", "pos", "summarized", "error")
+
+
+@query(rf"""WITH {_SEGMENTS},
+marked AS (SELECT *, min(CASE WHEN regexp_matches(content, '{_MARK}') THEN pos END) OVER (PARTITION BY doc_id) AS first FROM paragraphs),
+kept AS (SELECT doc_id, pos, CASE WHEN pos = first THEN regexp_replace(content, '(?is)(^|[^A-Za-z0-9_])(the|nicht|avec|para)([^A-Za-z0-9_].*|$)', '\1') ELSE content END AS content FROM marked WHERE first IS NULL OR pos <= first),
+scored AS (SELECT *, coalesce(CASE WHEN list_sum({_LETTERS.format("content")}) > 0 THEN list_cosine_similarity({_LETTERS.format("content")}, {_LETTERS.format(f"'{REFERENCE}'")}) END, 0) AS similarity FROM kept),
+ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, pos) AS rank FROM scored) WHERE rank <= 10),
+judged AS (SELECT *, {_GATED} OR regexp_matches(content, '{_FACT}') AS yes, bool_or({_GATED} OR regexp_matches(content, '{_FACT}')) OVER (PARTITION BY doc_id) AS found FROM ranked),
+chosen AS (SELECT doc_id, rank, content FROM judged WHERE yes OR NOT found), {_abstract("chosen")},
+joined AS (SELECT doc_id, substring(string_agg(abstract, chr(10) || chr(10) ORDER BY rank), 1, 12000) AS combined FROM abstracted WHERE regexp_matches(abstract, '\S') GROUP BY doc_id), {_summary("joined", "combined")}
+SELECT doc_id, summary AS overall, NULL AS error FROM summed""")
+def summarize_by_letters(spark, sf_dir):
+    """The whole pipeline with the embedder whose arithmetic SQL has too: one JSON a document."""
+    config = replace(CONFIG, back_matter=MARKERS, embedding_reference=REFERENCE, backends=CONFIG.backends | {"embed": "letters"})
+    return Pipeline(config).process(_docs(spark, sf_dir))["overall"].select("doc_id", "overall", "error")
+
+
 @query()
 def summarize_document(spark, sf_dir):
     """The whole pipeline: one JSON a document."""
