@@ -62,11 +62,14 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete the files of stored results that nothing reads any more."""
+    """Delete the files of stored results that nothing reads any more, and let the driver collect its
+    garbage: Spark drops a step's broadcasts and shuffles when it sees that their frames are gone."""
     for df in frames:
         path = _places.pop(df)
         place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+    if frames:
+        frames[0].sparkSession._jvm.System.gc()
 
 
 @contextmanager
