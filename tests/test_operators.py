@@ -145,7 +145,7 @@ def test_backend_resolution(monkeypatch):
 def test_metrics(spark):
     docs = spark.createDataFrame([("a", "x\n\ny z"), ("b", ""), ("c", None)], "doc_id string, text string")
     rows = paragraphs(docs)
-    stats = {r.doc_id: tuple(r)[1:] for r in metrics.segmentation_stats(docs, rows).collect()}
+    stats = {r.doc_id: tuple(r)[1:] for r in metrics.segmentation_stats(docs).collect()}
     assert stats == {"a": (3, 1, 2, 2.0), "b": (1, 1, 0, None), "c": (1, 1, 0, None)}
     sizes = {r.doc_id: r for r in metrics.stage_metrics(docs, {"raw": rows, "kept": rows.filter("pos = 0")}).collect()}
     assert (sizes["a"].raw_lines, sizes["a"].raw_bytes, sizes["a"].kept_bytes, sizes["b"].raw_bytes) == (4, 8, 3, 0)
