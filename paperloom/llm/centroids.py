@@ -159,7 +159,7 @@ def _state(block: int, bounds: Bounds, vectors: np.ndarray, k: int) -> tuple:
 def _assigned(batches: Iterator[pa.RecordBatch], centroids: list[list[int]], before: list[list[int]] | None, width: int, scale: int) -> Iterator[pa.RecordBatch]:
     """A round: blocks (with the state of the round before, if any) to their new state."""
     now = array_of(centroids)
-    drift = None if before is None else np.array([_root(squared(now[i : i + 1], array_of(before)[i : i + 1]))[0, 0] for i in range(len(now))]) * (1 + MARGIN)
+    drift = None if before is None else np.array([_root(squared(now[i : i + 1], array_of(before)[i : i + 1]))[0, 0] for i in range(len(now))]) * (1 + MARGIN) + (now.dtype == object)  # those roots are rounded down
     for batch in batches:
         rows = []
         for i in range(batch.num_rows):
