@@ -2,19 +2,22 @@
 
 Spark's text writer names its files itself and ends every row with a line break. This one is a Python
 data source: rows (file, value) arrive sorted, and each file's values are written one after the other.
-A task attempt writes into a staging folder of its own; the commit moves the files of the attempts
-that Spark accepted to their places, and an abort deletes the staging folder. So a failed task, a
-second attempt and a failed job leave nothing behind. Any file system that Arrow reaches will do.
+A task attempt writes into a staging folder of its own, beside a list of its files; the commit accepts
+the lists of the attempts that Spark accepted, a list a task, and a second job moves the listed files to
+their places. So a failed task, a second attempt and a failed job leave nothing behind, and no name of
+a file passes through the driver. Any file system that Arrow reaches will do.
 """
 
 from __future__ import annotations
 
+import json
 import posixpath
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Row
@@ -25,7 +28,8 @@ from ..config import PRIORITY
 from ..functions.text import not_blank, or_empty
 
 FORMAT = "paperloom_files"
-MOVERS = 32  # files that a commit moves at a time
+MOVERS = 8  # files that a task moves at a time
+READ_BYTES = 16 << 20  # of files that a task has read and not passed on
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -45,57 +49,56 @@ def checked_name(name: str | None) -> str:
 
 @dataclass
 class Written(WriterCommitMessage):
-    folder: str
-    names: list[str]
+    """Where the list of an attempt's files lies, if it wrote any."""
+
+    listed: str | None
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path = path
-        self.staging = posixpath.join(path, f"_staging-{uuid.uuid4().hex}")
+    def __init__(self, staging: str):
+        self.staging = staging
 
     def write(self, iterator: Iterator[Row]) -> Written:
         system, root = file_system(self.staging)
-        folder = posixpath.join(root, str(TaskContext.get().taskAttemptId()))
-        names: list[str] = []
-        out, last = None, None
+        attempt = str(TaskContext.get().taskAttemptId())
+        folder, listed = posixpath.join(root, attempt), posixpath.join(root, "listed", f"{attempt}.json")
+        names, out, last = None, None, None
         try:
             for file, value in iterator:
                 if file != last:
                     if out:
                         out.close()
                     out, last = None, file
-                    names.append(checked_name(file))
-                    place = posixpath.join(folder, names[-1])
+                    name = checked_name(file)
+                    if names is None:
+                        system.create_dir(posixpath.dirname(listed), recursive=True)
+                        names = system.open_output_stream(listed, buffer_size=1 << 16)
+                    names.write((json.dumps({"attempt": attempt, "file": name}) + "\n").encode())
+                    place = posixpath.join(folder, name)
                     system.create_dir(posixpath.dirname(place), recursive=True)
                     out = system.open_output_stream(place)
                 out.write((value or "").encode())
         finally:
-            if out:
-                out.close()
-        return Written(folder, names)
+            for stream in (out, names):
+                if stream:
+                    stream.close()
+        return Written(listed if names else None)
 
     def commit(self, messages: list[Written | None]) -> None:
-        system, root = file_system(self.path)
-        moves = [(posixpath.join(m.folder, n), posixpath.join(root, n)) for m in messages if m for n in m.names]
-        for folder in sorted({posixpath.dirname(to) for _, to in moves}):
-            system.create_dir(folder, recursive=True)
-        with ThreadPoolExecutor(MOVERS) as movers:
-            for _ in movers.map(lambda move: system.move(*move), moves):
-                pass
-        self._clear()
+        system, root = file_system(self.staging)
+        accepted = posixpath.join(root, "accepted")
+        lists = [m.listed for m in messages if m and m.listed]
+        if lists:
+            system.create_dir(accepted, recursive=True)
+        for listed in lists:
+            system.move(listed, posixpath.join(accepted, posixpath.basename(listed)))
 
     def abort(self, messages: list[Written | None]) -> None:
-        self._clear()
-
-    def _clear(self) -> None:
-        system, root = file_system(self.staging)
-        if system.get_file_info(root).type != pafs.FileType.NotFound:
-            system.delete_dir(root)
+        _clear(self.staging)
 
 
 class FileSink(DataSource):
-    """``rows.write.format("paperloom_files").save(path)`` for rows (file, value)."""
+    """Stages rows (file, value); ``write_files`` moves the files to their places."""
 
     @classmethod
     def name(cls) -> str:
@@ -107,12 +110,100 @@ class FileSink(DataSource):
         return _Writer(self.options["path"])
 
 
-def write_files(rows: DataFrame, path: str, order: tuple[str, ...] = ("pos",)) -> None:
+def _clear(folder: str) -> None:
+    system, root = file_system(folder)
+    if system.get_file_info(root).type != pafs.FileType.NotFound:
+        system.delete_dir(root)
+
+
+def _moved(accepted: DataFrame, staging: str, path: str) -> DataFrame:
+    """(file) of the accepted files (attempt, file), each moved to its place by the task that has it. A
+    task that runs again passes over what is moved already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (system, source), (_, target) = file_system(staging), file_system(path)
+
+        def move(attempt: str, name: str) -> None:
+            old, new = posixpath.join(source, attempt, name), posixpath.join(target, name)
+            system.create_dir(posixpath.dirname(new), recursive=True)
+            try:
+                system.move(old, new)
+            except OSError:
+                if [x.type for x in system.get_file_info([old, new])] != [pafs.FileType.NotFound, pafs.FileType.File]:
+                    raise
+
+        with ThreadPoolExecutor(MOVERS) as movers:
+            for batch in batches:
+                for _ in movers.map(move, batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    pass
+                yield batch.select(["file"])
+
+    return accepted.select("attempt", "file").mapInArrow(run, "file string")
+
+
+def _removed(attempts: DataFrame, staging: str) -> None:
+    """Delete the folders of the attempts, which hold no files any more, in tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for attempt in batch.column(0).to_pylist():
+                _clear(posixpath.join(staging, attempt))
+            yield batch
+
+    attempts.mapInArrow(run, attempts.schema).write.format("noop").mode("overwrite").save()
+
+
+def write_files(rows: DataFrame, path: str, order: tuple[str, ...] = ("pos",), listing: str | None = None) -> None:
     """Write rows (file, *order, value): a file holds its values one after the other, in order. The
-    rows of a file are sorted by Spark and streamed; files that are there are replaced."""
-    rows.sparkSession.dataSource.register(FileSink)
+    rows of a file are sorted by Spark and streamed; files that are there are replaced.
+
+    listing: a folder for the names of the files as rows (file), for ``read_files``.
+    """
+    spark = rows.sparkSession
+    spark.dataSource.register(FileSink)
+    staging = posixpath.join(path, f"_staging-{uuid.uuid4().hex}")
     dealt = rows.repartition("file").sortWithinPartitions("file", *order).select("file", "value")
-    dealt.write.format(FORMAT).mode("append").save(path)
+    try:
+        dealt.write.format(FORMAT).mode("append").save(staging)
+        system, root = file_system(staging)
+        lists = posixpath.join(staging, "accepted")
+        some = system.get_file_info(posixpath.join(root, "accepted")).type != pafs.FileType.NotFound
+        accepted = spark.read.schema("attempt string, file string").json(lists) if some else spark.createDataFrame([], "attempt string, file string")
+        moved = _moved(accepted.repartition("file"), staging, path)
+        if listing:
+            moved.write.mode("append").parquet(listing)
+        elif some:
+            moved.write.format("noop").mode("overwrite").save()
+        if some:
+            _removed(accepted.select("attempt").distinct(), staging)
+    finally:
+        _clear(staging)
+
+
+def read_files(names: DataFrame, path: str) -> DataFrame:
+    """(file, n_bytes, content) of the files below path that the rows (file) name, each read by the
+    task that has its name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = file_system(path)
+
+        def batch_of(files: list[str], contents: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array([len(c) for c in contents], pa.int64()), pa.array(contents, pa.binary())], ["file", "n_bytes", "content"])
+
+        files, contents, held = [], [], 0
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with system.open_input_stream(posixpath.join(root, checked_name(name))) as f:
+                    contents.append(f.read())
+                files.append(name)
+                held += len(contents[-1])
+                if held >= READ_BYTES or len(files) >= 10_000:
+                    yield batch_of(files, contents)
+                    files, contents, held = [], [], 0
+        if files:
+            yield batch_of(files, contents)
+
+    return names.select("file").mapInArrow(run, "file string, n_bytes long, content binary")
 
 
 def _paragraph(column: str) -> Column:

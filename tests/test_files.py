@@ -1,7 +1,10 @@
+import pickle
+from unittest.mock import patch
+
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.sources.files import checked_name, json_files, priority_files, section_files, text_files, write_files
+from paperloom.sources.files import FileSink, checked_name, json_files, priority_files, read_files, section_files, text_files, write_files
 
 
 def rows_of(spark, rows):
@@ -52,3 +55,19 @@ def test_names_stay_below_the_root(spark, tmp_path):
     with pytest.raises(Exception, match="not a file name"):
         write_files(text_files(rows_of(spark, [("..", 0, "x", "y")])), str(tmp_path / "out" / "in"))
     assert not [p for p in tmp_path.rglob("*") if p.is_file()]
+
+
+def test_names_of_files_do_not_pass_through_the_driver(spark, tmp_path):
+    path, listing = str(tmp_path / "out"), str(tmp_path / "listing")
+    rows = text_files(spark.range(300).selectExpr("id AS doc_id", "0 AS pos", "concat('text ', id) AS content"))
+    write_files(rows, path, listing=listing)
+    names = spark.read.schema("file string").parquet(listing)
+    found = read_files(names, path)
+    assert {r.file: (r.n_bytes, bytes(r.content).decode()) for r in found.collect()} == {f"{i}/{i}.txt": (len(f"text {i}\n\n"), f"text {i}\n\n") for i in range(300)}
+    # what a task tells the driver is one name, however many files it wrote
+    writer = FileSink({"path": str(tmp_path / "staging")}).writer(rows.select("file", "value").schema, False)
+    with patch("paperloom.sources.files.TaskContext") as task:
+        task.get.return_value.taskAttemptId.return_value = 7
+        told = [writer.write(iter([(f"{i}/{i}.txt", "x") for i in range(n)])) for n in (1, 500)]
+    assert len(pickle.dumps(told[0])) == len(pickle.dumps(told[1]))
+    assert not [p for p in (tmp_path / "out").iterdir() if p.name.startswith("_")]
