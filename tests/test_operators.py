@@ -1,4 +1,5 @@
 import math
+import time
 from dataclasses import replace
 
 import pytest
@@ -280,3 +281,24 @@ def test_values_are_bound_once(spark):
     plan = lambda c: docs.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan(term_similarity(F.col("text"), "a b c d")).count("regexp_extract_all") == 1
     assert plan(truncated(segments(F.col("text")))).count("split(") == 1
+
+
+def test_rules_read_long_runs_of_digits_once():
+    """A pattern that begins at every digit takes the square of a run's length."""
+    from paperloom.operators.backends import extracted, has_fact
+
+    begun = time.process_time()
+    found = extracted("7" * 60_000 + " and 3.5 K, a residence time of 4 min, yield of -2.5%, 1.2.3 bar in a Coil")["reaction_summary"]
+    assert not has_fact("7" * 60_000) and time.process_time() - begun < 2
+    assert found["conditions"] == [{"type": "temperature", "value": "3.5 K"}, {"type": "residence_time", "value": "4 min"}, {"type": "pressure", "value": "2.3 bar"}]
+    assert found["metrics"]["yield"] == -2.5 and found["reactor"]["type"] == "coil"
+
+
+def test_paragraphs_of_long_blank_runs_take_linear_time(spark):
+    """Blanks that no line break follows are passed over once, not from each of them on."""
+    from paperloom.functions.text import segments
+
+    text = "a" + " " * 100_000 + "b\n \x1c \n c\nd \r\n\r\n\x1c"
+    begun = time.time()
+    assert spark.createDataFrame([(text,)], "t string").select(segments(F.col("t"))).first()[0] == ["a" + " " * 100_000 + "b \x1c c d", "\x1c", "z"]
+    assert time.time() - begun < 8
