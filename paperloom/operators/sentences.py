@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bound, or_empty
+from ..functions.text import SENTENCE_END, bound, or_empty
 
 #: Score from which a word is an abbreviation, and the share of stops that an abbreviation has.
 LEAST, SURE = 0.3, 0.99
@@ -26,17 +26,22 @@ Known = Callable[[Column], Column]
 def words_with_stops(text: Column) -> Column:
     """Words of a text with their last full stop, lower-cased, as an array: without quotes and
     brackets in front, and without other marks behind. Only what has a letter counts."""
-    words = F.regexp_extract_all(F.lower(or_empty(text)), F.lit(r"\S+"), F.lit(0))
-    bare = F.transform(words, lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}.]+$", ""))
-    return F.filter(bare, lambda w: w.rlike(r"\p{L}"))
+    return F.filter(_bare_words(text), lambda w: w.rlike(r"\p{L}"))
+
+
+def _bare_words(text: Column) -> Column:
+    """``words_with_stops`` with what has digits and no letter. What is left behind a word, up to the
+    next white space, has no letter, digit or stop, so no second word begins there."""
+    return F.regexp_extract_all(F.lower(or_empty(text)), F.lit(r"[\p{L}\p{N}](?:\S*[\p{L}\p{N}.])?"), F.lit(0))
 
 
 def stop_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n_stop, n_plain): how often a word is followed by a full stop and how often not."""
-    words = docs.select(F.explode(words_with_stops(F.col(f"`{text_col}`"))).alias("w"))
+    words = docs.select(F.explode(_bare_words(F.col(f"`{text_col}`"))).alias("w"))
     stop = F.col("w").endswith(".")
     word = F.when(stop, F.expr("substring(w, 1, length(w) - 1)")).otherwise(F.col("w"))
-    return words.select(word.alias("word"), stop.cast("long").alias("stop")).groupBy("word").agg(F.sum("stop").alias("n_stop"), F.sum(1 - F.col("stop")).alias("n_plain"))
+    counts = words.select(word.alias("word"), stop.cast("long").alias("stop")).groupBy("word").agg(F.sum("stop").alias("n_stop"), F.sum(1 - F.col("stop")).alias("n_plain"))
+    return counts.filter(F.col("word").rlike(r"\p{L}"))  # looked at once a word, not at each of its places
 
 
 def scored(counts: DataFrame) -> DataFrame:
@@ -59,15 +64,17 @@ def abbreviations(docs: DataFrame, text_col: str = "text", least: float = LEAST)
 
 def last_word(piece: Column) -> Column:
     """The word that a piece ends with, as in ``stop_counts``; null unless it ends with a full stop."""
-    tail = F.regexp_extract(piece, r"(\S+)\.$", 1)
-    return F.when(tail != "", F.regexp_replace(F.lower(tail), r"^[^\p{L}\p{N}]+", ""))
+    # what stands before the last white space goes at one go, so no word but the last is looked at
+    last = F.regexp_replace(piece, r"(?s)^.*\s", "")
+    tail = lambda w: F.when(F.char_length(w) > 1, F.regexp_replace(F.lower(F.left(w, F.char_length(w) - 1)), r"^[^\p{L}\p{N}]+", ""))
+    return F.when(F.endswith(piece, F.lit(".")), bound(last, tail))
 
 
 def sentences_with(text: Column, known: Known) -> Column:
     """Sentences as an array: cut after ``.``, ``!`` or ``?`` and white space, but not after a word
     that ``known`` holds to be an abbreviation. Null text has none; blank pieces are left out; the
     parts of a sentence are joined by one space."""
-    pieces = F.filter(F.split(or_empty(text), r"(?<=[.!?])\s+"), lambda s: s != "")
+    pieces = F.filter(F.split(or_empty(text), SENTENCE_END), lambda s: s != "")
 
     def joined(parts: Column) -> Column:
         goes_on = F.transform(parts, lambda p: F.coalesce(known(last_word(p)), F.lit(False)))
@@ -94,7 +101,7 @@ def split_sentences(docs: DataFrame, found: DataFrame, text_col: str = "text", o
     # the columns travel inside one, so that no name can clash
     rows = docs.select(F.monotonically_increasing_id().alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     text = F.col("_row")[text_col]
-    ends = F.array_compact(F.array_distinct(F.transform(F.split(or_empty(text), r"(?<=[.!?])\s+"), last_word)))
+    ends = F.array_compact(F.array_distinct(F.transform(F.split(or_empty(text), SENTENCE_END), last_word)))
     own = rows.select("_key", F.explode(ends).alias("word")).join(found.select("word"), "word").groupBy("_key").agg(F.collect_set("word").alias("_own"))
     cut = rows.join(own, "_key", "left").withColumn("_cut", sentences_with(text, lambda w: F.array_contains(F.col("_own"), w)))
     return cut.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c != out_col], F.col("_cut").alias(out_col))

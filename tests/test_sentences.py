@@ -1,4 +1,5 @@
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,3 +57,12 @@ def test_chunks_with_learned_borders(spark):
     plain = process_pages(pages, "basic", max_tokens=1).groupBy("doc_id").count().agg(F.sum("count")).first()[0]
     learned = process_pages(pages, "basic", max_tokens=1, split=lambda t: sentences_with(t, lambda w: w.isin("al", "fig", "e.g"))).count()
     assert learned == 60 * 8 < plain
+
+
+def test_a_long_word_is_looked_at_once(spark):
+    """The last word of a piece is found without a try at each of its letters."""
+    text = "One etc. " + "x" * 300_000 + "! Two vs. three. «U.S.. End."
+    begun = time.time()
+    rows = spark.createDataFrame([(text,)], "text string").select(sentences_with(F.col("text"), lambda w: w.isin("etc", "vs", "u.s.")))
+    assert rows.first()[0] == ["One etc. " + "x" * 300_000 + "!", "Two vs. three.", "«U.S.. End."]
+    assert time.time() - begun < 10
