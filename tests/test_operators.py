@@ -302,3 +302,14 @@ def test_paragraphs_of_long_blank_runs_take_linear_time(spark):
     begun = time.time()
     assert spark.createDataFrame([(text,)], "t string").select(segments(F.col("t"))).first()[0] == ["a" + " " * 100_000 + "b \x1c c d", "\x1c", "z"]
     assert time.time() - begun < 8
+
+
+def test_several_references_split_and_sort_a_text_once(spark, capsys):
+    from paperloom.operators.similarity import term_similarities, term_similarity
+
+    rows = spark.createDataFrame([("the the cat",), ("",), (None,), ("A b",)], "t string")
+    one = [tuple(r) for r in rows.select(term_similarity(F.col("t"), "the cat"), term_similarity(F.col("t"), "a"), term_similarity(F.col("t"), "")).collect()]
+    both = rows.select(term_similarities(F.col("t"), ("the cat", "a", "")).alias("s"))
+    assert [tuple(r.s) for r in both.collect()] == one
+    both.explain()
+    assert capsys.readouterr().out.count("sort_array(") == 1
