@@ -298,7 +298,7 @@ def test_paragraphs_of_long_blank_runs_take_linear_time(spark):
     """Blanks that no line break follows are passed over once, not from each of them on."""
     from paperloom.functions.text import segments
 
-    text = "a" + " " * 100_000 + "b\n \x1c \n c\nd \r\n\r\n\x1c"
+    text = "a" + " " * 100_000 + "b\n \x1c \n c\nd \r\n\r\n\x1c\n\n z"
     begun = time.time()
     assert spark.createDataFrame([(text,)], "t string").select(segments(F.col("t"))).first()[0] == ["a" + " " * 100_000 + "b \x1c c d", "\x1c", "z"]
     assert time.time() - begun < 8
