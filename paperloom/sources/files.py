@@ -2,10 +2,11 @@
 
 Spark's text writer names its files itself and ends every row with a line break. This one is a Python
 data source: rows (file, value) arrive sorted, and each file's values are written one after the other.
-A task attempt writes into a staging folder of its own, beside a list of its files; the commit accepts
-the lists of the attempts that Spark accepted, a list a task, and a second job moves the listed files to
-their places. So a failed task, a second attempt and a failed job leave nothing behind, and no name of
-a file passes through the driver. Any file system that Arrow reaches will do.
+A task attempt writes into a staging folder of its own, by numbers, so that a document's folder is made
+once, at its place; beside it is a list of its files. The commit accepts the lists of the attempts that
+Spark accepted, a list a task, and a second job moves the listed files to their places. So a failed task,
+a second attempt and a failed job leave nothing behind, and no name of a file passes through the driver.
+Any file system that Arrow reaches will do.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ class _Writer(DataSourceWriter):
         system, root = file_system(self.staging)
         attempt = str(TaskContext.get().taskAttemptId())
         folder, listed = posixpath.join(root, attempt), posixpath.join(root, "listed", f"{attempt}.json")
-        names, out, last = None, None, None
+        names, out, last, n = None, None, None, 0
         try:
             for file, value in iterator:
                 if file != last:
@@ -73,10 +74,9 @@ class _Writer(DataSourceWriter):
                     if names is None:
                         system.create_dir(posixpath.dirname(listed), recursive=True)
                         names = system.open_output_stream(listed, buffer_size=1 << 16)
-                    names.write((json.dumps({"attempt": attempt, "file": name}) + "\n").encode())
-                    place = posixpath.join(folder, name)
-                    system.create_dir(posixpath.dirname(place), recursive=True)
-                    out = system.open_output_stream(place)
+                        system.create_dir(folder, recursive=True)
+                    names.write((json.dumps({"attempt": attempt, "number": n, "file": name}) + "\n").encode())
+                    out, n = system.open_output_stream(posixpath.join(folder, str(n))), n + 1
                 out.write((value or "").encode())
         finally:
             for stream in (out, names):
@@ -94,7 +94,7 @@ class _Writer(DataSourceWriter):
             system.move(listed, posixpath.join(accepted, posixpath.basename(listed)))
 
     def abort(self, messages: list[Written | None]) -> None:
-        _clear(self.staging)
+        clear(self.staging)
 
 
 class FileSink(DataSource):
@@ -110,21 +110,21 @@ class FileSink(DataSource):
         return _Writer(self.options["path"])
 
 
-def _clear(folder: str) -> None:
+def clear(folder: str) -> None:
     system, root = file_system(folder)
     if system.get_file_info(root).type != pafs.FileType.NotFound:
         system.delete_dir(root)
 
 
 def _moved(accepted: DataFrame, staging: str, path: str) -> DataFrame:
-    """(file) of the accepted files (attempt, file), each moved to its place by the task that has it. A
-    task that runs again passes over what is moved already."""
+    """(file) of the accepted files (attempt, number, file), each moved to its place by the task that has
+    it. A task that runs again passes over what is moved already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (system, source), (_, target) = file_system(staging), file_system(path)
 
-        def move(attempt: str, name: str) -> None:
-            old, new = posixpath.join(source, attempt, name), posixpath.join(target, name)
+        def move(attempt: str, number: int, name: str) -> None:
+            old, new = posixpath.join(source, attempt, str(number)), posixpath.join(target, name)
             system.create_dir(posixpath.dirname(new), recursive=True)
             try:
                 system.move(old, new)
@@ -134,11 +134,11 @@ def _moved(accepted: DataFrame, staging: str, path: str) -> DataFrame:
 
         with ThreadPoolExecutor(MOVERS) as movers:
             for batch in batches:
-                for _ in movers.map(move, batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for _ in movers.map(move, *(column.to_pylist() for column in batch.columns)):
                     pass
                 yield batch.select(["file"])
 
-    return accepted.select("attempt", "file").mapInArrow(run, "file string")
+    return accepted.select("attempt", "number", "file").mapInArrow(run, "file string")
 
 
 def _removed(attempts: DataFrame, staging: str) -> None:
@@ -147,7 +147,7 @@ def _removed(attempts: DataFrame, staging: str) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for attempt in batch.column(0).to_pylist():
-                _clear(posixpath.join(staging, attempt))
+                clear(posixpath.join(staging, attempt))
             yield batch
 
     attempts.mapInArrow(run, attempts.schema).write.format("noop").mode("overwrite").save()
@@ -168,7 +168,8 @@ def write_files(rows: DataFrame, path: str, order: tuple[str, ...] = ("pos",), l
         system, root = file_system(staging)
         lists = posixpath.join(staging, "accepted")
         some = system.get_file_info(posixpath.join(root, "accepted")).type != pafs.FileType.NotFound
-        accepted = spark.read.schema("attempt string, file string").json(lists) if some else spark.createDataFrame([], "attempt string, file string")
+        schema = "attempt string, number long, file string"
+        accepted = spark.read.schema(schema).json(lists) if some else spark.createDataFrame([], schema)
         moved = _moved(accepted.repartition("file"), staging, path)
         if listing:
             moved.write.mode("append").parquet(listing)
@@ -177,7 +178,7 @@ def write_files(rows: DataFrame, path: str, order: tuple[str, ...] = ("pos",), l
         if some:
             _removed(accepted.select("attempt").distinct(), staging)
     finally:
-        _clear(staging)
+        clear(staging)
 
 
 def read_files(names: DataFrame, path: str) -> DataFrame:
@@ -235,6 +236,12 @@ def priority_files(rows: DataFrame, priority: tuple[str, ...] = PRIORITY, order:
     return kept.select(_name(F.col("doc_id"), "_priority.txt").alias("file"), "part", *order, _paragraph("content").alias("value"))
 
 
+def output_files(rows: DataFrame, order: tuple[str, ...] = ("part", "page_no", "pos")) -> DataFrame:
+    """A file for each named output of ``process_pages`` that has a paragraph."""
+    kept = rows.filter(not_blank(F.col("content")))
+    return kept.select(_name(F.col("doc_id"), F.concat(F.lit("_"), F.col("name"), F.lit(".txt"))).alias("file"), *order, _paragraph("content").alias("value"))
+
+
 def json_files(rows: DataFrame, column: str = "overall") -> DataFrame:
     """Each document's JSON, nothing before or behind it. order: none is needed."""
     return rows.select(_name(F.col("doc_id"), "_Overall.txt").alias("file"), F.lit(0).alias("pos"), or_empty(F.col(column)).alias("value"))
